@@ -49,7 +49,7 @@ def _with_pivots(df: DataFrame, pivots: list[list[float]]) -> DataFrame:
 
 
 def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5, id_col: str = "id",
-             vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 2000,
+             vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 128,
              seed: int = 7) -> DataFrame:
     """Return ``(qid, nid, rank, dist)``: the k nearest reference rows of every query row.
 
