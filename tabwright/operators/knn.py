@@ -123,3 +123,32 @@ def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5,
 
     res1 = top1.join(done_ids, "qid", "left_semi")
     return res1.unionByName(top2).select(F.col("qid"), F.col("nid"), F.col("rank").cast("int"), "dist")
+
+
+def range_join(queries: DataFrame, reference: DataFrame | None = None, eps: float = 0.5, id_col: str = "id",
+               vec_col: str = "vec", n_pivots: int = 4, seed: int = 7) -> DataFrame:
+    """All reference rows within ``eps`` of each query row: ``(qid, nid, dist)`` (self pairs included).
+
+    Buckets of width ``eps`` on the first pivot distance: a pair within eps
+    differs by at most eps in every pivot distance, so it lies in the same or an
+    adjacent bucket (equi-join on bucket id, three ids per query). The other
+    pivots' lower bound prunes before the exact distance. Output size is the
+    number of eps-close pairs, which is what the operator returns.
+    """
+    ref_src = queries if reference is None else reference
+    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("__v"))
+    r = ref_src.select(F.col(id_col).alias("nid"), F.col(vec_col).cast("array<double>").alias("__v"))
+    piv_rows = (r.orderBy(F.md5(F.concat(key_text(["nid"]), F.lit(f"|{seed}"))), "nid")
+                .limit(n_pivots).select("__v").collect())
+    pivots = [list(p["__v"]) for p in piv_rows]
+    if not pivots:
+        return queries.sparkSession.createDataFrame([], "qid bigint, nid bigint, dist double")
+    q = _with_pivots(q, pivots).withColumn("__b", F.floor(F.col("__pd")[0] / F.lit(eps)).cast("long"))
+    r = _with_pivots(r, pivots).withColumn("__b", F.floor(F.col("__pd")[0] / F.lit(eps)).cast("long"))
+    rr = r.select("nid", F.col("__v").alias("__rv"), F.col("__pd").alias("__rpd"), "__b")
+    q1 = q.withColumn("__b", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)))
+    lb = F.aggregate(F.zip_with("__pd", "__rpd", lambda a, b: F.abs(a - b)), F.lit(0.0),
+                     lambda acc, v: F.greatest(acc, v))
+    pairs = q1.join(rr, "__b").where(lb <= F.lit(eps))
+    return (pairs.select("qid", "nid", euclid(F.col("__v"), F.col("__rv")).alias("dist"))
+            .where(F.col("dist") <= F.lit(eps)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwright.plans import q_metrics, q_neighbors, q_prep, q_profile  # noqa: F401
+from tabwright.plans import q_metrics, q_models, q_neighbors, q_prep, q_profile  # noqa: F401
 from tabwright.plans.registry import ORACLES, QUERIES
 
 
