@@ -137,9 +137,9 @@ def affinity_propagation(df: DataFrame, features: list[str], id_col: str, n_neig
         sp = F.coalesce("sp", F.lit(0.0))
         a_off = F.least(F.lit(0.0), F.coalesce("rkk", F.lit(0.0)) + sp - F.greatest("r", F.lit(0.0)))
         a_new = F.when(F.col("i") == F.col("k"), sp).otherwise(a_off)
-        e = e6.select("i", "k", "s", "r", (F.lit(damping) * F.col("a") + F.lit(1 - damping) * a_new).alias("a"))
-        if (t + 1) % 5 == 0:
-            e = cut_lineage(e)
+        # each round reads the previous table several times: cut lineage every round so plans stay linear
+        e = cut_lineage(e6.select("i", "k", "s", "r",
+                                  (F.lit(damping) * F.col("a") + F.lit(1 - damping) * a_new).alias("a")))
     ex = e.where((F.col("i") == F.col("k")) & (F.col("r") + F.col("a") > 0)).select(F.col("k").alias("ex"))
     cand = e.join(ex.withColumnRenamed("ex", "k"), "k", "left_semi")
     best = cand.groupBy("i").agg(F.max_by("k", "s").alias("exemplar"))

@@ -53,15 +53,17 @@ def lsi_topics(df: DataFrame, text: str, id_col: str, k: int = 4):
 
 def nmf_topics(df: DataFrame, text: str, id_col: str, k: int = 4, max_iter: int = 15, seed: int = 42):
     tf, vocab = term_counts(df, text, id_col)
-    trip = (tf.select(F.xxhash64(id_col).cast("int").alias("doc"), id_col,
+    trip = (tf.select(F.pmod(F.xxhash64(id_col), F.lit(2147483647)).cast("int").alias("doc"), id_col,
                       F.posexplode(vector_to_array("tf")).alias("term", "n")).where(F.col("n") > 0))
     # ALS user/item ids must be int: documents get a 32-bit hash (collisions only merge factor rows)
     als = ALS(rank=k, maxIter=max_iter, nonnegative=True, implicitPrefs=False, userCol="doc", itemCol="term",
               ratingCol="n", seed=seed, coldStartStrategy="drop")
     m = als.fit(trip.select("doc", "term", "n"))
-    docs = trip.select("doc", id_col).distinct()
-    doc = (docs.join(m.userFactors.withColumnRenamed("id", "doc"), "doc")
-           .select(id_col, F.posexplode("features").alias("topic", "weight")))
+    docs = tf.select(F.pmod(F.xxhash64(id_col), F.lit(2147483647)).cast("int").alias("doc"), id_col)
+    zeros = F.array(*[F.lit(0.0).cast("float") for _ in range(k)])
+    # documents without any vocabulary term get zero weights
+    doc = (docs.join(m.userFactors.withColumnRenamed("id", "doc"), "doc", "left")
+           .select(id_col, F.posexplode(F.coalesce("features", zeros)).alias("topic", "weight")))
     return doc, vocab
 
 
@@ -76,6 +78,8 @@ def random_projection(df: DataFrame, text: str, id_col: str, k: int = 4, seed: i
 
     gauss = [F.sqrt(-2 * F.log(unif(j, 0))) * F.cos(2 * 3.141592653589793 * unif(j, 1)) for j in range(k)]
     agg = ent.groupBy(id_col).agg(*[F.sum(F.col("w") * g / F.lit(k ** 0.5)).alias(f"c{j}") for j, g in enumerate(gauss)])
+    # documents without any vocabulary term project to the origin
+    agg = tfidf.select(id_col).join(agg, id_col, "left").fillna(0.0, subset=[f"c{j}" for j in range(k)])
     doc = agg.select(id_col, F.posexplode(F.array(*[F.col(f"c{j}") for j in range(k)])).alias("topic", "weight"))
     return doc, vocab
 

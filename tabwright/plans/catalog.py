@@ -17,4 +17,4 @@ def all_oracles():
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["profile_lineitem"](spark, sf_dir)
+    return QUERIES["prep_slice_lineitem"](spark, sf_dir)

@@ -258,3 +258,45 @@ def q_regression_f(spark, sf):
     li = table(spark, sf, "lineitem")
     return rounded(select.univariate_select(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 1,
                                             classification=False), 4)
+
+
+# ---------------------------------------------------------------- flagship slice (entry)
+
+_SL_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _slice_sql() -> str:
+    from tabwright.plans.q_profile import profile_sql
+    imp = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT avg(CAST({c} AS DOUBLE)) FROM src)) AS {c}" for c in _SL_NUM)
+    sc = ", ".join(f"({c} - (SELECT avg({c}) FROM imp)) / coalesce(nullif((SELECT stddev_pop({c}) FROM imp), 0), 1) AS {c}"
+                   for c in _SL_NUM)
+    keys = ", ".join(LINEITEM_KEY)
+    md5 = sql_md5_order(LINEITEM_KEY, 42)
+    body = f"""WITH src AS ({sql_lineitem_with_nulls()}),
+imp AS (SELECT {keys}, {imp}, l_returnflag,
+  coalesce(l_linestatus, {_mode_sql('l_linestatus')}, 'Unknown') AS l_linestatus FROM src),
+scl AS (SELECT {keys}, {sc}, l_returnflag, l_linestatus FROM imp),
+c AS (SELECT l_returnflag AS y, count(*) AS n FROM scl GROUP BY 1),
+t AS (SELECT sum(n) AS tot, CAST(floor(sum(n) * 10 / 100.0) AS BIGINT) AS k FROM c),
+b AS (SELECT y, n, (n * k) // tot AS base, (n * k) % tot AS rem FROM c, t),
+q AS (SELECT y, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, y) <= (SELECT k FROM t) - (SELECT sum(base) FROM b)
+      THEN 1 ELSE 0 END AS quota FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {md5}, l_extendedprice) AS rn FROM scl)
+SELECT {keys}, {', '.join(_SL_NUM)}, l_returnflag, l_linestatus FROM r JOIN q ON r.l_returnflag IS NOT DISTINCT FROM q.y
+WHERE rn <= quota"""
+    cols = [("l_orderkey", "bigint", "numeric"), ("l_partkey", "bigint", "numeric"), ("l_suppkey", "bigint", "numeric"),
+            ("l_linenumber", "int", "numeric")] + [(c, "double", "numeric") for c in _SL_NUM] + [
+        ("l_returnflag", "string", "categorical"), ("l_linestatus", "string", "categorical")]
+    return profile_sql(body, cols)
+
+
+@register("prep_slice_lineitem", _slice_sql())
+def q_prep_slice(spark, sf):
+    """Impute mean (target excluded) -> z-score -> 10 % stratified sample by the target -> column profile."""
+    from tabwright.operators.profile import profile
+    li = lineitem_with_nulls(spark, sf).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_SL_NUM,
+                                               "l_returnflag", "l_linestatus")
+    imp = prep.impute(li, "mean", exclude=[*LINEITEM_KEY, "l_returnflag"])
+    scl = prep.scale(imp, "zscore", exclude=LINEITEM_KEY)
+    smp = sample.stratified_sample(scl, "l_returnflag", 10, LINEITEM_KEY, ["l_extendedprice"], seed=42)
+    return rounded(profile(smp))
