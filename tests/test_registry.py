@@ -17,7 +17,8 @@ def test_streaming_prep_is_stateless(spark, tmp_path):
     from tabwright.operators import prep
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     sc = prep.fit_scaler(ev.select("value"), "zscore")
-    stream = spark.readStream.schema(ev.schema).parquet("/root/testdata/sf0.001/events.parquet")
+    stream = (spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet")
+              .parquet("/root/testdata/sf0.001"))
     q = (sc.transform(stream.select("event_id", "value")).writeStream.format("memory").queryName("tw_scaled")
          .option("checkpointLocation", str(tmp_path / "ck")).start())
     q.processAllAvailable()

@@ -56,5 +56,5 @@ def test_jdbc_derby_roundtrip(spark):
     back = read_jdbc(spark, url, table="T1", driver="org.apache.derby.jdbc.EmbeddedDriver",
                      partition_column="ID", lower_bound=0, upper_bound=50, num_partitions=4)
     assert back.count() == 50
-    q = read_jdbc(spark, url, query="SELECT * FROM T1 WHERE ID < 10", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    q = read_jdbc(spark, url, query='SELECT * FROM T1 WHERE "id" < 10', driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert q.count() == 10
