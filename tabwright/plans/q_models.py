@@ -114,3 +114,49 @@ for _tid in ("lda", "lsi", "nmf", "rp"):
 
 
 _ = F
+
+
+# ---------------------------------------------------------------- explanation and model-based imputation
+
+@register("contrib_ols_lineitem", f"""
+WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, avg(l_quantity) AS m FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {rnd('l_extendedprice', 2)} AS l_extendedprice,
+  'l_quantity' AS feature, {rnd('b * (l_quantity - m)', 4)} AS contribution FROM lineitem, f""")
+def q_contrib(spark, sf):
+    from tabwright.models.linear import GramRegressor
+    from tabwright.operators.explain import linear_contributions
+    li = table(spark, sf, "lineitem").withColumn("__rid", F.struct(*LINEITEM_KEY, "l_extendedprice"))
+    f = GramRegressor("lr", "regression", "").fit(li, ["l_quantity"], "l_extendedprice")
+    c = linear_contributions(li, ["l_quantity"], f.coef, "__rid")
+    return c.select(*[F.col(f"__rid.{k}").alias(k) for k in LINEITEM_KEY],
+                    F.round("__rid.l_extendedprice", 2).alias("l_extendedprice"), "feature",
+                    F.round("contribution", 4).alias("contribution"))
+
+
+@register("shap_lr_customer")
+def q_shap(spark, sf):
+    from tabwright.models.linear import GramRegressor
+    from tabwright.operators.explain import shapley_sampled
+    c = table(spark, sf, "customer")
+    f = GramRegressor("lr", "regression", "").fit(c, ["c_nationkey", "c_custkey"], "c_acctbal")
+    return shapley_sampled(f, c, ["c_nationkey", "c_custkey"], "c_custkey", n_perm=5)
+
+
+def _li_nulls_id(spark, sf):
+    from tabwright.sources.tables import lineitem_with_nulls
+    li = lineitem_with_nulls(spark, sf)
+    return li.withColumn("rid", F.md5(F.concat_ws("|", *LINEITEM_KEY, "l_extendedprice"))).select(
+        "rid", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@register("impute_knn_lineitem")
+def q_impute_knn(spark, sf):
+    from tabwright.operators.impute_model import knn_impute
+    return knn_impute(_li_nulls_id(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "rid")
+
+
+@register("impute_iterative_lineitem")
+def q_impute_iter(spark, sf):
+    from tabwright.operators.impute_model import iterative_impute
+    return iterative_impute(_li_nulls_id(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                            rounds=5)
