@@ -48,6 +48,56 @@ def _with_pivots(df: DataFrame, pivots: list[list[float]]) -> DataFrame:
     return df.withColumn("__pd", F.array(*dists))
 
 
+COARSE = 1024  # coarse quantile ranges of the first pivot distance (bounds the inlined literals)
+
+
+def _bucketizer(r: DataFrame, col: str, bucket_rows: int, coarse: int = COARSE):
+    """Monotone bucket function with about ``bucket_rows`` reference rows per bucket.
+
+    Level 1: ``coarse`` ranges cut at approximate quantiles (a mergeable sketch).
+    Level 2: each range split into equal-width sub-buckets, as many as its row
+    count / ``bucket_rows``. Only per-range constants (at most ``coarse`` of
+    each) reach the driver and the expressions - never a list that grows with N.
+    """
+    cuts = [i / coarse for i in range(1, coarse)]
+    agg = r.agg(F.percentile_approx(col, cuts, 10 * coarse).alias("b"), F.min(col).alias("lo"),
+                F.max(col).alias("hi")).first()
+    if agg["lo"] is None:
+        return (lambda c: F.lit(0)), 1
+    bounds = sorted(set(float(x) for x in (agg["b"] or [])))
+    blit = F.array(*[F.lit(b) for b in bounds]).cast("array<double>") if bounds else F.array().cast("array<double>")
+
+    def coarse_of(c: Column) -> Column:
+        return F.size(F.filter(blit, lambda b: b < c))
+
+    counts = {x["c"]: x["n"] for x in r.groupBy(coarse_of(F.col(col)).alias("c")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}  # at most `coarse` rows
+    edges = [float(agg["lo"])] + bounds + [float(agg["hi"])]
+    los, widths, subs, offs = [], [], [], []
+    acc = 0
+    for i in range(len(bounds) + 1):
+        sub = max(1, -(-counts.get(i, 0) // bucket_rows))
+        los.append(edges[i])
+        widths.append(max(edges[i + 1] - edges[i], 0.0))
+        subs.append(sub)
+        offs.append(acc)
+        acc += sub
+    L = F.array(*[F.lit(x) for x in los])
+    W = F.array(*[F.lit(x) for x in widths])
+    S = F.array(*[F.lit(x) for x in subs])
+    O = F.array(*[F.lit(x) for x in offs])
+
+    def bucket_of(c: Column) -> Column:
+        ci = coarse_of(c) + 1
+        w = F.element_at(W, ci)
+        s = F.element_at(S, ci)
+        frac = F.when(w > 0, (c - F.element_at(L, ci)) / w).otherwise(F.lit(0.0))
+        sub = F.least(F.greatest(F.floor(frac * s), F.lit(0)), s - 1)
+        return (F.element_at(O, ci) + sub).cast("int")
+
+    return bucket_of, acc
+
+
 def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5, id_col: str = "id",
              vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 128,
              seed: int = 7) -> DataFrame:
@@ -68,17 +118,7 @@ def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5,
     r = _with_pivots(r, pivots).withColumn("__d1", F.col("__pd")[0])
     q = _with_pivots(q, pivots).withColumn("__d1", F.col("__pd")[0])
 
-    n_ref = r.count()
-    n_buckets = max(1, n_ref // bucket_rows)
-    cuts = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = r.agg(F.percentile_approx("__d1", cuts, max(10000, 10 * n_buckets)).alias("b")).first()["b"] if cuts else []
-    bounds = [float(b) for b in (bounds or [])]
-    blit = F.array(*[F.lit(b) for b in bounds]).cast("array<double>") if bounds else F.array().cast("array<double>")
-    # bucket i holds d1 in (bounds[i-1], bounds[i]]; lo/hi of the searched range below use these edges.
-
-    def bucket_of(c: Column) -> Column:
-        return F.size(F.filter(blit, lambda b: b < c))
-
+    bucket_of, nb = _bucketizer(r, "__d1", bucket_rows)
     r = r.withColumn("__b", bucket_of(F.col("__d1")))
     q = q.withColumn("__qb", bucket_of(F.col("__d1")))
     rr = r.select("nid", F.col("__v").alias("__rv"), F.col("__pd").alias("__rpd"), "__b")
@@ -92,17 +132,14 @@ def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5,
     w = Window.partitionBy("qid").orderBy("dist", "nid")
     top1 = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    # radius and resolution per query
-    nb = len(bounds) + 1
+    # radius and resolution per query: every point outside buckets qb-1..qb+1 is farther than r
+    # from q exactly when the band [d1-r, d1+r] maps into those buckets (bucket_of is monotone).
     kth = top1.groupBy("qid").agg(F.max("dist").alias("__r"), F.count(F.lit(1)).alias("__n"))
     qs = q.join(kth, "qid", "left")
     full = F.coalesce(F.col("__n"), F.lit(0)) >= k
-    # points in buckets <= qb-2 have d1 <= bounds[qb-2]; points in buckets >= qb+2 have d1 > bounds[qb+1]
-    lo_ok = (F.col("__qb") - 2 < 0) | (F.try_element_at(blit, F.greatest(F.col("__qb") - 1, F.lit(1)))
-                                        < F.col("__d1") - F.col("__r"))
-    hi_ok = (F.col("__qb") + 2 > nb - 1) | (F.col("__d1") + F.col("__r")
-                                             <= F.try_element_at(blit, F.least(F.col("__qb") + 2, F.lit(max(nb - 1, 1)))))
-    qs = qs.withColumn("__done", full & lo_ok & hi_ok)
+    inside = ((bucket_of(F.col("__d1") - F.col("__r")) >= F.col("__qb") - 1)
+              & (bucket_of(F.col("__d1") + F.col("__r")) <= F.col("__qb") + 1))
+    qs = qs.withColumn("__done", full & inside)
     done_ids = qs.where("__done").select("qid")
     pending = qs.where(~F.col("__done")).withColumn(
         "__rad", F.when(full, F.col("__r")).otherwise(F.lit(float("inf"))))
@@ -111,6 +148,7 @@ def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5,
     inf = F.col("__rad") == float("inf")
     b_lo = F.when(inf, F.lit(0)).otherwise(bucket_of(F.col("__d1") - F.col("__rad")))
     b_hi = F.when(inf, F.lit(nb - 1)).otherwise(bucket_of(F.col("__d1") + F.col("__rad")))
+    # a band can span many buckets; the lower-bound filter below prunes before distances
     p2 = pending.withColumn("__b", F.explode(F.sequence(b_lo, b_hi))).join(rr, "__b")
     if exclude_self:
         p2 = p2.where(F.col("qid") != F.col("nid"))
