@@ -1,19 +1,19 @@
 """Exact, distributed quantiles with linear interpolation (pandas / DuckDB ``quantile_cont``).
 
-Input is a value-frequency table ``(group, value, n)``. A single ``percentile``
-aggregate per group would hold every distinct value of a group in one task, so
-the work is split:
+Input is a value-frequency table ``(group, value, n)`` with one row per distinct
+value. A single ``percentile`` aggregate per group would hold every distinct
+value of a group in one task, so each wanted rank is located by narrowing a
+value range:
 
-1. ``percentile_approx`` (a mergeable sketch, bounded memory, partial-aggregated)
-   cuts each group's distinct values into ``buckets`` ranges of similar size;
-2. a ``groupBy(group, bucket)`` gives the weight of each range (a table of at
-   most groups x buckets rows), whose prefix sums locate the bucket that holds
-   each wanted rank;
-3. only the wanted buckets are read again, and a running sum inside each
-   (group, bucket) window finds the exact value at the rank.
+1. for every open range, ``percentile_approx`` (a mergeable sketch, bounded
+   memory, partial-aggregated) proposes ``buckets`` cut points inside it;
+2. a ``groupBy(range, bucket)`` weighs the sub-ranges (a table of at most
+   ranges x buckets rows) and the driver keeps the sub-range holding the rank;
+3. once a range holds at most ``window_limit`` distinct values, a running sum
+   inside that range alone (one window partition per range) gives the value.
 
 Every step is distributed; no group's values pass through one task or the
-driver. The driver only sees the small bucket-weight table.
+driver, and window partitions are bounded by ``window_limit``.
 """
 
 from __future__ import annotations
@@ -25,57 +25,90 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(freq: DataFrame, probs: list[float], group: str = "column", value: str = "value",
-                    weight: str = "n", buckets: int = 256) -> DataFrame:
+                    weight: str = "n", buckets: int = 256, window_limit: int = 200_000) -> DataFrame:
     """Return ``(group, p, q)`` for every group with at least one value and every p in probs."""
     spark = freq.sparkSession
     probs = [float(p) for p in probs]
+    gtype = freq.schema[group].dataType.simpleString()
     f = freq.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"),
                     F.col(weight).cast("bigint").alias("w")).where(F.col("v").isNotNull())
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = f.groupBy("g").agg(F.percentile_approx("v", cuts, 10 * buckets).alias("bounds"))
-    # bounds has one row per group: its size is fixed by the number of groups, not rows.
-    tagged = (f.join(F.broadcast(bounds), "g")
-              .select("g", "v", "w", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("b")))
-    weights = tagged.groupBy("g", "b").agg(F.sum("w").alias("cnt")).collect()
-
-    per_group: dict = {}
-    for r in weights:
-        per_group.setdefault(r["g"], []).append((r["b"], r["cnt"]))
+    totals = {r["g"]: r["N"] for r in f.groupBy("g").agg(F.sum("w").alias("N")).collect()}  # one row per group
+    # targets: [g, p, which, frac, rank, lo, hi, below]
     targets = []
-    for g, bl in per_group.items():
-        bl.sort()
-        total = sum(c for _, c in bl)
-        starts, acc = [], 0
-        for b, c in bl:
-            starts.append((b, acc, c))
-            acc += c
+    for g, total in totals.items():
         for p in probs:
             pos = (total - 1) * p
-            lo = math.floor(pos)
-            hi = min(lo + 1, total - 1)
-            frac = pos - lo
-            for which, rank in (("lo", lo), ("hi", hi)):
-                for b, s, c in starts:
-                    if s <= rank < s + c:
-                        targets.append((g, p, which, float(frac), int(b), int(rank - s)))
-                        break
-    schema = f"g {freq.schema[group].dataType.simpleString()}, p double, which string, frac double, b int, off bigint"
-    tdf = spark.createDataFrame(targets, schema)
-    need = tdf.select("g", "b").distinct()
-    w = Window.partitionBy("g", "b").orderBy("v")
-    ranked = (tagged.join(F.broadcast(need), ["g", "b"], "left_semi")
-              .withColumn("end", F.sum("w").over(w))
-              .withColumn("start", F.col("end") - F.col("w")))
-    hit = (ranked.join(F.broadcast(tdf), ["g", "b"])
-           .where((F.col("off") >= F.col("start")) & (F.col("off") < F.col("end")))
-           .select("g", "p", "which", "frac", "v"))
-    out = (hit.groupBy("g", "p")
-           .agg(F.max(F.when(F.col("which") == "lo", F.col("v"))).alias("lo"),
-                F.max(F.when(F.col("which") == "hi", F.col("v"))).alias("hi"),
-                F.max("frac").alias("frac"))
-           .select(F.col("g").alias(group), "p",
-                   (F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo"))).alias("q")))
-    return out
+            lo_r = math.floor(pos)
+            for which, rank in (("lo", lo_r), ("hi", min(lo_r + 1, total - 1))):
+                targets.append({"g": g, "p": p, "which": which, "frac": pos - lo_r, "rank": int(rank),
+                                "lo": None, "hi": None, "below": 0})
+    found: dict[int, float] = {}
+    active = list(range(len(targets)))
+    rschema = f"rid int, g {gtype}, lo double, hi double"
+    while active:
+        keys = sorted({(str(targets[i]["g"]), targets[i]["lo"], targets[i]["hi"]) for i in active},
+                      key=lambda t: (t[0], t[1] is not None, t[1] or 0.0))
+        rid_of = {k: j for j, k in enumerate(keys)}
+        gval = {str(targets[i]["g"]): targets[i]["g"] for i in active}
+        rdf = spark.createDataFrame([(j, gval[k[0]], k[1], k[2]) for k, j in rid_of.items()], rschema)
+        inr = (f.join(F.broadcast(rdf), "g")
+               .where((F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi")))))
+        sizes = {r["rid"]: r["c"] for r in inr.groupBy("rid").agg(F.count(F.lit(1)).alias("c")).collect()}
+        small = {j for j, c in sizes.items() if c <= window_limit}
+        if small:
+            tl = [(rid_of[(str(targets[i]["g"]), targets[i]["lo"], targets[i]["hi"])], i,
+                   targets[i]["rank"] - targets[i]["below"]) for i in active]
+            tl = [t for t in tl if t[0] in small]
+            tdf = spark.createDataFrame(tl, "rid int, tid int, off bigint")
+            w = Window.partitionBy("rid").orderBy("v")
+            ranked = (inr.join(F.broadcast(tdf.select("rid").distinct()), "rid", "left_semi")
+                      .withColumn("end", F.sum("w").over(w)).withColumn("start", F.col("end") - F.col("w")))
+            hit = (ranked.join(F.broadcast(tdf), "rid")
+                   .where((F.col("off") >= F.col("start")) & (F.col("off") < F.col("end"))).select("tid", "v"))
+            for r in hit.collect():  # one row per target
+                found[r["tid"]] = r["v"]
+            done = {t[1] for t in tl}
+            active = [i for i in active if i not in done]
+        big = [j for j in sizes if j not in small]
+        if not big:
+            break
+        cuts = [i / buckets for i in range(1, buckets)]
+        sub = inr.where(F.col("rid").isin(big))
+        bnds = {r["rid"]: sorted(set(r["b"] or [])) for r in
+                sub.groupBy("rid").agg(F.percentile_approx("v", cuts, 10 * buckets).alias("b")).collect()}
+        bdf = spark.createDataFrame([(j, [float(x) for x in b]) for j, b in bnds.items()], "rid int, bounds array<double>")
+        wts = (sub.join(F.broadcast(bdf), "rid")
+               .select("rid", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("b"), "w")
+               .groupBy("rid", "b").agg(F.sum("w").alias("cnt")).collect())  # ranges x buckets rows
+        per: dict = {}
+        for r in wts:
+            per.setdefault(r["rid"], []).append((r["b"], r["cnt"]))
+        for i in active:
+            t = targets[i]
+            j = rid_of[(str(t["g"]), t["lo"], t["hi"])]
+            if j not in per:
+                continue
+            bl = sorted(per[j])
+            local = t["rank"] - t["below"]
+            acc = 0
+            for b, c in bl:
+                if acc + c > local:
+                    bs = bnds[j]
+                    t["lo"] = bs[b - 1] if b >= 1 else t["lo"]
+                    t["hi"] = bs[b] if b < len(bs) else t["hi"]
+                    t["below"] += acc
+                    break
+                acc += c
+    rows = {}
+    for i, t in enumerate(targets):
+        key = (t["g"], t["p"])
+        rows.setdefault(key, {"frac": t["frac"]})[t["which"]] = found.get(i)
+    out = []
+    for (g, p), d in rows.items():
+        lo, hi = d.get("lo"), d.get("hi")
+        hi = lo if hi is None else hi
+        out.append((g, p, None if lo is None else lo + d["frac"] * (hi - lo)))
+    return spark.createDataFrame(out, f"{group} {gtype}, p double, q double")
 
 
 def quantile_table(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256) -> DataFrame:

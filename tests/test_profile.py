@@ -89,3 +89,16 @@ def test_exact_quantiles_match_numpy(spark):
     for p in (0.1, 0.5, 0.93):
         assert q[("x", p)] == pytest.approx(float(np.quantile(v, p)))
     _ = math, F
+
+
+def test_exact_quantiles_refine_many_rounds(spark):
+    import numpy as np
+    from tabwright.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=5000), 4)
+    v[:1700] = 0.0  # a hot value holding a third of the rows
+    df = spark.createDataFrame([("x", float(x)) for x in v], "column string, value double")
+    freq = df.groupBy("column", "value").count().withColumnRenamed("count", "n")
+    got = {r["p"]: r["q"] for r in exact_quantiles(freq, [0.05, 0.33, 0.5, 0.99], buckets=4, window_limit=20).collect()}
+    for p, q in got.items():
+        assert q == pytest.approx(float(np.quantile(v, p)))
