@@ -32,6 +32,10 @@ def exact_quantiles(freq: DataFrame, probs: list[float], group: str = "column",
     gtype = freq.schema[group].dataType.simpleString()
     f = freq.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"),
                     F.col(weight).cast("bigint").alias("w")).where(F.col("v").isNotNull())
+    # the frequency table is read once per narrowing round: materialise it (reliable checkpoint) instead of
+    # re-running its shuffle every round
+    from tabwright.session import cut_lineage
+    f = cut_lineage(f)
     totals = {r["g"]: r["N"] for r in f.groupBy("g").agg(F.sum("w").alias("N")).collect()}  # one row per group
     # targets: [g, p, which, frac, rank, lo, hi, below]
     targets = []

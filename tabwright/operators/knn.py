@@ -14,12 +14,14 @@ Plan
    join. The k best candidates per query give a radius ``r``; the query is
    *resolved* when the band ``[d1(q)-r, d1(q)+r]`` lies strictly inside the
    buckets already searched, since every point outside is farther than ``r``.
-4. Unresolved queries join again with every bucket overlapping their band,
-   with the pivot lower bound and ``dist <= r`` as filters, and the union is
-   re-ranked. Both rounds are exact.
-
-Top-k per query is ``row_number`` over a partition that holds only that
-query's candidates (bounded by a few buckets in round 1).
+4. Unresolved queries are paired again with every bucket overlapping their
+   band, keeping only candidates with ``dist <= r``, and re-ranked. Both
+   rounds are exact.
+
+Distances are computed per (bucket, query chunk) block in numpy through
+``cogroup().applyInPandas`` - bounded blocks, vectorised arithmetic - and only
+the k best candidates per query and block leave a block. Top-k per query is
+then ``row_number`` over at most k rows per paired bucket.
 Ties in distance are broken by the neighbour id.
 """
 
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import key_text
+from tabwright.session import cut_lineage
 
 
 def vector_of(cols: list[str]) -> Column:
@@ -59,9 +62,13 @@ def _bucketizer(r: DataFrame, col: str, bucket_rows: int, coarse: int = COARSE):
     count / ``bucket_rows``. Only per-range constants (at most ``coarse`` of
     each) reach the driver and the expressions - never a list that grows with N.
     """
+    n = r.count()
+    coarse = max(1, min(coarse, n // max(bucket_rows, 1)))
     cuts = [i / coarse for i in range(1, coarse)]
-    agg = r.agg(F.percentile_approx(col, cuts, 10 * coarse).alias("b"), F.min(col).alias("lo"),
+    agg = r.agg(F.percentile_approx(col, cuts or [0.5], 10 * max(coarse, 1000)).alias("b"), F.min(col).alias("lo"),
                 F.max(col).alias("hi")).first()
+    if not cuts:
+        agg = {"b": [], "lo": agg["lo"], "hi": agg["hi"]}
     if agg["lo"] is None:
         return (lambda c: F.lit(0)), 1
     bounds = sorted(set(float(x) for x in (agg["b"] or [])))
@@ -98,8 +105,64 @@ def _bucketizer(r: DataFrame, col: str, bucket_rows: int, coarse: int = COARSE):
     return bucket_of, acc
 
 
+CHUNK = 2048  # query rows per (bucket, chunk) block: bounds every cogroup group
+
+
+def _block_topk(qrows: DataFrame, rrows: DataFrame, k: int, exclude_self: bool, id_types: tuple[str, str],
+                radius: bool = False) -> DataFrame:
+    """k best (qid, nid, dist) per query inside each bucket it is paired with.
+
+    ``qrows``: (qid, __v, __b[, __rad]) - one row per (query, bucket) pairing;
+    ``rrows``: (nid, __rv, __b). Queries of a bucket are split into chunks of at
+    most ``CHUNK`` rows (the bucket's reference rows are repeated per chunk), and
+    each (bucket, chunk) block computes its distances in numpy. Only k rows per
+    query and block leave the block - never the pairs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    qc = qrows.groupBy("__b").agg(F.count(F.lit(1)).alias("__nq"))
+    qc = qc.select("__b", F.greatest(F.lit(1), F.ceil(F.col("__nq") / F.lit(CHUNK))).cast("int").alias("__nchunk"))
+    q = (qrows.join(qc, "__b")
+         .withColumn("__c", F.pmod(F.xxhash64(F.col("qid")), F.col("__nchunk")).cast("int")).drop("__nchunk"))
+    r = rrows.join(qc, "__b").withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__nchunk") - 1))).drop("__nchunk")
+    qt, nt = id_types
+
+    def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if len(qp) == 0 or len(rp) == 0:
+            return pd.DataFrame({"qid": [], "nid": [], "dist": []})
+        R = np.stack(rp["__rv"].to_numpy()).astype(float)
+        nids = rp["nid"].to_numpy()
+        order_n = np.argsort(nids, kind="stable")  # ties in distance -> smaller neighbour id first
+        R, nids = R[order_n], nids[order_n]
+        qids_all = qp["qid"].to_numpy()
+        Q_all = np.stack(qp["__v"].to_numpy()).astype(float)
+        rad_all = qp["__rad"].to_numpy(float) if radius else None
+        out_q, out_n, out_d = [], [], []
+        for s in range(0, len(Q_all), 256):
+            Q = Q_all[s:s + 256]
+            qids = qids_all[s:s + 256]
+            D = np.sqrt(((Q[:, None, :] - R[None, :, :]) ** 2).sum(-1))
+            if exclude_self:
+                D[qids[:, None] == nids[None, :]] = np.inf
+            if radius:
+                D[D > rad_all[s:s + 256, None]] = np.inf
+            kk = min(k, D.shape[1])
+            idx = np.argsort(D, axis=1, kind="stable")[:, :kk]
+            dd = np.take_along_axis(D, idx, axis=1)
+            ok = np.isfinite(dd)
+            out_q.append(np.repeat(qids, kk).reshape(-1, kk)[ok])
+            out_n.append(nids[idx][ok])
+            out_d.append(dd[ok])
+        return pd.DataFrame({"qid": np.concatenate(out_q), "nid": np.concatenate(out_n),
+                             "dist": np.concatenate(out_d)})
+
+    return (q.groupBy("__b", "__c").cogroup(r.groupBy("__b", "__c"))
+            .applyInPandas(block, f"qid {qt}, nid {nt}, dist double"))
+
+
 def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5, id_col: str = "id",
-             vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 128,
+             vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 256,
              seed: int = 7) -> DataFrame:
     """Return ``(qid, nid, rank, dist)``: the k nearest reference rows of every query row.
 
@@ -124,13 +187,12 @@ def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5,
     rr = r.select("nid", F.col("__v").alias("__rv"), F.col("__pd").alias("__rpd"), "__b")
 
     # ---- round 1: own bucket and both neighbours
-    q1 = q.withColumn("__b", F.explode(F.array(F.col("__qb") - 1, F.col("__qb"), F.col("__qb") + 1)))
-    pairs = q1.join(rr, "__b")
-    if exclude_self:
-        pairs = pairs.where(F.col("qid") != F.col("nid"))
-    pairs = pairs.select("qid", "nid", euclid(F.col("__v"), F.col("__rv")).alias("dist"))
+    id_types = (q.schema["qid"].dataType.simpleString(), rr.schema["nid"].dataType.simpleString())
+    q1 = q.select("qid", "__v", F.explode(F.array(F.col("__qb") - 1, F.col("__qb"), F.col("__qb") + 1)).alias("__b"))
+    pairs = _block_topk(q1, rr, k, exclude_self, id_types)
     w = Window.partitionBy("qid").orderBy("dist", "nid")
-    top1 = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # k rows per query, read twice below: materialise once instead of recomputing the blocks
+    top1 = cut_lineage(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
     # radius and resolution per query: every point outside buckets qb-1..qb+1 is farther than r
     # from q exactly when the band [d1-r, d1+r] maps into those buckets (bucket_of is monotone).
@@ -148,15 +210,8 @@ def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5,
     inf = F.col("__rad") == float("inf")
     b_lo = F.when(inf, F.lit(0)).otherwise(bucket_of(F.col("__d1") - F.col("__rad")))
     b_hi = F.when(inf, F.lit(nb - 1)).otherwise(bucket_of(F.col("__d1") + F.col("__rad")))
-    # a band can span many buckets; the lower-bound filter below prunes before distances
-    p2 = pending.withColumn("__b", F.explode(F.sequence(b_lo, b_hi))).join(rr, "__b")
-    if exclude_self:
-        p2 = p2.where(F.col("qid") != F.col("nid"))
-    lb = F.aggregate(F.zip_with("__pd", "__rpd", lambda a, b: F.abs(a - b)), F.lit(0.0),
-                     lambda acc, v: F.greatest(acc, v))
-    p2 = (p2.where(lb <= F.col("__rad"))
-          .select("qid", "nid", "__rad", euclid(F.col("__v"), F.col("__rv")).alias("dist"))
-          .where(F.col("dist") <= F.col("__rad")).drop("__rad"))
+    p2q = pending.select("qid", "__v", "__rad", F.explode(F.sequence(b_lo, b_hi)).alias("__b"))
+    p2 = _block_topk(p2q, rr, k, exclude_self, id_types, radius=True)
     top2 = p2.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     res1 = top1.join(done_ids, "qid", "left_semi")

@@ -322,3 +322,52 @@ def load_model(spark, path: str):
     rp = os.path.join(path, "results")
     res = spark.read.parquet(rp) if os.path.exists(rp) else None
     return f, cfg, res
+
+
+def compare_unsupervised(df: DataFrame, features: list[str], id_col: str, problem: str,
+                         include: list[str] | None = None, contamination: float = 0.05) -> DataFrame:
+    """Clustering: (model, n_clusters, noise_rows, silhouette, fit_seconds, error);
+    anomaly: (model, score_p50, score_p95, outliers, fit_seconds, error). A failing model keeps a row."""
+    from tabwright.functions.quantiles import quantile_dict
+    spark = df.sparkSession
+    rows = []
+    if problem == "clustering":
+        from tabwright.models.cluster import CLUSTERERS, silhouette
+        for mid in include or list(CLUSTERERS):
+            t0 = time.time()
+            try:
+                a = cut_lineage(CLUSTERERS[mid](df, features, id_col))
+                st = a.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
+                           F.sum((F.col("cluster") < 0).cast("int")).alias("noise")).first()
+                rows.append((mid, int(st["k"]), int(st["noise"] or 0), silhouette(a, df, features, id_col),
+                             time.time() - t0, None))
+            except Exception as e:  # noqa: BLE001
+                rows.append((mid, None, None, None, time.time() - t0, f"{type(e).__name__}: {str(e)[:200]}"))
+        return spark.createDataFrame(rows, "model string, n_clusters int, noise_rows int, silhouette double, "
+                                           "fit_seconds double, error string")
+    if problem == "anomaly":
+        from tabwright.operators import anomaly, neighbors
+        dets = dict(anomaly.DETECTORS)
+        vec_based = {"knn": neighbors.knn_outlier, "lof": neighbors.lof, "abod": neighbors.abod, "cof": neighbors.cof}
+        for mid in include or (list(dets) + list(vec_based)):
+            t0 = time.time()
+            try:
+                if mid in dets:
+                    s = dets[mid](df, features, id_col=id_col)
+                else:
+                    v = df.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("vec"))
+                    s = vec_based[mid](v).withColumnRenamed("id", id_col)
+                s = cut_lineage(s)
+                q = quantile_dict(s, ["score"], [0.5, 0.95, 1 - contamination])
+                n_out = s.where(F.col("score") > F.lit(q[("score", 1 - contamination)])).count()
+                rows.append((mid, q[("score", 0.5)], q[("score", 0.95)], n_out, time.time() - t0, None))
+            except Exception as e:  # noqa: BLE001
+                rows.append((mid, None, None, None, time.time() - t0, f"{type(e).__name__}: {str(e)[:200]}"))
+        return spark.createDataFrame(rows, "model string, score_p50 double, score_p95 double, outliers long, "
+                                           "fit_seconds double, error string")
+    raise ValueError(f"Unsupported problem type: {problem}")
+
+
+def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
+    """First rows for display; with ``order_by`` the rows are deterministic (top-k by that key)."""
+    return df.orderBy(*order_by).limit(n) if order_by else df.limit(n)

@@ -160,3 +160,38 @@ def q_impute_iter(spark, sf):
     from tabwright.operators.impute_model import iterative_impute
     return iterative_impute(_li_nulls_id(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
                             rounds=5)
+
+
+@register("compare_clustering_customer")
+def q_compare_clu(spark, sf):
+    from tabwright.plans.experiment import compare_unsupervised
+    return compare_unsupervised(_cust(spark, sf), ["c_acctbal", "c_nationkey"], "c_custkey", "clustering",
+                                include=["kmeans", "hclust", "dbscan"])
+
+
+@register("compare_anomaly_customer")
+def q_compare_ano(spark, sf):
+    from tabwright.plans.experiment import compare_unsupervised
+    return compare_unsupervised(_cust(spark, sf), ["c_acctbal", "c_nationkey"], "c_custkey", "anomaly",
+                                include=["iforest", "histogram", "pca", "lof"])
+
+
+@register("leaderboard_summary_lineitem")
+def q_board_summary(spark, sf):
+    from tabwright.operators.metrics import leaderboard_summary
+    board = _reg_exp(spark, sf).compare_models(include=["lr", "ridge", "lasso", "omp", "br", "ard"], sort="mae")
+    return leaderboard_summary(board, "mae", 5)
+
+
+@register("data_summary_orders")
+def q_data_summary(spark, sf):
+    from tabwright.operators.profile import data_summary
+    return data_summary(table(spark, sf, "orders"))
+
+
+@register("analysis_summary_lineitem")
+def q_analysis_summary(spark, sf):
+    from tabwright.operators.explain import analysis_summary
+    ex = _reg_exp(spark, sf)
+    f = ex.create_model("lr")
+    return analysis_summary(ex.importance(f), ex.predict(f), "__label", "prediction")
