@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(freq: DataFrame, probs: list[float], group: str = "column", value: str = "value",
-                    weight: str = "n", buckets: int = 256, window_limit: int = 200_000) -> DataFrame:
+                    weight: str = "n", buckets: int = 256, window_limit: int = 200_000,
+                    materialized: bool = False) -> DataFrame:
     """Return ``(group, p, q)`` for every group with at least one value and every p in probs."""
     spark = freq.sparkSession
     probs = [float(p) for p in probs]
@@ -34,8 +35,9 @@ def exact_quantiles(freq: DataFrame, probs: list[float], group: str = "column",
                     F.col(weight).cast("bigint").alias("w")).where(F.col("v").isNotNull())
     # the frequency table is read once per narrowing round: materialise it (reliable checkpoint) instead of
     # re-running its shuffle every round
-    from tabwright.session import cut_lineage
-    f = cut_lineage(f)
+    if not materialized:
+        from tabwright.session import cut_lineage
+        f = cut_lineage(f)
     totals = {r["g"]: r["N"] for r in f.groupBy("g").agg(F.sum("w").alias("N")).collect()}  # one row per group
     # targets: [g, p, which, frac, rank, lo, hi, below]
     targets = []

@@ -1,8 +1,8 @@
 """Distributed running totals over an ordered numeric key.
 
 A window ``ORDER BY key`` without ``PARTITION BY`` moves every row into one
-task. Here rows are cut into ranges by approximate quantiles of the key, range
-totals (at most ``buckets`` per group) give each range its starting offset,
+task. Here rows are cut into ranges of bounded size (approximate quantiles,
+then equal-width splits), range totals give each range its starting offset,
 and the running sum is a window *inside each range* plus that offset.
 """
 
@@ -12,33 +12,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_totals(df: DataFrame, key: str, cols: list[str], group: list[str] = (), buckets: int = 256,
-                   descending: bool = False) -> DataFrame:
+def running_totals(df: DataFrame, key: str, cols: list[str], group: list[str] = (), bucket_rows: int = 100_000,
+                   descending: bool = False, max_groups: int = 1000) -> DataFrame:
     """Add ``cum_<c>``: sum of c over rows whose key is <= this row's key (>= when descending), per group.
 
     Ties share a value (range frame). Input should already be aggregated to one
-    row per (group, key) for tie-heavy data.
+    row per (group, key) for tie-heavy data. Groups (classes) are handled one
+    at a time; within a group the key is cut by the two-level bucketizer of
+    ``operators.knn`` (about ``bucket_rows`` rows per bucket, bounded literals),
+    bucket totals give offsets, and the window runs inside each bucket only.
     """
+    from tabwright.operators.knn import _bucketizer
     group = list(group)
-    drop_one = not group
-    if drop_one:
-        df = df.withColumn("__one", F.lit(0))
-        group = ["__one"]
     k = F.col(key).cast("double")
     d = df.withColumn("__k", -k if descending else k)
-    cuts = [i / buckets for i in range(1, buckets)]
-    # one row of bounds per group: size fixed by the number of groups.
-    bounds = d.groupBy(*group).agg(F.percentile_approx("__k", cuts, 10 * buckets).alias("__bounds"))
-    d = d.join(F.broadcast(bounds), group)
-    d = d.withColumn("__b", F.size(F.filter("__bounds", lambda b: b < F.col("__k")))).drop("__bounds")
-    tot = d.groupBy(*group, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
-    wo = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # tot has at most groups x buckets rows; its window is tiny.
-    offs = tot.select(*group, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wo), F.lit(0)).alias(f"__o_{c}") for c in cols])
-    w = (Window.partitionBy(*group, "__b").orderBy("__k")
-         .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    out = d.join(F.broadcast(offs), [*group, "__b"])
+    if group:
+        gs = d.select(*group).distinct().limit(max_groups + 1).collect()
+        if len(gs) > max_groups:
+            raise ValueError(f"more than {max_groups} groups")
+        parts = []
+        for g in gs:
+            cond = None
+            for c in group:
+                e = F.col(c).eqNullSafe(F.lit(g[c]))
+                cond = e if cond is None else cond & e
+            parts.append(_one_group(d.where(cond), cols, bucket_rows))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    return _one_group(d, cols, bucket_rows)
+
+
+def _one_group(d: DataFrame, cols: list[str], bucket_rows: int) -> DataFrame:
+    from tabwright.operators.knn import _bucketizer
+    bucket_of, nb = _bucketizer(d, "__k", bucket_rows)
+    d = d.withColumn("__b", bucket_of(F.col("__k")))
+    tot = d.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
+    wo = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per bucket (rows / bucket_rows of them): the offsets window is small
+    offs = tot.select("__b", *[F.coalesce(F.sum(f"__t_{c}").over(wo), F.lit(0)).alias(f"__o_{c}") for c in cols])
+    w = Window.partitionBy("__b").orderBy("__k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = d.join(offs, "__b")
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(w) + F.col(f"__o_{c}"))
-    out = out.drop("__k", "__b", *[f"__o_{c}" for c in cols])
-    return out.drop("__one") if drop_one else out
+    return out.drop("__k", "__b", *[f"__o_{c}" for c in cols])

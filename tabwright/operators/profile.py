@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tabwright.functions.columns import columns_of, dtype_name, kind
 from tabwright.functions.quantiles import exact_quantiles
+from tabwright.session import cut_lineage
 
 HIGH_CARDINALITY = 50  # fixed value: more uniques than this flags a categorical column
 MISSING_ISSUE_PCT = 50.0  # fixed value: missing share of cells that raises an issue
@@ -121,8 +122,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, null_length: int |
     wide = _wide_stats(sub, num, strs, others, null_length)
     parts = []
     if num:
-        nf = numeric_frequencies(sub, num)
-        q = exact_quantiles(nf, [0.25, 0.5, 0.75], buckets=buckets)
+        # read by the quantile rounds and the unique counts: materialise once
+        nf = cut_lineage(numeric_frequencies(sub, num))
+        q = exact_quantiles(nf, [0.25, 0.5, 0.75], buckets=buckets, materialized=True)
         qw = (q.groupBy("column").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q25"),
                                       F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
                                       F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q75")))
@@ -301,7 +303,8 @@ def data_summary(df: DataFrame, max_unique: int = 10, top: int = 5) -> DataFrame
     shape = df.agg(F.count(F.lit(1)).alias("rows")).select(
         F.inline(F.array(F.struct(F.lit("shape").alias("section"), F.lit("rows").alias("key"),
                                   F.lit("").alias("item"), F.col("rows").cast("string").alias("value")),
-                         F.struct(F.lit("shape"), F.lit("columns"), F.lit(""), F.lit(str(len(df.columns)))))))
+                         F.struct(F.lit("shape").alias("section"), F.lit("columns").alias("key"),
+                                  F.lit("").alias("item"), F.lit(str(len(df.columns))).alias("value")))))
     types = spark.createDataFrame([("types", f.name, "", dtype_name(f.dataType)) for f in df.schema.fields],
                                   "section string, key string, item string, value string")
     miss = missing_by_column(df).select(F.lit("missing").alias("section"), F.col("column").alias("key"),
