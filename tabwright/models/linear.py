@@ -166,7 +166,9 @@ class GramRegressor(Model):
     """lr (OLS), ridge (closed form), lar, llar (lasso), omp, br, ard."""
 
     def fit(self, df, features, label=None):
-        g = gram(df, features, label)
+        return self.fit_from_gram(gram(df, features, label), features)
+
+    def fit_from_gram(self, g: dict, features: list[str]) -> LinearFitted:
         n, mx, my, G, c, yy = _centered(g)
         k = self.model_id
         p = self.params
