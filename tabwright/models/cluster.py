@@ -84,7 +84,7 @@ def dbscan(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, mi
 
 
 def meanshift(df: DataFrame, features: list[str], id_col: str, bandwidth: float | None = None,
-              rounds: int = 20) -> DataFrame:
+              rounds: int = 300, tol: float = 1e-3) -> DataFrame:
     v = _vec(df, features, id_col)
     if bandwidth is None:
         nb = knn_join(v, None, 5, "id", "vec")
@@ -99,8 +99,15 @@ def meanshift(df: DataFrame, features: list[str], id_col: str, bandwidth: float
         d = len(features)
         means = near.groupBy("qid").agg(*[F.avg(F.col("pv")[j]).alias(f"m{j}") for j in range(d)],
                                         F.count(F.lit(1)).alias("n"))
-        seeds = means.select(F.col("qid").alias("id"), F.array(*[F.col(f"m{j}") for j in range(d)]).alias("vec"))
-        seeds = cut_lineage(seeds) if (r + 1) % 5 == 0 else seeds
+        new = cut_lineage(means.select(F.col("qid").alias("id"),
+                                       F.array(*[F.col(f"m{j}") for j in range(d)]).alias("vec")))
+        # stop once no seed moves more than tol * bandwidth (seeds are few: one per occupied bin)
+        shift = (new.join(seeds.withColumnRenamed("vec", "old"), "id")
+                 .agg(F.max(F.sqrt(F.aggregate(F.zip_with("vec", "old", lambda a, b: (a - b) * (a - b)),
+                                               F.lit(0.0), lambda s_, v_: s_ + v_)))).first()[0])
+        seeds = new
+        if shift is None or shift <= tol * bw:
+            break
     half = bw / 2.0
     modes = (seeds.select(F.transform("vec", lambda x: F.round(x / F.lit(half)) * F.lit(half)).alias("vec"))
              .distinct().withColumn("id", F.md5(F.to_json("vec"))))

@@ -130,7 +130,8 @@ def _block_topk(qrows: DataFrame, rrows: DataFrame, k: int, exclude_self: bool,
 
     def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"qid": [], "nid": [], "dist": []})
+            return pd.DataFrame({"qid": pd.Series([], dtype=object), "nid": pd.Series([], dtype=object),
+                                 "dist": pd.Series([], dtype=float)})
         R = np.stack(rp["__rv"].to_numpy()).astype(float)
         nids = rp["nid"].to_numpy()
         order_n = np.argsort(nids, kind="stable")  # ties in distance -> smaller neighbour id first
@@ -154,8 +155,9 @@ def _block_topk(qrows: DataFrame, rrows: DataFrame, k: int, exclude_self: bool,
             out_q.append(np.repeat(qids, kk).reshape(-1, kk)[ok])
             out_n.append(nids[idx][ok])
             out_d.append(dd[ok])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "nid": np.concatenate(out_n),
-                             "dist": np.concatenate(out_d)})
+        return pd.DataFrame({"qid": pd.Series(np.concatenate(out_q).tolist(), dtype=object),
+                             "nid": pd.Series(np.concatenate(out_n).tolist(), dtype=object),
+                             "dist": np.concatenate(out_d).astype(float)})
 
     return (q.groupBy("__b", "__c").cogroup(r.groupBy("__b", "__c"))
             .applyInPandas(block, f"qid {qt}, nid {nt}, dist double"))

@@ -285,7 +285,8 @@ class Experiment:
         with ThreadPoolExecutor(self.parallelism) as ex:
             return list(ex.map(lambda f: self._fold_run(model_id, f, params or {}), ks))
 
-    def compare_models(self, include: list[str] | None = None, sort: str | None = None, n_select: int = 1) -> DataFrame:
+    def compare_models(self, include: list[str] | None = None, sort: str | None = None, n_select: int = 1,
+                       params: dict | None = None) -> DataFrame:
         """Leaderboard ``(model, title, <metrics>, fit_seconds, error)`` best first; failed models keep a row."""
         cat = model_table(self.problem)
         ids = list(include) if include else list(cat)
@@ -296,11 +297,11 @@ class Experiment:
         def run(job):
             mid, f = job
             try:
-                return self._fold_run(mid, f, {})
+                return self._fold_run(mid, f, (params or {}).get(mid, {}))
             except Exception as e:  # noqa: BLE001 - a failing model becomes a row with its error
                 return {"model": mid, "fold": f, "error": f"{type(e).__name__}: {str(e)[:200]}"}
 
-        fast = [m for m in ids if self.problem == "regression" and m in self.GRAM_IDS and not self.prep.imbalance]
+        fast = [m for m in ids if self.problem == "regression" and m in self.GRAM_IDS and not (params or {}).get(m)]
         rows = []
         if fast:
             try:

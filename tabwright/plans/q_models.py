@@ -91,7 +91,7 @@ def q_tune_tpe(spark, sf):
 @register("tuning_hints_lineitem")
 def q_hints(spark, sf):
     ex = _cls_exp(spark, sf)
-    board = ex.compare_models(include=["lr", "rf"], sort="accuracy")
+    board = ex.compare_models(include=["lr", "rf"], sort="accuracy", params={"rf": {"numTrees": 20}})
     return hints(board, "accuracy", target=0.9)
 
 
