@@ -50,6 +50,13 @@ def spectral(df: DataFrame, features: list[str], id_col: str, k: int = 4, n_neig
     return v.join(a, v["nid_long"] == a["id"]).select(v["id"].alias(id_col), F.col("cluster").cast("int"))
 
 
+def core_flags(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """``(id, neighbours, is_core)``: rows within ``eps`` (self included) from the radius join."""
+    v = _vec(df, features, id_col)
+    cnt = range_join(v, None, eps, "id", "vec").groupBy("qid").agg(F.count(F.lit(1)).alias("neighbours"))
+    return cnt.select(F.col("qid").alias(id_col), "neighbours", (F.col("neighbours") >= min_samples).alias("is_core"))
+
+
 def dbscan(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5,
            max_rounds: int = 1000) -> DataFrame:
     v = _vec(df, features, id_col)

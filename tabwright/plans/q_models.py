@@ -195,3 +195,14 @@ def q_analysis_summary(spark, sf):
     ex = _reg_exp(spark, sf)
     f = ex.create_model("lr")
     return analysis_summary(ex.importance(f), ex.predict(f), "__label", "prediction")
+
+
+@register("dbscan_core_customer", """
+WITH z AS (SELECT c_custkey,
+  (c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer) AS a,
+  (c_nationkey - (SELECT avg(c_nationkey) FROM customer)) / (SELECT stddev_pop(c_nationkey) FROM customer) AS b
+  FROM customer)
+SELECT x.c_custkey, count(*) AS neighbours, count(*) >= 5 AS is_core
+FROM z x JOIN z y ON sqrt((x.a - y.a) ^ 2 + (x.b - y.b) ^ 2) <= 0.5 GROUP BY x.c_custkey""")
+def q_dbscan_core(spark, sf):
+    return C.core_flags(_cust(spark, sf), ["c_acctbal", "c_nationkey"], "c_custkey", 0.5, 5)
