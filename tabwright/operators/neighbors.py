@@ -98,7 +98,7 @@ def cof(df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "vec") ->
         w = np.array([2.0 * (r - i) / (r * (r + 1)) for i in range(r)])
         return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "ac": [float((w * np.array(costs)).sum())]})
 
-    ac = g.groupBy("qid").applyInPandas(chain, "qid long, ac double")
+    ac = g.groupBy("qid").applyInPandas(chain, f"qid {df.schema[id_col].dataType.simpleString()}, ac double")
     nac = nb.join(ac.withColumnRenamed("qid", "nid").withColumnRenamed("ac", "nac"), "nid").groupBy("qid").agg(
         F.avg("nac").alias("mean_nac"))
     return ac.join(nac, "qid").select(F.col("qid").alias(id_col),
@@ -107,6 +107,9 @@ def cof(df: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "vec") ->
 
 # ---------------------------------------------------------------- SMOTE family
 
+REPLICA_CHUNK = 10_000  # synthetic rows generated per task from one seed row
+
+
 def _unit(*cols) -> F.Column:
     """Deterministic uniform [0,1) from the hash of the given columns."""
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30)))
@@ -158,7 +161,14 @@ def smote(df: DataFrame, target: str, features: list[str], id_col: str, k: int =
         extra = select_top_remainders(share, left, seed)
         reps = share.join(extra, "id", "left").select(
             "id", (F.col("base") + F.coalesce(F.col("plus"), F.lit(0))).alias("m")).where(F.col("m") > 0)
-        seeds = reps.select("id", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("j"))
+        # a seed may need very many replicas (tiny minority, huge majority): split its replicas into chunks of
+        # at most REPLICA_CHUNK and spread the chunks over tasks before generating the rows
+        chunks = reps.select("id", "m", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / REPLICA_CHUNK)
+                                                            .cast("int"))).alias("ch"))
+        chunks = chunks.repartition("id", "ch")
+        seeds = chunks.select("id", F.explode(F.sequence(F.col("ch") * REPLICA_CHUNK + 1,
+                                                         F.least((F.col("ch") + 1) * REPLICA_CHUNK, F.col("m"))))
+                              .alias("j"))
         kk = min(k, n_c - 1)
         pick = (seeds.withColumn("rank", (F.floor(_unit(F.col("id"), F.col("j"), F.lit(seed)) * kk) + 1).cast("int"))
                 .join(nn.select(F.col("qid").alias("id"), "rank", "nid"), ["id", "rank"]))
