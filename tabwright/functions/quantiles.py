@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(freq: DataFrame, probs: list[float], group: str = "column", value: str = "value",
-                    weight: str = "n", buckets: int = 256, window_limit: int = 200_000,
+                    weight: str = "n", buckets: int = 256, window_limit: int = 1_000_000,
                     materialized: bool = False) -> DataFrame:
     """Return ``(group, p, q)`` for every group with at least one value and every p in probs."""
     spark = freq.sparkSession

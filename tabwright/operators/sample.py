@@ -95,3 +95,22 @@ def undersample(df: DataFrame, target: str, key: list[str], tiebreaks: list[str]
     counts = _class_counts(df, target)
     m = min(counts.values()) if counts else 0
     return select_first(df, md5_order(key, seed), list(tiebreaks), {g: m for g in counts}, [target])
+
+
+def random_sample_fast(df: DataFrame, pct: float, seed: int = 42) -> DataFrame:
+    """Approximate-size Bernoulli sample (``DataFrame.sample``): one narrow pass, no count.
+
+    The size is only expected to be pct % and the draw depends on the input
+    partitioning; use ``random_sample`` for the exact, partition-independent form.
+    """
+    return df if pct >= 100 else df.sample(withReplacement=False, fraction=pct / 100.0, seed=seed)
+
+
+def stratified_sample_fast(df: DataFrame, target: str, pct: float, seed: int = 42) -> DataFrame:
+    """Approximate stratified sample (``sampleBy``) with the same fraction in every stratum."""
+    if pct >= 100:
+        return df
+    if n_classes_capped(df, target, STRATIFY_MAX_CLASSES) >= STRATIFY_MAX_CLASSES:
+        return random_sample_fast(df, pct, seed)
+    classes = [r[0] for r in df.select(target).distinct().collect()]  # fewer than STRATIFY_MAX_CLASSES
+    return df.sampleBy(target, {c: pct / 100.0 for c in classes}, seed)
