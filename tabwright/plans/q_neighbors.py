@@ -86,7 +86,10 @@ def q_hbos(spark, sf):
     return rounded(anomaly.hbos(c, _HB_COLS, bins=10, id_col="id"))
 
 
-@register("smote_counts_customer")
+@register("smote_counts_customer", """
+WITH c AS (SELECT CAST(c_acctbal > 9000 AS INTEGER) AS y, count(*) AS n FROM customer GROUP BY 1)
+SELECT y, false AS synthetic, n FROM c
+UNION ALL SELECT y, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")
 def q_smote(spark, sf):
     c = table(spark, sf, "customer").withColumn("y", (F.col("c_acctbal") > 9000).cast("int"))
     s = neighbors.smote(c, "y", ["c_acctbal", "c_nationkey"], "c_custkey")
@@ -103,10 +106,22 @@ def _anomaly_q(method):
     return q
 
 
-for _m in ("iforest", "pca", "mcd", "cluster", "svm"):
+for _m in ("iforest", "mcd", "cluster", "svm"):
     register(f"anomaly_{_m}_customer")(_anomaly_q(_m))
 
 
+# standardised PCA over all components = squared Mahalanobis distance under the sample covariance
+@register("anomaly_pca_customer", f"""
+WITH m AS (SELECT avg(c_acctbal) AS mx, avg(c_nationkey) AS my, var_samp(c_acctbal) AS a,
+  var_samp(c_nationkey) AS c, covar_samp(c_acctbal, c_nationkey) AS b FROM customer),
+s AS (SELECT c_custkey AS id, (c * (c_acctbal - mx) ^ 2 - 2 * b * (c_acctbal - mx) * (c_nationkey - my)
+  + a * (c_nationkey - my) ^ 2) / (a * c - b * b) AS score FROM customer, m)
+SELECT id, {rnd('score')} AS score, score > (SELECT quantile_cont(score, 0.95) FROM s) AS is_outlier FROM s""")
+def q_anomaly_pca(spark, sf):
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "id")
+    return rounded(anomaly.score_table(anomaly.pca_score(c, _AN_X, id_col="id"), 0.05))
+
+
 @register("cof_embeddings")
 def q_cof(spark, sf):
     return neighbors.cof(embeddings(spark, sf), K)
