@@ -502,3 +502,32 @@ class RidgeClassifier(Model):
 
 
 _ = field
+
+
+VAR_SMOOTHING = 1e-9  # fixed value: share of the largest feature variance added to every variance
+
+
+@dataclass
+class GaussianNB(Model):
+    """Gaussian naive Bayes: per-class means and population variances (+ smoothing), log priors.
+
+    One per-class aggregate; scores are quadratic column expressions with a diagonal matrix."""
+
+    def fit(self, df, features, label=None):
+        cg = _class_grams(df, features, label)
+        d = len(features)
+        N = sum(n for _, n, _, _ in cg)
+        tot_s = sum(s for _, _, s, _ in cg)
+        tot_p = sum(P for _, _, _, P in cg)
+        mu_all = tot_s / N
+        var_all = np.diag(tot_p) / N - mu_all ** 2
+        eps = self.params.get("var_smoothing", VAR_SMOOTHING) * float(np.max(var_all)) if d else 0.0
+        classes, A, w, c0 = [], [], [], []
+        for k, n, s, P in cg:
+            m = s / n
+            v = np.diag(P) / n - m ** 2 + eps
+            classes.append(k)
+            A.append(np.diag(-0.5 / v).tolist())
+            w.append((m / v).tolist())
+            c0.append(float(math.log(n / N) - 0.5 * np.sum(np.log(2 * math.pi * v)) - 0.5 * np.sum(m * m / v)))
+        return DiscriminantFitted("nb", features, classes, A, w, c0)

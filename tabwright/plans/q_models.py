@@ -206,3 +206,29 @@ SELECT x.c_custkey, count(*) AS neighbours, count(*) >= 5 AS is_core
 FROM z x JOIN z y ON sqrt((x.a - y.a) ^ 2 + (x.b - y.b) ^ 2) <= 0.5 GROUP BY x.c_custkey""")
 def q_dbscan_core(spark, sf):
     return C.core_flags(_cust(spark, sf), ["c_acctbal", "c_nationkey"], "c_custkey", 0.5, 5)
+
+
+_NB_X = ["l_quantity", "l_discount", "l_tax"]
+
+
+@register("nb_predict_lineitem", """
+WITH s AS (SELECT l_returnflag AS cls, count(*) AS n,
+    avg(l_quantity) AS m1, var_pop(l_quantity) AS v1, avg(l_discount) AS m2, var_pop(l_discount) AS v2,
+    avg(l_tax) AS m3, var_pop(l_tax) AS v3 FROM lineitem GROUP BY 1),
+e AS (SELECT 1e-9 * greatest(var_pop(l_quantity), var_pop(l_discount), var_pop(l_tax)) AS eps,
+    count(*) AS total FROM lineitem),
+sc AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice, s.cls,
+    ln(s.n / e.total) - 0.5 * (ln(2 * pi() * (s.v1 + e.eps)) + ln(2 * pi() * (s.v2 + e.eps)) + ln(2 * pi() * (s.v3 + e.eps)))
+    - 0.5 * ((l.l_quantity - s.m1) ^ 2 / (s.v1 + e.eps) + (l.l_discount - s.m2) ^ 2 / (s.v2 + e.eps)
+             + (l.l_tax - s.m3) ^ 2 / (s.v3 + e.eps)) AS score
+  FROM lineitem l, s, e)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS l_extendedprice,
+  arg_max(cls, score) AS prediction FROM sc GROUP BY ALL""")
+def q_nb(spark, sf):
+    from tabwright.models.linear import GaussianNB
+    li = table(spark, sf, "lineitem")
+    f = GaussianNB("nb", "classification", "").fit(li, _NB_X, "l_returnflag")
+    names = F.array(*[F.lit(c) for c in f.classes])
+    out = f.transform(li)
+    return out.select(*LINEITEM_KEY, F.round("l_extendedprice", 2).alias("l_extendedprice"),
+                      F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"))
