@@ -113,8 +113,6 @@ for _tid in ("lda", "lsi", "nmf", "rp"):
     register(f"topics_{_tid}_documents")(_t)
 
 
-_ = F
-
 
 # ---------------------------------------------------------------- explanation and model-based imputation
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tabwright.operators import profile as P
 from tabwright.plans.registry import register, rounded
 from tabwright.plans.sqlgen import profile_sql, rnd
@@ -154,5 +152,3 @@ QUALIFY rank <= 5""")
 def q_value_counts_conversations(spark, sf):
     return P.value_counts(table(spark, sf, "conversations").select("role"))
 
-
-_ = F

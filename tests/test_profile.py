@@ -1,8 +1,4 @@
-import math
-
 import pytest
-from pyspark.sql import functions as F
-
 from tabwright.functions.names import clean_names
 from tabwright.operators import prep, profile, types
 
@@ -88,7 +84,6 @@ def test_exact_quantiles_match_numpy(spark):
     q = quantile_dict(df, ["x"], [0.1, 0.5, 0.93])
     for p in (0.1, 0.5, 0.93):
         assert q[("x", p)] == pytest.approx(float(np.quantile(v, p)))
-    _ = math, F
 
 
 def test_exact_quantiles_refine_many_rounds(spark):

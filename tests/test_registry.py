@@ -13,7 +13,6 @@ def test_entry_runs(spark):
 
 
 def test_streaming_prep_is_stateless(spark, tmp_path):
-    from pyspark.sql import functions as F
     from tabwright.operators import prep
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     sc = prep.fit_scaler(ev.select("value"), "zscore")
@@ -25,4 +24,3 @@ def test_streaming_prep_is_stateless(spark, tmp_path):
     q.stop()
     got = spark.sql("SELECT avg(value) AS m FROM tw_scaled").first()["m"]
     assert abs(got) < 1e-9
-    _ = F
