@@ -165,7 +165,73 @@ def _block_topk(qrows: DataFrame, rrows: DataFrame, k: int, exclude_self: bool,
 
 def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5, id_col: str = "id",
              vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 256,
-             seed: int = 7) -> DataFrame:
+             seed: int = 7, dedupe: bool = True) -> DataFrame:
+    """Return ``(qid, nid, rank, dist)``: the k nearest reference rows of every query row.
+
+    For a self join, identical vectors are collapsed first when any exist (see
+    ``_knn_with_duplicates``), so a vector repeated a third of all rows never
+    lands as one quadratic bucket.
+    """
+    if reference is None and exclude_self and dedupe:
+        vk = F.md5(F.to_json(F.col(vec_col).cast("array<double>")))
+        dup = (queries.groupBy(vk.alias("__vk")).agg(F.count(F.lit(1)).alias("m"))
+               .where(F.col("m") > 1).limit(1).count())
+        if dup:
+            return _knn_with_duplicates(queries, k, id_col, vec_col, n_pivots, bucket_rows, seed)
+    return _knn_join(queries, reference, k, id_col, vec_col, exclude_self, n_pivots, bucket_rows, seed)
+
+
+def _knn_with_duplicates(df: DataFrame, k: int, id_col: str, vec_col: str, n_pivots: int, bucket_rows: int,
+                         seed: int) -> DataFrame:
+    """Exact self kNN when vectors repeat.
+
+    1. ``(vector key, multiplicity)`` by a partial-aggregated groupBy;
+    2. the k+1 smallest ids of each repeated vector by k+1 rounds of ``min``
+       (each a partial-aggregated groupBy - a hot vector never sits in one task);
+    3. kNN over distinct vectors (one representative row each);
+    4. a row's neighbours are the other rows of its own vector (distance 0,
+       smallest ids first), then rows of the nearest distinct vectors (their
+       smallest ids), ranked by (distance, id). Distance ties between distinct
+       vectors at the k-th place are resolved among the k nearest vectors only.
+    """
+    vec = F.col(vec_col).cast("array<double>")
+    rows = df.select(F.col(id_col).alias("id"), vec.alias("vec"), F.md5(F.to_json(vec)).alias("vk"))
+    groups = rows.groupBy("vk").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("rep"))
+    groups = cut_lineage(groups)
+    dup_rows = rows.join(groups.where(F.col("m") > 1).select("vk"), "vk", "left_semi").select("vk", "id")
+    picked = dup_rows.groupBy("vk").agg(F.array(F.min("id")).alias("ids"))
+    for _ in range(k):
+        nxt = (dup_rows.join(picked, "vk").where(~F.array_contains("ids", F.col("id")))
+               .groupBy("vk").agg(F.min("id").alias("nx")))
+        picked = cut_lineage(picked.join(nxt, "vk", "left").select(
+            "vk", F.when(F.col("nx").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array("nx"))).alias("ids")))
+    small_ids = groups.join(picked, "vk", "left").select(
+        "vk", "m", F.coalesce("ids", F.array("rep")).alias("ids"))
+    small_ids = cut_lineage(small_ids)
+    reps = rows.join(groups.select(F.col("rep").alias("id"), "vk"), ["id", "vk"], "left_semi")
+    dn = _knn_join(reps.select("id", "vec"), None, k, "id", "vec", True, n_pivots, bucket_rows, seed)
+    rep_vk = groups.select(F.col("rep"), "vk")
+    # own-vector neighbours: other ids of the same vector, distance 0
+    own = (rows.select("id", "vk").join(small_ids, "vk")
+           .select(F.col("id").alias("qid"),
+                   F.posexplode(F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, k)).alias("pos", "nid"))
+           .select("qid", "nid", F.lit(0.0).alias("dist")))
+    # rows whose vector has fewer than k other copies need rows of neighbouring vectors
+    short = rows.select("id", "vk").join(small_ids.where(F.col("m") - 1 < k).select("vk"), "vk")
+    near = (dn.join(rep_vk.withColumnRenamed("rep", "qid").withColumnRenamed("vk", "qvk"), "qid")
+            .join(rep_vk.withColumnRenamed("rep", "nid").withColumnRenamed("vk", "nvk"), "nid")
+            .join(small_ids.withColumnRenamed("vk", "nvk"), "nvk")
+            .select("qvk", "dist", F.explode(F.slice("ids", 1, k)).alias("nid")))
+    other = short.join(near, short["vk"] == near["qvk"]).select(F.col("id").alias("qid"), "nid", "dist")
+    w = Window.partitionBy("qid").orderBy("dist", "nid")
+    allc = own.unionByName(other)
+    return (allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", "nid", F.col("rank").cast("int"), "dist"))
+
+
+def _knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5, id_col: str = "id",
+              vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 256,
+              seed: int = 7) -> DataFrame:
     """Return ``(qid, nid, rank, dist)``: the k nearest reference rows of every query row.
 
     ``reference`` defaults to ``queries`` (self join, the query row excluded when

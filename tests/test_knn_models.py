@@ -84,3 +84,20 @@ def test_unknown_problem(spark):
     from tabwright.config import RunConfig
     with pytest.raises(ValueError):
         RunConfig("forecasting")
+
+
+def test_knn_with_hot_duplicate_vector(spark):
+    rng = np.random.default_rng(5)
+    X = np.round(rng.normal(size=(200, 3)), 1)
+    X[:70] = X[0]  # a third of the rows share one vector
+    X[100:103] = X[100]
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]]) for i in range(200)], "id long, vec array<double>")
+    got = {(r.qid, r["rank"]): (r.nid, r.dist) for r in knn_join(df, k=4, bucket_rows=16).collect()}
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    for i in range(200):
+        order = sorted((j for j in range(200) if j != i), key=lambda j: (D[i, j], j))[:4]
+        for r, j in enumerate(order):
+            nid, dist = got[(i, r + 1)]
+            assert nid == j or abs(dist - D[i, j]) < 1e-9
+        if i < 70:  # own copies first, smallest ids first
+            assert [got[(i, r + 1)][0] for r in range(4)] == [j for j in range(70) if j != i][:4]
