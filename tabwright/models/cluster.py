@@ -50,25 +50,41 @@ def spectral(df: DataFrame, features: list[str], id_col: str, k: int = 4, n_neig
     return v.join(a, v["nid_long"] == a["id"]).select(v["id"].alias(id_col), F.col("cluster").cast("int"))
 
 
+def _distinct_points(df: DataFrame, features: list[str], id_col: str):
+    """(rows with their vector key, distinct vectors with multiplicity): duplicates collapse map-side."""
+    vec = F.array(*[F.col(c).cast("double") for c in features])
+    rows = df.select(F.col(id_col).alias("id"), vec.alias("vec")).withColumn("vk", F.md5(F.to_json("vec")))
+    pts = rows.groupBy("vk").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("m"))
+    return rows.select("id", "vk"), cut_lineage(pts)
+
+
+def _core(pts: DataFrame, eps: float, min_samples: int):
+    """Radius join over distinct points; a point's neighbour count sums the multiplicities (self included)."""
+    pairs = range_join(pts.select(F.col("vk").alias("id"), "vec"), None, eps, "id", "vec").select("qid", "nid")
+    pairs = cut_lineage(pairs)
+    cnt = (pairs.join(pts.select(F.col("vk").alias("nid"), "m"), "nid")
+           .groupBy("qid").agg(F.sum("m").alias("neighbours")))
+    return pairs, cnt
+
+
 def core_flags(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """``(id, neighbours, is_core)``: rows within ``eps`` (self included) from the radius join."""
-    v = _vec(df, features, id_col)
-    cnt = range_join(v, None, eps, "id", "vec").groupBy("qid").agg(F.count(F.lit(1)).alias("neighbours"))
-    return cnt.select(F.col("qid").alias(id_col), "neighbours", (F.col("neighbours") >= min_samples).alias("is_core"))
+    """``(id, neighbours, is_core)``: rows within ``eps`` (self and identical copies included)."""
+    rows, pts = _distinct_points(df, features, id_col)
+    _, cnt = _core(pts, eps, min_samples)
+    out = rows.join(cnt.withColumnRenamed("qid", "vk"), "vk")
+    return out.select(F.col("id").alias(id_col), F.col("neighbours").cast("long").alias("neighbours"),
+                      (F.col("neighbours") >= min_samples).alias("is_core"))
 
 
 def dbscan(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5,
            max_rounds: int = 1000) -> DataFrame:
-    v = _vec(df, features, id_col)
-    pairs = range_join(v, None, eps, "id", "vec").select("qid", "nid")
-    pairs = cut_lineage(pairs)
-    cnt = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    core = cnt.where(F.col("n") >= min_samples).select(F.col("qid").alias("id"))
-    core = cut_lineage(core)
+    rows, pts = _distinct_points(df, features, id_col)
+    pairs, cnt = _core(pts, eps, min_samples)
+    core = cut_lineage(cnt.where(F.col("neighbours") >= min_samples).select(F.col("qid").alias("id")))
     cc = (pairs.join(core.withColumnRenamed("id", "qid"), "qid", "left_semi")
           .join(core.withColumnRenamed("id", "nid"), "nid", "left_semi"))
-    lab = core.select("id", F.col("id").cast("string").alias("label"))
-    for r in range(max_rounds):
+    lab = core.select("id", F.col("id").alias("label"))
+    for _ in range(max_rounds):
         prop = (cc.join(lab.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid")
                 .groupBy("qid").agg(F.min("nl").alias("m")))
         new = (lab.join(prop.withColumnRenamed("qid", "id"), "id", "left")
@@ -78,15 +94,16 @@ def dbscan(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, mi
         lab = new
         if changed == 0:
             break
-    # border rows: smallest label among core neighbours
+    # border points: smallest label among core neighbours
     border = (pairs.join(lab.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid")
               .groupBy("qid").agg(F.min("nl").alias("bl")))
-    labels = lab.select("label").distinct()
     from pyspark.sql import Window
     w = Window.orderBy("label")  # one row per cluster: the number of clusters, not rows
-    idx = labels.withColumn("cluster", (F.row_number().over(w) - 1).cast("int"))
-    allv = v.select("id").join(lab, "id", "left").join(border.withColumnRenamed("qid", "id"), "id", "left")
-    out = allv.select("id", F.coalesce("label", "bl").alias("label")).join(idx, "label", "left")
+    idx = lab.select("label").distinct().withColumn("cluster", (F.row_number().over(w) - 1).cast("int"))
+    per_pt = (pts.select(F.col("vk").alias("id")).join(lab, "id", "left")
+              .join(border.withColumnRenamed("qid", "id"), "id", "left")
+              .select("id", F.coalesce("label", "bl").alias("label")).join(idx, "label", "left"))
+    out = rows.join(per_pt.withColumnRenamed("id", "vk"), "vk")
     return out.select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
