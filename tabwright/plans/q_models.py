@@ -230,3 +230,24 @@ def q_nb(spark, sf):
     out = f.transform(li)
     return out.select(*LINEITEM_KEY, F.round("l_extendedprice", 2).alias("l_extendedprice"),
                       F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"))
+
+
+@register("lda_predict_lineitem", """
+WITH s AS (SELECT l_returnflag AS cls, count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2,
+    var_pop(l_quantity) * count(*) AS w11, var_pop(l_discount) * count(*) AS w22,
+    covar_pop(l_quantity, l_discount) * count(*) AS w12 FROM lineitem GROUP BY 1),
+p AS (SELECT sum(w11) / (sum(n) - count(*)) AS s11, sum(w22) / (sum(n) - count(*)) AS s22,
+    sum(w12) / (sum(n) - count(*)) AS s12, sum(n) AS total FROM s),
+i AS (SELECT s22 / (s11 * s22 - s12 * s12) AS a11, s11 / (s11 * s22 - s12 * s12) AS a22,
+    -s12 / (s11 * s22 - s12 * s12) AS a12, total FROM p),
+c AS (SELECT cls, a11 * m1 + a12 * m2 AS w1, a12 * m1 + a22 * m2 AS w2,
+    -0.5 * (m1 * (a11 * m1 + a12 * m2) + m2 * (a12 * m1 + a22 * m2)) + ln(n / total) AS c0 FROM s, i)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS l_extendedprice,
+  arg_max(cls, l_quantity * w1 + l_discount * w2 + c0) AS prediction FROM lineitem, c GROUP BY ALL""")
+def q_lda(spark, sf):
+    from tabwright.models.linear import Discriminant
+    li = table(spark, sf, "lineitem")
+    f = Discriminant("lda", "classification", "").fit(li, ["l_quantity", "l_discount"], "l_returnflag")
+    names = F.array(*[F.lit(c) for c in f.classes])
+    return f.transform(li).select(*LINEITEM_KEY, F.round("l_extendedprice", 2).alias("l_extendedprice"),
+                                  F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"))
