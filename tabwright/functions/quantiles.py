@@ -38,7 +38,9 @@ def exact_quantiles(freq: DataFrame, probs: list[float], group: str = "column",
     if not materialized:
         from tabwright.session import cut_lineage
         f = cut_lineage(f)
-    totals = {r["g"]: r["N"] for r in f.groupBy("g").agg(F.sum("w").alias("N")).collect()}  # one row per group
+    tot_rows = f.groupBy("g").agg(F.sum("w").alias("N"), F.count(F.lit(1)).alias("D")).collect()  # one row per group
+    totals = {r["g"]: r["N"] for r in tot_rows}
+    distinct = {str(r["g"]): r["D"] for r in tot_rows}
     # targets: [g, p, which, frac, rank, lo, hi, below]
     targets = []
     for g, total in totals.items():
@@ -59,18 +61,25 @@ def exact_quantiles(freq: DataFrame, probs: list[float], group: str = "column",
         rdf = spark.createDataFrame([(j, gval[k[0]], k[1], k[2]) for k, j in rid_of.items()], rschema)
         inr = (f.join(F.broadcast(rdf), "g")
                .where((F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi")))))
-        sizes = {r["rid"]: r["c"] for r in inr.groupBy("rid").agg(F.count(F.lit(1)).alias("c")).collect()}
+        if all(k[1] is None and k[2] is None for k in keys):
+            sizes = {j: distinct[k[0]] for k, j in rid_of.items()}  # first round: whole groups, sizes known
+        else:
+            sizes = {r["rid"]: r["c"] for r in inr.groupBy("rid").agg(F.count(F.lit(1)).alias("c")).collect()}
         small = {j for j, c in sizes.items() if c <= window_limit}
         if small:
             tl = [(rid_of[(str(targets[i]["g"]), targets[i]["lo"], targets[i]["hi"])], i,
                    targets[i]["rank"] - targets[i]["below"]) for i in active]
             tl = [t for t in tl if t[0] in small]
             tdf = spark.createDataFrame(tl, "rid int, tid int, off bigint")
-            w = Window.partitionBy("rid").orderBy("v")
+            # values are distinct inside a range: a ROWS frame gives the same running sum, cheaper than RANGE
+            w = Window.partitionBy("rid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             ranked = (inr.join(F.broadcast(tdf.select("rid").distinct()), "rid", "left_semi")
                       .withColumn("end", F.sum("w").over(w)).withColumn("start", F.col("end") - F.col("w")))
-            hit = (ranked.join(F.broadcast(tdf), "rid")
-                   .where((F.col("off") >= F.col("start")) & (F.col("off") < F.col("end"))).select("tid", "v"))
+            # one row per range holding its targets' offsets; only rows that contain a target expand
+            tarr = tdf.groupBy("rid").agg(F.collect_list(F.struct("tid", "off")).alias("t"))
+            inside = F.filter("t", lambda t: (t["off"] >= F.col("start")) & (t["off"] < F.col("end")))
+            hit = (ranked.join(F.broadcast(tarr), "rid").where(F.size(inside) > 0)
+                   .select(F.explode(inside).alias("h"), "v").select("h.tid", "v"))
             for r in hit.collect():  # one row per target
                 found[r["tid"]] = r["v"]
             done = {t[1] for t in tl}

@@ -173,7 +173,8 @@ def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5,
     lands as one quadratic bucket.
     """
     if reference is None and exclude_self and dedupe:
-        vk = F.md5(F.to_json(F.col(vec_col).cast("array<double>")))
+        # cheap detection by a 64-bit hash; a collision only sends the join down the exact duplicate path
+        vk = F.xxhash64(F.col(vec_col).cast("array<double>"))
         dup = (queries.groupBy(vk.alias("__vk")).agg(F.count(F.lit(1)).alias("m"))
                .where(F.col("m") > 1).limit(1).count())
         if dup:
