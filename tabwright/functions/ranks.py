@@ -24,11 +24,20 @@ def rank_cutoffs(df: DataFrame, h: Column, tiebreaks: list[str], quotas: dict, b
                  step: int = 3, window_limit: int = 100_000) -> dict:
     """Return {group tuple: ("all"|"none"|cut tuple)} so that rows with (h, tiebreaks) <= cut are the first quota.
 
-    ``quotas`` maps a group tuple (values of ``by``; ``()`` when ``by`` is empty) to n.
-    Groups missing from ``quotas`` get 0.
+    ``quotas`` maps a group tuple (values of ``by``; ``()`` when ``by`` is empty) to n, or is a callable
+    receiving ``{group: row count}`` and returning that mapping. Groups missing from it get 0.
     """
     base = df.select(_gkey(by).alias("__g"), h.alias("__h"), *[F.col(t) for t in tiebreaks])
-    counts = {tuple(r["__g"]) if by else (): r["n"] for r in base.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # one job gives every group's size and its first refinement level (counts per 3-hex-digit prefix)
+    first = (base.groupBy("__g", F.substring("__h", 1, step).alias("__q"))
+             .agg(F.count(F.lit(1)).alias("n")).collect())  # at most groups x 16**step rows
+    per0: dict = {}
+    for r in first:
+        g = tuple(r["__g"]) if by else ()
+        per0.setdefault(g, []).append((r["__q"], r["n"]))
+    counts = {g: sum(n for _, n in lst) for g, lst in per0.items()}
+    if callable(quotas):
+        quotas = quotas(counts)
     result: dict = {}
     active: dict = {}
     for g, n_g in counts.items():
@@ -38,7 +47,13 @@ def rank_cutoffs(df: DataFrame, h: Column, tiebreaks: list[str], quotas: dict, b
         elif q >= n_g:
             result[g] = "all"
         else:
-            active[g] = ["", q, n_g]  # prefix, remaining rank, rows under prefix
+            lst = sorted(per0[g])
+            acc = 0
+            for pq, n in lst:
+                if acc + n >= q:
+                    active[g] = [pq, q - acc, n]  # prefix, remaining rank, rows under prefix
+                    break
+                acc += n
     spark = df.sparkSession
     gtype = base.schema["__g"].dataType.simpleString()
     while active:

@@ -54,8 +54,8 @@ def random_sample(df: DataFrame, pct: float, key: list[str], tiebreaks: list[str
     """Exactly int(rows * pct / 100) rows: the smallest md5(key|seed) values. pct >= 100 is a no-op."""
     if pct >= 100:
         return df
-    n = sample_size(df.count(), pct)
-    return select_first(df, md5_order(key, seed), list(tiebreaks), {(): n}, [])
+    return select_first(df, md5_order(key, seed), list(tiebreaks),
+                        lambda counts: {g: sample_size(c, pct) for g, c in counts.items()}, [])
 
 
 def stratified_sample(df: DataFrame, target: str, pct: float, key: list[str], tiebreaks: list[str] = (),
@@ -66,9 +66,8 @@ def stratified_sample(df: DataFrame, target: str, pct: float, key: list[str], ti
         return df
     if n_classes_capped(df, target, STRATIFY_MAX_CLASSES) >= STRATIFY_MAX_CLASSES:
         return random_sample(df, pct, key, tiebreaks, seed)
-    counts = _class_counts(df, target)
-    total = sample_size(sum(counts.values()), pct)
-    quotas = largest_remainder(counts, total)
+    def quotas(counts):
+        return largest_remainder(counts, sample_size(sum(counts.values()), pct))
     return select_first(df, md5_order(key, seed), list(tiebreaks), quotas, [target])
 
 
@@ -76,11 +75,14 @@ def train_test_split(df: DataFrame, key: list[str], train_size: float = 0.8, tar
                      tiebreaks: list[str] = (), seed: int = 123, flag: str = "is_train") -> DataFrame:
     """Flag exactly floor(rows*train_size) rows as training (stratified by ``target`` when given)."""
     if target:
-        counts = _class_counts(df, target)
-        quotas = largest_remainder(counts, int(math.floor(sum(counts.values()) * train_size)))
+        if n_classes_capped(df, target, 10_000) > 10_000:
+            raise ValueError(f"target {target!r} has more than 10000 classes")
+
+        def quotas(counts):
+            return largest_remainder(counts, int(math.floor(sum(counts.values()) * train_size)))
         return select_first(df, md5_order(key, seed), list(tiebreaks), quotas, [target], flag=flag)
-    n = int(math.floor(df.count() * train_size))
-    return select_first(df, md5_order(key, seed), list(tiebreaks), {(): n}, [], flag=flag)
+    return select_first(df, md5_order(key, seed), list(tiebreaks),
+                        lambda counts: {g: int(math.floor(c * train_size)) for g, c in counts.items()}, [], flag=flag)
 
 
 def kfold(df: DataFrame, key: list[str], k: int = 5, seed: int = 123, col: str = "fold") -> DataFrame:
@@ -92,9 +94,13 @@ def kfold(df: DataFrame, key: list[str], k: int = 5, seed: int = 123, col: str =
 
 def undersample(df: DataFrame, target: str, key: list[str], tiebreaks: list[str] = (), seed: int = 42) -> DataFrame:
     """Random undersampling: every class keeps as many rows as the smallest class."""
-    counts = _class_counts(df, target)
-    m = min(counts.values()) if counts else 0
-    return select_first(df, md5_order(key, seed), list(tiebreaks), {g: m for g in counts}, [target])
+    if n_classes_capped(df, target, 10_000) > 10_000:
+        raise ValueError(f"target {target!r} has more than 10000 classes")
+
+    def quotas(counts):
+        m = min(counts.values()) if counts else 0
+        return {g: m for g in counts}
+    return select_first(df, md5_order(key, seed), list(tiebreaks), quotas, [target])
 
 
 def random_sample_fast(df: DataFrame, pct: float, seed: int = 42) -> DataFrame:
