@@ -75,6 +75,9 @@ class Experiment:
                 raise ValueError(f"target {self.target!r} not in the table")
             df = df.where(F.col(self.target).isNotNull())
             if self.problem == "classification":
+                # the label index is collected by the indexer: refuse targets with unbounded distinct values
+                if S.n_classes_capped(df, self.target, 10_000) > 10_000:
+                    raise ValueError(f"target {self.target!r} has more than 10000 classes")
                 idx = StringIndexer(inputCol="__ys", outputCol="__label", stringOrderType="alphabetAsc")
                 df = df.withColumn("__ys", F.col(self.target).cast("string"))
                 sim = idx.fit(df)
