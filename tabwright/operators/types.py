@@ -70,7 +70,7 @@ def suggest_types(df: DataFrame, category_ratio: float = CATEGORY_RATIO) -> Data
             if r[f"num{i}"]:
                 adv, st = ("int64", "bigint") if r[f"int{i}"] else ("float64", "double")
             elif r[f"ts{i}"]:
-                adv, st = "datetime64[ns]", "timestamp"
+                adv, st = "datetime64[ns]", "timestamp_ntz"
             elif rows and uniq.get(f.name, 0) / rows < category_ratio:
                 adv, st = "category", "string"
             else:

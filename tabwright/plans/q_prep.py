@@ -37,7 +37,7 @@ def _advice_sql(src: str, cols: list[tuple[str, str]]) -> str:
                    f"WHEN count(DISTINCT {c}) / count(*) < 0.1 THEN 'category' ELSE 'object' END")
             st = (f"CASE WHEN bool_and({c} IS NULL OR {d} IS NOT NULL) THEN "
                   f"CASE WHEN bool_and({c} IS NULL OR {d} = floor({d})) THEN 'bigint' ELSE 'double' END "
-                  f"WHEN bool_and({c} IS NULL OR TRY_CAST({c} AS TIMESTAMP) IS NOT NULL) THEN 'timestamp' "
+                  f"WHEN bool_and({c} IS NULL OR TRY_CAST({c} AS TIMESTAMP) IS NOT NULL) THEN 'timestamp_ntz' "
                   f"ELSE 'string' END")
             ll = "NULL::BOOLEAN"
         elif dt == "bigint":
