@@ -172,16 +172,55 @@ def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5,
     ``_knn_with_duplicates``), so a vector repeated a third of all rows never
     lands as one quadratic bucket.
     """
-    if reference is None and exclude_self and dedupe:
+    if dedupe:
+        ref = queries if reference is None else reference
         # cheap detection by a 64-bit hash; a collision only sends the join down the exact duplicate path
         vk = F.xxhash64(F.col(vec_col).cast("array<double>"))
-        dup = (queries.groupBy(vk.alias("__vk")).agg(F.count(F.lit(1)).alias("m"))
+        dup = (ref.groupBy(vk.alias("__vk")).agg(F.count(F.lit(1)).alias("m"))
                .where(F.col("m") > 1).limit(1).count())
-        if dup:
+        if dup and reference is None and exclude_self:
             return _knn_with_duplicates(queries, k, id_col, vec_col, n_pivots, bucket_rows, seed)
+        if dup:
+            return _knn_distinct_reference(queries, ref, k, id_col, vec_col, exclude_self, n_pivots,
+                                           bucket_rows, seed)
     return _knn_join(queries, reference, k, id_col, vec_col, exclude_self, n_pivots, bucket_rows, seed)
 
 
+def _smallest_ids(rows: DataFrame, kk: int) -> DataFrame:
+    """``(vk, m, rep, ids)``: multiplicity, representative and the ``kk`` smallest ids of every vector key,
+    by ``kk`` rounds of partial-aggregated ``min`` (no vector's rows are ever gathered in one task)."""
+    groups = cut_lineage(rows.groupBy("vk").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("rep")))
+    dup_rows = rows.join(groups.where(F.col("m") > 1).select("vk"), "vk", "left_semi").select("vk", "id")
+    picked = dup_rows.groupBy("vk").agg(F.array(F.min("id")).alias("ids"))
+    for _ in range(kk - 1):
+        nxt = (dup_rows.join(picked, "vk").where(~F.array_contains("ids", F.col("id")))
+               .groupBy("vk").agg(F.min("id").alias("nx")))
+        picked = cut_lineage(picked.join(nxt, "vk", "left").select(
+            "vk", F.when(F.col("nx").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array("nx"))).alias("ids")))
+    return cut_lineage(groups.join(picked, "vk", "left").select(
+        "vk", "m", "rep", F.coalesce("ids", F.array("rep")).alias("ids")))
+
+
+def _knn_distinct_reference(queries: DataFrame, reference: DataFrame, k: int, id_col: str, vec_col: str,
+                            exclude_self: bool, n_pivots: int, bucket_rows: int, seed: int) -> DataFrame:
+    """kNN against a reference with repeated vectors: search distinct reference vectors, each standing for
+    its smallest ids; the k nearest rows lie among the k (+1 when excluding self) nearest distinct vectors."""
+    kk = k + 1 if exclude_self else k
+    vec = F.col(vec_col).cast("array<double>")
+    rows = reference.select(F.col(id_col).alias("id"), vec.alias("vec"), F.md5(F.to_json(vec)).alias("vk"))
+    small = _smallest_ids(rows, kk)
+    reps = rows.join(small.select(F.col("rep").alias("id"), "vk"), ["id", "vk"], "left_semi").select("id", "vec")
+    q = queries.select(F.col(id_col).alias("id"), vec.alias("vec"))
+    dn = _knn_join(q, reps, kk, "id", "vec", False, n_pivots, bucket_rows, seed)
+    cand = (dn.join(small.select(F.col("rep").alias("nid"), "ids"), "nid")
+            .select("qid", "dist", F.explode(F.slice("ids", 1, kk)).alias("nid")))
+    if exclude_self:
+        cand = cand.where(F.col("qid") != F.col("nid"))
+    w = Window.partitionBy("qid").orderBy("dist", "nid")
+    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", "nid", F.col("rank").cast("int"), "dist"))
+
+
 def _knn_with_duplicates(df: DataFrame, k: int, id_col: str, vec_col: str, n_pivots: int, bucket_rows: int,
                          seed: int) -> DataFrame:
     """Exact self kNN when vectors repeat.

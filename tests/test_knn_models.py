@@ -101,3 +101,19 @@ def test_knn_with_hot_duplicate_vector(spark):
             assert nid == j or abs(dist - D[i, j]) < 1e-9
         if i < 70:  # own copies first, smallest ids first
             assert [got[(i, r + 1)][0] for r in range(4)] == [j for j in range(70) if j != i][:4]
+
+
+def test_knn_against_reference_with_duplicates(spark):
+    rng = np.random.default_rng(6)
+    R = np.round(rng.normal(size=(150, 2)), 1)
+    R[:60] = R[0]  # a hot repeated reference vector
+    Q = np.round(rng.normal(size=(40, 2)), 1)
+    ref = spark.createDataFrame([(i, [float(v) for v in R[i]]) for i in range(150)], "id long, vec array<double>")
+    qs = spark.createDataFrame([(1000 + i, [float(v) for v in Q[i]]) for i in range(40)], "id long, vec array<double>")
+    got = {(r.qid, r["rank"]): (r.nid, r.dist) for r in knn_join(qs, ref, k=3, exclude_self=False).collect()}
+    D = np.sqrt(((Q[:, None, :] - R[None, :, :]) ** 2).sum(-1))
+    for i in range(40):
+        order = sorted(range(150), key=lambda j: (D[i, j], j))[:3]
+        for r, j in enumerate(order):
+            nid, dist = got[(1000 + i, r + 1)]
+            assert nid == j or abs(dist - D[i, j]) < 1e-9
