@@ -57,3 +57,35 @@ def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0)], "label double, prediction double")
     r = M.regression_metrics(df).first()
     assert r["mae"] == 0.5 and r["mse"] == 0.5 and r["r2"] == pytest.approx(1 - 0.5 / 0.25)
+
+
+def test_running_totals_match_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    from tabwright.functions.running import running_totals
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "k": rng.integers(0, 400, 3000).astype(float),
+                        "x": rng.integers(0, 5, 3000)})
+    pdf = pdf.groupby(["g", "k"], as_index=False)["x"].sum()
+    df = spark.createDataFrame(pdf)
+    for desc in (False, True):
+        got = running_totals(df, "k", ["x"], ["g"], bucket_rows=7, descending=desc).toPandas()
+        want = pdf.sort_values(["g", "k"], ascending=[True, not desc])
+        want["cum_x"] = want.groupby("g")["x"].cumsum()
+        m = got.merge(want, on=["g", "k"], suffixes=("", "_w"))
+        assert len(m) == len(pdf) and (m["cum_x"] == m["cum_x_w"]).all()
+
+
+def test_stratified_with_null_stratum_and_deep_refinement(spark):
+    from tabwright.functions.columns import md5_order
+    from tabwright.functions.ranks import select_first
+    df = spark.range(20000).withColumn("y", F.when(F.col("id") % 10 == 0, None).otherwise((F.col("id") % 3).cast("string")))
+    quotas = {(None,): 77, ("0",): 1234, ("1",): 0, ("2",): 10**9}
+    s = select_first(df, md5_order(["id"], 5), [], quotas, ["y"], window_limit=50)
+    got = {r.y: r["count"] for r in s.groupBy("y").count().collect()}
+    sizes = {r.y: r["count"] for r in df.groupBy("y").count().collect()}
+    assert got.get(None) == 77 and got.get("0") == 1234 and "1" not in got and got.get("2") == sizes["2"]
+    # the chosen rows are exactly the first ones in md5 order within each stratum
+    pdf = df.withColumn("h", md5_order(["id"], 5)).toPandas()
+    first0 = set(pdf[pdf.y == "0"].sort_values("h").id[:1234])
+    assert set(r.id for r in s.where("y = '0'").collect()) == first0
