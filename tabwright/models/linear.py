@@ -258,10 +258,11 @@ class TheilSen(Model):
         def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.head(m)
             if len(pdf) < m:
-                return pd.DataFrame({"s": [], "w": []})
+                return pd.DataFrame({"s": pd.Series([], dtype="int64"), "w": pd.Series([], dtype=object)})
             X = np.column_stack([np.ones(len(pdf))] + [pdf[c].to_numpy(float) for c in features])
             w = np.linalg.pinv(X) @ pdf[label].to_numpy(float)
-            return pd.DataFrame({"s": [int(pdf["s"].iloc[0])], "w": [w.tolist()]})
+            return pd.DataFrame({"s": pd.Series([int(pdf["s"].iloc[0])], dtype="int64"),
+                                 "w": pd.Series([[float(x) for x in w]], dtype=object)})
 
         W = np.array([r["w"] for r in sub.groupBy("s").applyInPandas(fit_one, "s long, w array<double>").collect()])
         if len(W) == 0:
