@@ -34,3 +34,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back: doc_id, start, n_tokens, ids_crc32."""
     from tabwright.llm.token_codec import token_output
     return token_output(table(spark, sf_dir, "documents"), bpe_path(), end_id=0)
+
+
+@register("op8_simhash_vptree")
+def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups of all documents: doc_id, fingerprint, component_id, kept."""
+    from tabwright.llm.simhash_vptree import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2, seed=42).drop("fp")
