@@ -41,3 +41,12 @@ def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: doc_id, fingerprint, component_id, kept."""
     from tabwright.llm.simhash_vptree import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2, seed=42).drop("fp")
+
+
+@register("op4_toxicity_nb")
+def op4_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: doc_id, held_out, score, predicted (score >= 0.3)."""
+    from tabwright.llm import toxicity_nb as T
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = T.train(docs, table(spark, sf_dir, "labels"), ~T.held_out())
+    return T.score(docs, model, 0.3).select("doc_id", T.held_out().alias("held_out"), "score", "predicted")
