@@ -50,3 +50,11 @@ def op4_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = T.train(docs, table(spark, sf_dir, "labels"), ~T.held_out())
     return T.score(docs, model, 0.3).select("doc_id", T.held_out().alias("held_out"), "score", "predicted")
+
+
+@register("op6_html_template")
+def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages: page_id, url, text, n_chars."""
+    from tabwright.llm.html_template import extract
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))\
+        .select("page_id", "url", "text", "n_chars")
