@@ -58,3 +58,10 @@ def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabwright.llm.html_template import extract
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))\
         .select("page_id", "url", "text", "n_chars")
+
+
+@register("op1_embedding_lattice")
+def op1_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of equal labels at cosine 0.93: vec_id, n_links, component_id, kept."""
+    from tabwright.llm.embedding_lattice import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
