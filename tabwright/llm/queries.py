@@ -65,3 +65,10 @@ def op1_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings of equal labels at cosine 0.93: vec_id, n_links, component_id, kept."""
     from tabwright.llm.embedding_lattice import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@register("op5_packing_nnls")
+def op5_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens: a row per piece."""
+    from tabwright.llm.packing_nnls import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"), bpe_path(), window=2048, end_id=1).drop("ids")

@@ -232,7 +232,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                       block_ids: int = BLOCK_IDS) -> None:
     """Write ``docs`` (doc_id long, text string) as token files below ``path``.
 
-    Ranges of doc_id become files in ascending order (repeated ids: by text; null ids first); each file is cut
+    Ranges of doc_id become files in ascending order (repeated ids: by the text's hash; null ids first); each file is cut
     into blocks of ``block_ids`` ids. Every document ends with ``end_id``, so null and empty texts hold one id.
     Only doc_id and text are read, whatever other columns there are. A task holds one block and the texts that
     Arrow hands it, not its file.
@@ -271,7 +271,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             yield cut(b"".join(held), directory)
 
     (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-     .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+     .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
      .mapInArrow(blocks, BLOCKS).write.parquet(path))
 
 

@@ -15,6 +15,8 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+
 MEMO_LIMIT = 1_000_000  # pieces a worker remembers; beyond it the memo starts anew
 BATCH_CHARS = 4_000_000  # characters encoded together
 _WS_SPACE = re.compile(r"\s ")
@@ -38,6 +40,9 @@ class PieceEncoder:
         self.cuts = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                      and not pre.get("add_prefix_space") and pre.get("use_regex", True))
         self.vocab_size = self.tokenizer.get_vocab_size()
+        self.opens = np.zeros(self.vocab_size, bool)  # ids that start with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")
         self.first: dict[str, bytes] = {}   # pieces as they are
         self.spaced: dict[str, bytes] = {}  # pieces without their leading space
 
@@ -45,12 +50,25 @@ class PieceEncoder:
         return [array("I", e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of alphabetic words, each after a space: many in one call, told apart by that space."""
+        for lo in range(0, len(words), 2000):
+            part = words[lo:lo + 2000]
+            text = " " + " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(at) == len(part):
+                raw = ids.tobytes()
+                yield from map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)]))
+            else:
+                yield from self._whole([" " + p for p in part])
+
     def _learn(self, pieces: set[str], memo: dict[str, bytes], prefix: str) -> None:
         """Put the ids of new pieces into a memo; what stands before and after a mark is looked up by itself."""
-        whole, parts = [], {}
+        words, whole, parts = [], [], {}
         for p in pieces:
             if p.isalpha():
-                whole.append(p)
+                words.append(p)
                 continue
             m = _WORD_STOP.fullmatch(p)
             if m and m[1].isalpha() and not m[3].startswith((" ", "\n")) and (
@@ -58,9 +76,9 @@ class PieceEncoder:
                 parts[p] = m.groups()
             else:
                 whole.append(p)
-        heads = {m[0] for m in parts.values()}.difference(memo, whole)
-        whole.extend(heads)
-        memo.update(zip(whole, self._whole([prefix + p for p in whole] if prefix else whole), strict=True))
+        words.extend({m[0] for m in parts.values()}.difference(memo, words))
+        memo.update(zip(whole, self._whole([prefix + p for p in whole]), strict=True))
+        memo.update(zip(words, self._words(words) if prefix else self._whole(words), strict=True))
         if parts:
             tails = {x for m in parts.values() for x in m[1:] if x}.difference(self.first)
             self.first.update(zip(tails, self._whole(list(tails)), strict=True))
