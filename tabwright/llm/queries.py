@@ -72,3 +72,10 @@ def op5_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2,048 tokens: a row per piece."""
     from tabwright.llm.packing_nnls import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), bpe_path(), window=2048, end_id=1).drop("ids")
+
+
+@register("op9_hilbert_shards")
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards along a Hilbert curve, row counts at most one apart."""
+    from tabwright.llm.hilbert_shards import shard
+    return shard(table(spark, sf_dir, "documents"), shards=16)
