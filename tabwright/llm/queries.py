@@ -79,3 +79,11 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards along a Hilbert curve, row counts at most one apart."""
     from tabwright.llm.hilbert_shards import shard
     return shard(table(spark, sf_dir, "documents"), shards=16)
+
+
+@register("op7_decontam_template")
+def op7_decontam_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item's template: doc_id, item_id, covered, item_words, doc_place, n_slots,
+    exact."""
+    from tabwright.llm.decontam_template import contamination
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
