@@ -87,3 +87,15 @@ def op7_decontam_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact."""
     from tabwright.llm.decontam_template import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _license_sql() -> str:
+    from tabwright.llm.license_dice import scan_sql
+    return scan_sql()
+
+
+@register("op3_license_dice", _license_sql())
+def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents: doc_id, license, dice, segment_words, n_segments."""
+    from tabwright.llm.license_dice import scan
+    return scan(table(spark, sf_dir, "documents"))
