@@ -40,7 +40,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: doc_id, fingerprint, component_id, kept."""
     from tabwright.llm.simhash_vptree import near_duplicates
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2, seed=42).drop("fp")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2, seed=42).drop("fp", "group")
 
 
 @register("op4_toxicity_nb")
@@ -99,3 +99,35 @@ def op3_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents: doc_id, license, dice, segment_words, n_segments."""
     from tabwright.llm.license_dice import scan
     return scan(table(spark, sf_dir, "documents"))
+
+
+@register("op2_token_rollup")
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents after four commits: source, lang, version, docs, tokens.
+
+    Batch 1 inserts every document's count; batch 2 deletes the later copies of equal texts; batch 3 adds a second
+    tokenizer version, which ends documents with one more token, for the documents left; batch 4 revises the first
+    version's count of documents without a token to that of the empty document, 1. Batch 2 is sent twice.
+    """
+    from pyspark.sql import functions as F
+
+    from tabwright.llm.common import shared_path, written
+    from tabwright.llm.token_rollup import Rollup, count_tokens, later_copies
+    first, second = "byte_bpe_50k", "byte_bpe_50k+end"
+    docs = written(count_tokens(table(spark, sf_dir, "documents"), bpe_path()).select(
+        "doc_id", "source", "lang", F.xxhash64("text").alias("h"), "n_tokens"), "token-counts")
+    rollup = Rollup(spark, shared_path(spark, "token-rollup"))
+    rows = docs.select("doc_id", F.lit(first).alias("version"), F.lit("insert").alias("op"), "source", "lang",
+                       F.col("n_tokens").alias("tokens"))
+    rollup.commit(1, rows)
+    gone = later_copies(docs, "h").select(
+        "doc_id", F.lit(first).alias("version"), F.lit("delete").alias("op"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("tokens", "long"))])
+    rollup.commit(2, gone)
+    rollup.commit(2, gone)
+    rollup.commit(3, rollup.present().select(
+        "doc_id", F.lit(second).alias("version"), F.lit("insert").alias("op"), "source", "lang",
+        (F.col("tokens") + 1).alias("tokens")))
+    rollup.commit(4, rollup.present().where(F.col("version") == first).where("tokens = 0").select(
+        "doc_id", "version", F.lit("revise").alias("op"), "source", "lang", F.lit(1).alias("tokens")))
+    return rollup.totals()
