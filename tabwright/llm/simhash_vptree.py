@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, seed: int =
     """Group the documents (doc_id, text) whose SimHash differs in at most ``bits`` bits, directly or in steps.
 
     Returns a row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the
-    group; null if all are null), kept (whether the row has that doc_id), fp (the fingerprint as a long).
+    group; null if all are null), kept (whether the row has that doc_id), fp (the fingerprint as a long), group (the group's
+    smallest fingerprint as a long).
     Null and empty texts have fingerprint zero and link like any other; copies share a fingerprint and meet only
     in a map-side combined minimum; a repeated row is returned as often as it comes. Other columns are not read.
     """
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, seed: int =
     groups = hamming_components(prints, bits)
     named = prints.join(groups, "fp")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = cut_lineage(named.join(least, "component").select("fp", "component_id"))
+    by_print = cut_lineage(named.join(least, "component").select("fp", "component_id", F.col("component").alias("group")))
     return own.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "fp")
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "fp", "group")
