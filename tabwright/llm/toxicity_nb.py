@@ -6,7 +6,7 @@ buckets, present or not. Training, on labelled rows only:
 
 1. Spark counts, for every bucket, the toxic and the other training documents that have it (sparse partial counts
    per task, one aggregation by bucket).
-2. The naive Bayes log-count ratio of a bucket is drawn towards zero by two standard errors, so buckets without
+2. The naive Bayes log-count ratio of a bucket is drawn towards zero by ``ERRORS`` standard errors, so buckets without
    evidence scale to nothing and cost nothing in scoring.
 3. A logistic regression on the scaled features is fitted on at most ``FIT_ROWS`` training documents that were
    not counted in step 1 (a third of them by hash, the lowest hashes first). This bounded sample is the only
@@ -26,9 +26,9 @@ from tabwright.llm.common import cut_lineage
 
 BITS = 21
 ORDERS = (4, 5, 6)
-FIT_ROWS = 12_000          # bound of the sample that the regression is fitted on
+FIT_ROWS = 8_000           # bound of the sample that the regression is fitted on
 BROADCAST_LABELS = 2_000_000  # labelled rows that may be broadcast; more are joined by a shuffle
-ERRORS = 2.0               # standard errors taken off a log-count ratio
+ERRORS = 3.0               # standard errors taken off a log-count ratio
 L2 = 1e-4
 _CHUNK = 2_000_000         # characters worked on together (one text is never cut)
 
@@ -208,18 +208,18 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic")
             for part in _chunks(pdf["text"]):
                 doc, bucket = _hits(part, shared.value)
                 lists += np.split(bucket, np.searchsorted(doc, np.arange(1, len(part))))
-            yield pd.DataFrame({"y": y, "buckets": [x.tolist() for x in lists]})
+            yield pd.DataFrame({"y": y, "buckets": [x.astype("<i4").tobytes() for x in lists]})
 
     sample = (joined(fit, min(max(n_fit, 1), FIT_ROWS)).select("text", "y")
-              .mapInPandas(features, "y int, buckets array<long>").toPandas())
+              .mapInPandas(features, "y int, buckets binary").toPandas())
     if not len(sample):
         return ToxicityModel(-500.0, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     # one order whatever the partitions gave
-    order = sorted(range(len(sample)), key=lambda i: (sample["y"][i], list(sample["buckets"][i])))
-    y = sample["y"].to_numpy(np.float64)[order]
-    lists = [np.asarray(sample["buckets"][i], np.int64) for i in order]
-    used, column = np.unique(np.concatenate(lists), return_inverse=True)
-    rows = np.repeat(np.arange(len(y)), [len(x) for x in lists])
+    lists = sorted(zip(sample["y"].tolist(), map(bytes, sample["buckets"]), strict=True))
+    y = np.array([k for k, _ in lists], np.float64)
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) // 4 for _, b in lists])
+    used, column = np.unique(np.frombuffer(b"".join([b for _, b in lists]), "<i4"), return_inverse=True)
+    used, column = used.astype(np.int64), column.astype(np.int32)
     w, bias = _fit(rows, column, ratio[used][column], y)
     return ToxicityModel(bias, used, w * ratio[used], ratio[used])
 
