@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import connected_components, cut_lineage, written
 
-CELL = 0.3          # lattice scale: side of the cells, for unit vectors
+CELL = 0.3          # least lattice scale, for unit vectors
 BLOCK_ROWS = 2048   # vectors of one cell that a task holds on either side
 BROADCAST_CELLS = 100_000  # cells with more vectors than that which may be broadcast; else they are joined
 
@@ -69,7 +69,7 @@ class Lattice:
     """Tables for vectors of ``dim`` components: rotation, probe radius, neighbours."""
 
     def __init__(self, dim: int, cosine: float, cell: float, seed: int = 0):
-        self.cosine, self.cell = cosine, cell
+        self.cosine = cosine
         self.padded = -(-dim // 8) * 8
         rng = np.random.default_rng(seed)
         q, r = np.linalg.qr(rng.standard_normal((self.padded, self.padded)))
@@ -77,9 +77,8 @@ class Lattice:
         self.tables = self.padded // 8
         # a little more than needed, for rounding
         self.radius = np.sqrt(max(0.0, 2 - 2 * cosine) / self.tables) * (1 + 1e-9) + 1e-9
-        ball = self.radius / 2 / cell
-        if ball > 0.4:
-            raise ValueError("cell too small for this cosine")
+        self.cell = max(cell, 2.3 * self.radius)  # in smaller cells a ball touches more than the next ones
+        ball = self.radius / 2 / self.cell
         limit = 4  # neighbours whose border can be that near: |v| / 2 - covering radius 1 <= ball
         while np.sqrt(limit + 2) / 2 - 1 <= ball:
             limit += 2
