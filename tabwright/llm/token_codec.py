@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import shared_path
 from tabwright.llm.tokens import encoder
 
-BLOCK_IDS = 1 << 19
-LANES = 2048
+BLOCK_IDS = 1 << 20
+LANES = 8192
 MAGIC = 0x31525854
 _CLASS_BITS = 14
 _CLASS_MIN = 256
