@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.session import cut_lineage
+
 
 def _gkey(by: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("_"))
@@ -51,12 +53,18 @@ def rank_cutoffs(df: DataFrame, h: Column, tiebreaks: list[str], quotas: dict, b
             acc = 0
             for pq, n in lst:
                 if acc + n >= q:
-                    active[g] = [pq, q - acc, n]  # prefix, remaining rank, rows under prefix
+                    # prefix, remaining rank, rows under prefix, whether the prefix is a whole key
+                    active[g] = [pq, q - acc, n, len(pq) < step]
                     break
                 acc += n
     spark = df.sparkSession
     gtype = base.schema["__g"].dataType.simpleString()
     while active:
+        # a prefix that holds one key only can't be refined: there the tie-breaks decide
+        for g in [g for g, v in active.items() if v[2] > window_limit and v[3]]:
+            p, r = active.pop(g)[:2]
+            own = base.where(F.col("__g").eqNullSafe(_lit_group(g, by, base)) & (F.col("__h") == F.lit(p)))
+            result[g] = (p, *_nth_row(own.select(*tiebreaks), tiebreaks, r)) if tiebreaks else (p,)
         coarse = {g: v for g, v in active.items() if v[2] > window_limit}
         fine = {g: v for g, v in active.items() if v[2] <= window_limit}
         if fine:
@@ -88,12 +96,28 @@ def rank_cutoffs(df: DataFrame, h: Column, tiebreaks: list[str], quotas: dict, b
                 acc = 0
                 for q, n in lst:
                     if acc + n >= rem:
-                        active[g] = [q, rem - acc, n]
+                        active[g] = [q, rem - acc, n, len(q) < plen + step]
                         break
                     acc += n
     return result
 
 
+def _lit_group(g: tuple, by: list[str], base: DataFrame) -> Column:
+    return F.struct(*[F.lit(v).alias(c) for c, v in zip(by or ["_"], _row(g, by))]).cast(base.schema["__g"].dataType)
+
+
+def _nth_row(rows: DataFrame, order: list[str], n: int) -> tuple:
+    """The n-th row (from 1) in ascending order: one range sort, partition counts, one look-up."""
+    ranged = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    for r in ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        if n <= r["n"]:
+            return tuple(ranged.where(F.col("__id") == (r["part"] << 33) + n - 1).select(*order).first())
+        n -= r["n"]
+    raise ValueError("fewer rows than the rank asked for")
+
+
 def _row(g: tuple, by: list[str]):
     return tuple(g) if by else (0,)
 

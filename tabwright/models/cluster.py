@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.quantiles import quantile_dict
+from tabwright.operators.anomaly import incomplete
 from tabwright.operators.knn import knn_join, range_join
 from tabwright.session import cut_lineage
 
@@ -34,7 +35,8 @@ def kmeans(df: DataFrame, features: list[str], id_col: str, k: int = 4, seed: in
     x = VectorAssembler(inputCols=features, outputCol="__f", handleInvalid="skip").transform(df.select(id_col, *features))
     est = (BisectingKMeans if divisive else KMeans)(k=k, seed=seed, featuresCol="__f", predictionCol="cluster")
     m = est.fit(x)
-    return m.transform(x).select(F.col(id_col), F.col("cluster").cast("int"))
+    rest = incomplete(df, features).select(F.col(id_col), F.lit(None).cast("int").alias("cluster"))
+    return m.transform(x).select(F.col(id_col), F.col("cluster").cast("int")).unionByName(rest)
 
 
 def spectral(df: DataFrame, features: list[str], id_col: str, k: int = 4, n_neighbors: int = 10, seed: int = 42):

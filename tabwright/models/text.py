@@ -1,90 +1,164 @@
 """Topic models over a text column: lda, lsi, nmf, rp. Each returns per-document topic weights
-``(id, topic, weight)`` (long form) plus, where defined, top terms per topic.
+``(id, topic, weight)`` (long form).
 
-Tokenising, stop-word removal and vocabulary building are Spark ML
-transformers over whole texts. Term counts stay sparse: NMF factorises the
-``(doc, term, count)`` triples with ALS; random projection sums hashed Gaussian
-weights of each (doc, term) entry with a ``groupBy(doc)``.
+Words are runs of letters and digits of any script, lower-cased, without stop words and words of one character.
+Every word of the whole text counts: there is no vocabulary list on the driver and, unless ``min_df`` or
+``max_terms`` ask for it, no cut. lsi, nmf and rp work on the sparse table (document, term, count): a
+matrix product is a join of that table with one factor and a sum by the other key, and only k x k matrices reach
+the driver. lda hashes the words to ``1 << LDA_BITS`` columns.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover
+from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.session import cut_lineage
 
-def term_counts(df: DataFrame, text: str, id_col: str, vocab: int = 10000, min_df: float = 2.0):
-    tok = RegexTokenizer(inputCol=text, outputCol="__tok", pattern="\\W+", minTokenLength=2)
-    sw = StopWordsRemover(inputCol="__tok", outputCol="__words")
-    x = sw.transform(tok.transform(df.select(id_col, text)))
-    cv = CountVectorizer(inputCol="__words", outputCol="tf", vocabSize=vocab, minDF=min_df).fit(x)
-    return cv.transform(x).select(id_col, "tf"), cv.vocabulary
+WORD_GAP = r"[^\p{L}\p{N}]+"
+LDA_BITS = 18
+
+
+def words(df: DataFrame, text: str, id_col: str) -> DataFrame:
+    """``(id, words)``: the words of every document, without stop words; none for a null text."""
+    plain = df.select(id_col, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    tok = RegexTokenizer(inputCol="__text", outputCol="__tok", pattern=WORD_GAP, minTokenLength=2)
+    return StopWordsRemover(inputCol="__tok", outputCol="words").transform(tok.transform(plain)).select(id_col, "words")
+
+
+def term_counts(df: DataFrame, text: str, id_col: str, min_df: int = 1, max_terms: int | None = None) -> DataFrame:
+    """``(doc, term, n)`` of all documents. ``min_df`` and ``max_terms`` cut rare terms, if asked for."""
+    n = (words(df, text, id_col).select(F.col(id_col).alias("doc"), F.explode("words").alias("term"))
+         .groupBy("doc", "term").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    if min_df > 1 or max_terms is not None:
+        keep = n.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+        if max_terms is not None:
+            keep = keep.orderBy(F.desc("df"), "term").limit(max_terms)
+        n = n.join(keep, "term", "left_semi")
+    return n.select("doc", "term", "n")
+
+
+def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
+    """``(doc, term, w)`` with w = n log((documents + 1) / (documents with the term + 1)), zeros left out."""
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return (counts.join(df, "term").select("doc", "term", (F.col("n") * F.log((n_docs + 1) / (F.col("df") + 1))).alias("w"))
+            .where("w <> 0"))
+
+
+def _uniform(key: Column, j: int, seed: int) -> Column:
+    """Hash of a key to (0, 1)."""
+    return (F.pmod(F.xxhash64(key, F.lit(j), F.lit(seed)), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
+
+
+def _normal(key: Column, j: int, seed: int) -> Column:
+    return F.sqrt(-2 * F.log(_uniform(key, j, seed))) * F.cos(2 * np.pi * _uniform(key, j, seed + 1))
+
+
+def _product(entries: DataFrame, by: str, out: str, factor: DataFrame, k: int) -> DataFrame:
+    """``(out, v)``: sum over ``by`` of entry x factor row, for a factor ``(by, v array)``."""
+    return (entries.join(factor, by).groupBy(out)
+            .agg(F.array(*[F.sum(F.col("w") * F.col("v")[j]) for j in range(k)]).alias("v")))
+
+
+def _gram(factor: DataFrame, k: int) -> np.ndarray:
+    r = factor.agg(*[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    g = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            g[i, j] = g[j, i] = r[f"g{i}_{j}"] or 0.0
+    return g
+
+
+def _times(v: Column, m: np.ndarray) -> Column:
+    """Row array x a small matrix."""
+    return F.array(*[sum((v[i] * F.lit(float(m[i, j])) for i in range(m.shape[0])), F.lit(0.0)) for j in range(m.shape[1])])
+
+
+def _long(df: DataFrame, id_col: str, found: DataFrame, k: int) -> DataFrame:
+    """Every row's weights; documents without any term get zeros."""
+    zeros = F.array(*[F.lit(0.0)] * k)
+    ids = df.select(F.col(id_col).alias("__id"))
+    return (ids.join(found.select(F.col("doc").alias("__doc"), "v"), F.col("__id").eqNullSafe(F.col("__doc")), "left")
+            .select(F.col("__id").alias(id_col), F.posexplode(F.coalesce("v", zeros)).alias("topic", "weight")))
 
 
 def lda_topics(df: DataFrame, text: str, id_col: str, k: int = 4, max_iter: int = 20, seed: int = 42):
-    tf, vocab = term_counts(df, text, id_col)
+    """Weights of each document, and the ten heaviest columns of each topic with the words hashed to them."""
+    w = words(df, text, id_col)
+    hashing = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << LDA_BITS)
+    tf = hashing.transform(w)
     m = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="tf", topicDistributionCol="__td").fit(tf)
     doc = m.transform(tf).select(id_col, F.posexplode(vector_to_array("__td")).alias("topic", "weight"))
-    terms = m.describeTopics(10).select("topic", F.posexplode("termIndices").alias("rank", "term_index"),
-                                        "termWeights")
-    return doc, terms, vocab
-
-
-def lsi_topics(df: DataFrame, text: str, id_col: str, k: int = 4):
-    """TF-IDF then a rank-k SVD of the document-term matrix (distributed ``RowMatrix.computeSVD``)."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-    tf, vocab = term_counts(df, text, id_col)
-    tfidf = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)
-    keyed = tfidf.select(F.xxhash64(id_col).alias("__ix"), id_col, "tfidf")
-    rows = keyed.select("__ix", "tfidf").rdd.map(lambda r: IndexedRow(r[0], MV.fromML(r[1])))
-    svd = IndexedRowMatrix(rows).computeSVD(k, computeU=True)
-    u = svd.U.rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()])).toDF(["__ix", "u"])
-    s = [float(x) for x in svd.s.toArray()]
-    doc = (keyed.select("__ix", id_col).join(u, "__ix")
-           .select(id_col, F.posexplode("u").alias("topic", "weight"))
-           .withColumn("weight", F.col("weight") * F.element_at(F.array(*[F.lit(x) for x in s]), F.col("topic") + 1)))
-    return doc, vocab
+    top = m.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
+    top = top.select("topic", "rank", F.col("t.termIndices").alias("column"), F.col("t.termWeights").alias("weight"))
+    own = w.select(F.explode("words").alias("term")).distinct()
+    one = HashingTF(inputCol="one", outputCol="tf", numFeatures=1 << LDA_BITS).transform(
+        own.select("term", F.array("term").alias("one")))
+    # a one-word vector prints as (size,[column],[1.0])
+    named = one.select("term", F.regexp_extract(F.col("tf").cast("string"), r"\[(\d+)\]", 1).cast("int").alias("column"))
+    terms = (top.join(named, "column").groupBy("topic", "rank", "weight").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    return doc, terms
+
+
+def lsi_topics(df: DataFrame, text: str, id_col: str, k: int = 4, seed: int = 42, rounds: int = 4):
+    """Rank-k singular value decomposition of the tf-idf matrix by subspace iteration: document weights are U S.
+
+    Each round multiplies by the matrix and its transpose; the subspace (k + 6 wide) is made orthonormal by its Gram
+    matrix's Cholesky factor. Signs: the largest weight of every topic is positive.
+    """
+    e = cut_lineage(tfidf(term_counts(df, text, id_col), df.count()))
+    wide = k + 6
+    x = e.select("term").distinct().select("term", F.array(*[_normal(F.col("term"), j, seed) for j in range(wide)]).alias("v"))
+    for _ in range(rounds):
+        y = cut_lineage(_product(e, "term", "doc", x, wide))
+        x = cut_lineage(_product(e, "doc", "term", y.select("doc", _times(F.col("v"), _whiten(_gram(y, wide))).alias("v")), wide))
+        x = x.select("term", _times(F.col("v"), _whiten(_gram(x, wide))).alias("v"))
+    y = cut_lineage(_product(e, "term", "doc", x, wide))
+    vals, vecs = np.linalg.eigh(_gram(y, wide))
+    turn = vecs[:, np.argsort(-vals)[:k]]
+    scores = y.select("doc", _times(F.col("v"), turn).alias("v"))
+    ends = scores.agg(*[F.max_by(F.col("v")[j], F.abs(F.col("v")[j])).alias(f"m{j}") for j in range(k)]).first()
+    sign = np.diag([-1.0 if (ends[f"m{j}"] or 0) < 0 else 1.0 for j in range(k)])
+    return _long(df, id_col, y.select("doc", _times(F.col("v"), turn @ sign).alias("v")), k)
+
+
+def _whiten(gram: np.ndarray) -> np.ndarray:
+    """Matrix that makes columns with this Gram matrix orthonormal (null directions go to zero)."""
+    vals, vecs = np.linalg.eigh(gram)
+    inv = np.where(vals > 1e-12 * max(vals.max(), 1e-300), 1 / np.sqrt(np.clip(vals, 1e-300, None)), 0.0)
+    return vecs * inv
 
 
 def nmf_topics(df: DataFrame, text: str, id_col: str, k: int = 4, max_iter: int = 15, seed: int = 42):
-    tf, vocab = term_counts(df, text, id_col)
-    trip = (tf.select(F.pmod(F.xxhash64(id_col), F.lit(2147483647)).cast("int").alias("doc"), id_col,
-                      F.posexplode(vector_to_array("tf")).alias("term", "n")).where(F.col("n") > 0))
-    # ALS user/item ids must be int: documents get a 32-bit hash (collisions only merge factor rows)
-    als = ALS(rank=k, maxIter=max_iter, nonnegative=True, implicitPrefs=False, userCol="doc", itemCol="term",
-              ratingCol="n", seed=seed, coldStartStrategy="drop")
-    m = als.fit(trip.select("doc", "term", "n"))
-    docs = tf.select(F.pmod(F.xxhash64(id_col), F.lit(2147483647)).cast("int").alias("doc"), id_col)
-    zeros = F.array(*[F.lit(0.0).cast("float") for _ in range(k)])
-    # documents without any vocabulary term get zero weights
-    doc = (docs.join(m.userFactors.withColumnRenamed("id", "doc"), "doc", "left")
-           .select(id_col, F.posexplode(F.coalesce("features", zeros)).alias("topic", "weight")))
-    return doc, vocab
+    """Non-negative factors of the count matrix (absent terms are zeros) by multiplicative updates."""
+    e = cut_lineage(term_counts(df, text, id_col).withColumnRenamed("n", "w"))
+    start = lambda key, s: F.array(*[_uniform(F.col(key), j, s) for j in range(k)]).alias("v")
+    w = cut_lineage(e.select("doc").distinct().select("doc", start("doc", seed)))
+    h = cut_lineage(e.select("term").distinct().select("term", start("term", seed + 7)))
+
+    def update(own, key, other, other_key):
+        top = _product(e, other_key, key, other, k).withColumnRenamed("v", "top")
+        down = _times(F.col("v"), _gram(other, k))
+        return cut_lineage(own.join(top, key).select(key, F.transform(F.arrays_zip(F.col("v"), F.col("top"), down.alias("down")),
+                           lambda z: z["v"] * z["top"] / (z["down"] + F.lit(1e-12))).alias("v")))
+
+    for _ in range(max_iter):
+        h = update(h, "term", w, "doc")
+        w = update(w, "doc", h, "term")
+    return _long(df, id_col, w, k)
 
 
 def random_projection(df: DataFrame, text: str, id_col: str, k: int = 4, seed: int = 42):
-    """TF-IDF x seeded Gaussian matrix, generated per (term, component) from hashes (Box-Muller)."""
-    tf, vocab = term_counts(df, text, id_col)
-    tfidf = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf)
-    ent = tfidf.select(id_col, F.posexplode(vector_to_array("tfidf")).alias("term", "w")).where(F.col("w") != 0)
-
-    def unif(j, s):
-        return (F.pmod(F.xxhash64(F.col("term"), F.lit(j), F.lit(seed + s)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-
-    gauss = [F.sqrt(-2 * F.log(unif(j, 0))) * F.cos(2 * 3.141592653589793 * unif(j, 1)) for j in range(k)]
-    agg = ent.groupBy(id_col).agg(*[F.sum(F.col("w") * g / F.lit(k ** 0.5)).alias(f"c{j}") for j, g in enumerate(gauss)])
-    # documents without any vocabulary term project to the origin
-    agg = tfidf.select(id_col).join(agg, id_col, "left").fillna(0.0, subset=[f"c{j}" for j in range(k)])
-    doc = agg.select(id_col, F.posexplode(F.array(*[F.col(f"c{j}") for j in range(k)])).alias("topic", "weight"))
-    return doc, vocab
-
-
-TOPIC_MODELS = {"lda": lambda d, t, i, **kw: lda_topics(d, t, i, **kw)[0],
-                "lsi": lambda d, t, i, **kw: lsi_topics(d, t, i, **kw)[0],
-                "nmf": lambda d, t, i, **kw: nmf_topics(d, t, i, **kw)[0],
-                "rp": lambda d, t, i, **kw: random_projection(d, t, i, **kw)[0]}
+    """tf-idf x a Gaussian matrix that is drawn from each term's hash."""
+    e = tfidf(term_counts(df, text, id_col), df.count())
+    found = e.groupBy("doc").agg(F.array(*[F.sum(F.col("w") * _normal(F.col("term"), j, seed)) / F.lit(k ** 0.5)
+                                           for j in range(k)]).alias("v"))
+    return _long(df, id_col, found, k)
+
+
+TOPIC_MODELS = {"lda": lambda d, t, i, **kw: lda_topics(d, t, i, **kw)[0], "lsi": lsi_topics, "nmf": nmf_topics,
+                "rp": random_projection}

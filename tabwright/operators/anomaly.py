@@ -41,9 +41,9 @@ def hbos(df: DataFrame, features: list[str], bins: int = 10, id_col: str = "id")
     for i, c in enumerate(features):
         lo, hi = r[f"lo{i}"], r[f"hi{i}"]
         span = (hi - lo) if hi is not None and hi != lo else None
-        b = (F.least(F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(span) * bins), F.lit(bins - 1))
-             if span else F.lit(0)).cast("int")
-        bcols.append(b.alias(f"__b{i}"))
+        x = F.col(c).cast("double")
+        b = (F.least(F.floor((x - F.lit(lo)) / F.lit(span) * bins), F.lit(bins - 1)) if span else F.lit(0)).cast("int")
+        bcols.append(F.when(x.isNull() | F.isnan(x), F.lit(-1)).otherwise(b).alias(f"__b{i}"))  # nulls: a bin of their own
     binned = df.select(F.col(id_col).alias("id"), *bcols)
     long = binned.unpivot(["id"], [f"__b{i}" for i in range(len(features))], "feature", "bin")
     hist = long.groupBy("feature", "bin").agg((F.count(F.lit(1)) / F.lit(float(n))).alias("p"))
@@ -96,7 +96,7 @@ def cluster_score(df: DataFrame, features: list[str], id_col: str = "id", k: int
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    va = VectorAssembler(inputCols=features, outputCol="__f", handleInvalid="skip")
+    va = VectorAssembler(inputCols=features, outputCol="__f", handleInvalid="skip")  # scored below, with null
     x = va.transform(df.select(id_col, *features))
     model = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="__c").fit(x)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
@@ -118,7 +118,17 @@ def cluster_score(df: DataFrame, features: list[str], id_col: str = "id", k: int
         own = F.when(F.col("__c") == c, dist_to(c)).otherwise(own)
     nearest_large = F.least(*[dist_to(c) for c in large]) if len(large) > 1 else dist_to(next(iter(large)))
     score = F.when(F.col("__c").isin(list(large)), own).otherwise(nearest_large)
-    return pred.select(F.col(id_col), score.alias("score"))
+    scored = pred.select(F.col(id_col), score.alias("score"))
+    return scored.unionByName(incomplete(df, features).select(F.col(id_col), F.lit(None).cast("double").alias("score")))
+
+
+def incomplete(df: DataFrame, features: list[str]) -> DataFrame:
+    """Rows with a null or NaN feature, which no distance-based model can place."""
+    missing = F.lit(False)
+    for c in features:
+        x = F.col(c).cast("double")
+        missing = missing | x.isNull() | F.isnan(x)
+    return df.where(missing)
 
 
 def _c(n: float) -> float:
@@ -263,8 +273,8 @@ def remove_outliers(df: DataFrame, features: list[str], id_col: str, threshold:
         v = df.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("vec"))
         s = fn(v).withColumnRenamed("id", id_col)
     cut = quantile_dict(s, ["score"], [1.0 - threshold]).get(("score", 1.0 - threshold))
-    keep = s.where(F.col("score") <= F.lit(cut)).select(id_col)
-    return df.join(keep, id_col, "left_semi")
+    gone = s.where(F.col("score") > F.lit(cut)).select(id_col)  # a row without a score is no outlier
+    return df.join(gone, id_col, "left_anti")
 
 
 def score_table(scores: DataFrame, contamination: float = 0.05, id_col: str = "id") -> DataFrame:

@@ -15,6 +15,7 @@ originally missing entries with its predictions. Lineage is cut every round.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,7 +27,13 @@ from tabwright.operators.knn import knn_join
 from tabwright.session import cut_lineage
 
 
-def knn_impute(df: DataFrame, features: list[str], id_col: str, k: int = 5) -> DataFrame:
+def knn_impute(df: DataFrame, features: list[str], id_col: str, k: int = 5, donors: DataFrame | None = None) -> DataFrame:
+    """Fill the gaps of ``df``; donors are rows of ``donors`` (default: of ``df`` itself) that have all columns needed.
+
+    A gap without any donor gets the column's mean over the donors' table.
+    """
+    source = df if donors is None else donors
+    means = source.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first()
     flags = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in features])
     d = df.withColumn("__pat", flags)
     patterns = [r["__pat"] for r in d.select("__pat").distinct().collect()]  # at most 2^d, usually a handful
@@ -39,38 +46,144 @@ def knn_impute(df: DataFrame, features: list[str], id_col: str, k: int = 5) -> D
         have = [c for c, b in zip(features, pat) if b == "0"]
         rows = d.where(F.col("__pat") == pat)
         if not have:
-            means = df.agg(*[F.avg(c).alias(c) for c in miss]).first()
-            parts.append(rows.drop("__pat").select(*[F.coalesce(F.col(c), F.lit(means[c])).alias(c) if c in miss
-                                                     else F.col(c) for c in df.columns]))
+            parts.append(rows.drop("__pat").select(*[
+                F.coalesce(F.col(c), F.lit(means[c]).cast(df.schema[c].dataType)).alias(c) if c in miss
+                else F.col(c) for c in df.columns]))
             continue
-        donors = d.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in miss + have]))
+        full = source.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in miss + have]))
         q = rows.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in have]).alias("vec"))
-        r = donors.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in have]).alias("vec"))
+        r = full.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in have]).alias("vec"))
         nb = knn_join(q, r, k, "id", "vec", exclude_self=False)
-        dv = donors.select(F.col(id_col).alias("nid"), *[F.col(c).alias(f"__d_{c}") for c in miss])
+        dv = full.select(F.col(id_col).alias("nid"), *[F.col(c).alias(f"__d_{c}") for c in miss])
         fills = nb.join(dv, "nid").groupBy("qid").agg(*[F.avg(f"__d_{c}").alias(f"__f_{c}") for c in miss])
         filled = rows.drop("__pat").join(fills.withColumnRenamed("qid", id_col), id_col, "left")
-        parts.append(filled.select(*[F.coalesce(F.col(c), F.col(f"__f_{c}")).cast(df.schema[c].dataType).alias(c)
-                                     if c in miss else F.col(c) for c in df.columns]))
+        parts.append(filled.select(*[
+            F.coalesce(F.col(c), F.col(f"__f_{c}"), F.lit(means[c])).cast(df.schema[c].dataType).alias(c)
+            if c in miss else F.col(c) for c in df.columns]))
     return reduce(DataFrame.unionByName, parts)
 
 
-def iterative_impute(df: DataFrame, features: list[str], rounds: int = 10) -> DataFrame:
-    gaps = [c for c in features if df.where(F.col(c).isNull()).limit(1).count() > 0]
+def fit_iterative(df: DataFrame, features: list[str], rounds: int = 10, tol: float = 1e-3) -> FittedIterative:
+    """Chained Bayesian ridge regressions, learnt on ``df``; ends early once a round changes no filled value by more
+    than ``tol`` times its column's standard deviation (``converged`` tells which)."""
+    agg = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)],
+                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)],
+                 *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"g{i}") for i, c in enumerate(features)]).first()
+    fitted = FittedIterative(list(features), {c: agg[f"m{i}"] for i, c in enumerate(features)})
+    gaps = [c for i, c in enumerate(features) if agg[f"g{i}"] and agg[f"m{i}"] is not None]
+    spread = {c: agg[f"s{i}"] or 0.0 for i, c in enumerate(features)}
     if not gaps:
-        return df
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first()
-    cur = df.select("*", *[F.col(c).isNull().alias(f"__m_{c}") for c in gaps])
-    cur = cur.select(*[F.coalesce(F.col(c).cast("double"), F.lit(means[c])).alias(c) if c in features else F.col(c)
-                       for c in cur.columns])
-    cur = cut_lineage(cur)
+        fitted.converged = True
+        return fitted
+    usable = [c for c in features if fitted.means[c] is not None]
+    cur = cut_lineage(fitted.start(df))
     for _ in range(rounds):
+        before = cur
         for c in gaps:
-            others = [o for o in features if o != c]
+            others = [o for o in usable if o != c]
+            if not others:
+                continue
             g = gram(cur, others, c, where=~F.col(f"__m_{c}"))
             n, mx, my, G, cv, yy = _centered(g)
             b = bayes_ridge(G, cv, yy, n)
-            pred = linear(others, b, float(my - mx @ b))
-            cur = cur.withColumn(c, F.when(F.col(f"__m_{c}"), pred).otherwise(F.col(c)))
-        cur = cut_lineage(cur)
-    return cur.drop(*[f"__m_{c}" for c in gaps])
+            step = (c, others, [float(x) for x in b], float(my - mx @ b))
+            fitted.steps.append(step)
+            cur = fitted.apply(cur, step)
+        cur = cut_lineage(cur.withColumns({f"__d_{c}": F.abs(F.col(c) - F.col(f"__p_{c}")) for c in gaps}
+                                          if f"__p_{gaps[0]}" in before.columns else
+                                          {f"__d_{c}": F.lit(None).cast("double") for c in gaps})
+                          .withColumns({f"__p_{c}": F.col(c) for c in gaps}))
+        moved = cur.agg(*[F.max(F.when(F.col(f"__m_{c}"), F.col(f"__d_{c}"))).alias(c) for c in gaps]).first()
+        if all(moved[c] is not None and moved[c] <= tol * spread[c] for c in gaps):
+            fitted.converged = True
+            break
+    return fitted
+
+
+@dataclass
+class FittedIterative:
+    """The regressions of ``fit_iterative`` in order; ``transform`` replays them on any rows."""
+
+    features: list[str]
+    means: dict[str, float | None]
+    steps: list[tuple] = field(default_factory=list)
+    converged: bool = False
+
+    def start(self, df: DataFrame) -> DataFrame:
+        """Gaps flagged and filled with the means."""
+        df = df.withColumns({f"__m_{c}": F.col(c).isNull() for c in self.features})
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(self.means[c]).cast("double"))
+                               for c in self.features})
+
+    @staticmethod
+    def apply(df: DataFrame, step: tuple) -> DataFrame:
+        c, others, b, intercept = step
+        return df.withColumn(c, F.when(F.col(f"__m_{c}"), linear(others, b, intercept)).otherwise(F.col(c)))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        cur = self.start(df)
+        for i, step in enumerate(self.steps):
+            cur = self.apply(cur, step)
+            if i % 20 == 19 and not df.isStreaming:
+                cur = cut_lineage(cur)  # keeps the plan short
+        return cur.drop(*[f"__m_{c}" for c in self.features])
+
+    @property
+    def fills(self) -> dict:
+        return self.means
+
+
+@dataclass
+class FittedKnn:
+    """Donors for ``knn_impute``: the training rows."""
+
+    features: list[str]
+    donors: DataFrame
+    key: list[str]
+    k: int = 5
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rid = F.md5(F.to_json(F.struct(*self.key)))
+        out = knn_impute(df.withColumn("__rid", rid), self.features, "__rid", self.k,
+                         self.donors.withColumn("__rid", rid))
+        return out.drop("__rid")
+
+    @property
+    def fills(self) -> dict:
+        return dict.fromkeys(self.features)
+
+
+@dataclass
+class FittedChain:
+    """Imputers applied one after the other."""
+
+    parts: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for p in self.parts:
+            df = p.transform(df)
+        return df
+
+    @property
+    def fills(self) -> dict:
+        return {c: v for p in self.parts for c, v in p.fills.items()}
+
+
+def fit_model_imputer(df: DataFrame, method: str, numeric: list[str], strings: list[str], key: list[str], k: int = 5,
+                      rounds: int = 10):
+    """``knn`` or ``iterative`` for the numeric columns, the mode for string columns, learnt on ``df``."""
+    from tabwright.operators.prep import fit_imputer
+    parts = [fit_imputer(df.select(*strings), "mode")] if strings else []
+    if numeric and method == "knn":
+        parts.append(FittedKnn(numeric, cut_lineage(df.select(*key, *[F.col(c).cast("double").alias(c) for c in numeric])),
+                               key, k))
+    elif numeric and method == "iterative":
+        parts.append(fit_iterative(df, numeric, rounds))
+    elif numeric:
+        raise ValueError(f"unknown imputation method {method!r}")
+    return FittedChain(parts)
+
+
+def iterative_impute(df: DataFrame, features: list[str], rounds: int = 10) -> DataFrame:
+    """``df`` with the gaps of ``features`` filled by ``fit_iterative`` on the table itself."""
+    return fit_iterative(df, features, rounds).transform(df)

@@ -199,7 +199,7 @@ def select_top_remainders(share: DataFrame, left: int, seed: int) -> DataFrame:
     from tabwright.functions.ranks import select_first
 
     if left <= 0:
-        return share.sparkSession.createDataFrame([], "id long, plus int")
+        return share.select("id", F.lit(1).alias("plus")).limit(0)
     key = F.concat(F.format_string("%020.0f", (1.0 - F.col("rem")) * F.lit(1e15)),
                    F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed)))))
     sel = select_first(share.withColumn("__k", key), F.col("__k"), ["id"], {(): int(left)}, [])

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import columns_of
 from tabwright.functions.quantiles import quantile_dict
@@ -29,7 +30,10 @@ def modes(df: DataFrame, num: list[str], strs: list[str]) -> dict[str, object]:
     out: dict[str, object] = {}
     if num:
         for r in _mode(numeric_frequencies(df, num)).collect():
-            out[r["column"]] = float(r["mode"]) if r["mode"] is not None else None
+            # integers stay integers: a double can't hold all of them
+            whole = isinstance(df.schema[r["column"]].dataType, T.IntegralType)
+            out[r["column"]] = None if r["mode"] is None else int(float(r["mode"])) if whole and "." in r["mode"] \
+                else int(r["mode"]) if whole else float(r["mode"])
     if strs:
         for r in _mode(string_frequencies(df, strs)).collect():
             out[r["column"]] = r["mode"]

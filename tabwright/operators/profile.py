@@ -41,8 +41,14 @@ def kurt_corrected(g2: Column, n: Column) -> Column:
 
 
 def _long_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    return (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], cols, "column", "value").where(F.col("value").isNotNull()))
+    """``(column, value double, exact)``; ``exact`` is the value of an integer or decimal column that a double may not
+    hold, so that neighbours above 2**53 stay apart (null for other columns)."""
+    own = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.LongType, T.DecimalType))}
+    decimal = any(isinstance(df.schema[c].dataType, T.DecimalType) for c in cols)
+    kind = "decimal(38,10)" if decimal else "bigint"
+    s = df.select(*[F.struct(F.col(c).cast("double").alias("value"),
+                             (F.col(c) if c in own else F.lit(None)).cast(kind).alias("exact")).alias(c) for c in cols])
+    return (s.unpivot([], cols, "column", "v").select("column", "v.value", "v.exact").where(F.col("value").isNotNull()))
 
 
 def _long_string(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -51,8 +57,8 @@ def _long_string(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def numeric_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``(column, value double, n)``; partial aggregation collapses hot values map-side."""
-    return _long_numeric(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """``(column, value double, exact, n)``; partial aggregation collapses hot values map-side."""
+    return _long_numeric(df, cols).groupBy("column", "value", "exact").agg(F.count(F.lit(1)).alias("n"))
 
 
 def string_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -61,10 +67,14 @@ def string_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def _mode(freq: DataFrame) -> DataFrame:
     """Most frequent value per column, ties -> smallest value (a partial-aggregatable min over structs)."""
-    best = F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))
+    exact = "exact" in freq.columns
+    own = [F.col("exact").alias("e")] if exact else []
+    best = F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"), *own))
+    mode = F.col("m.v").cast("string")
+    if exact:
+        mode = F.coalesce(F.col("m.e").cast("string"), mode)
     return (freq.groupBy("column").agg(best.alias("m"), F.count(F.lit(1)).alias("n_unique"))
-            .select("column", "n_unique", F.col("m.v").cast("string").alias("mode"),
-                    (-F.col("m.k")).alias("mode_count")))
+            .select("column", "n_unique", mode.alias("mode"), (-F.col("m.k")).alias("mode_count")))
 
 
 def _wide_stats(df: DataFrame, num: list[str], strs: list[str], others: list[str],

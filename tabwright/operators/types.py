@@ -89,7 +89,7 @@ def suggest_types(df: DataFrame, category_ratio: float = CATEGORY_RATIO) -> Data
 
 
 def apply_types(df: DataFrame, advice: DataFrame | dict[str, str]) -> DataFrame:
-    """Cast columns to the advised Spark types with ``try_cast`` (strings go through double for integers)."""
+    """Cast columns to the advised Spark types with ``try_cast`` (integer text is read exactly, other numbers through double)."""
     if isinstance(advice, DataFrame):
         advice = {r["column"]: r["spark_type"] for r in advice.select("column", "spark_type").collect()}
     cols = []
@@ -99,7 +99,9 @@ def apply_types(df: DataFrame, advice: DataFrame | dict[str, str]) -> DataFrame:
         if st is None or st == f.dataType.simpleString():
             cols.append(c)
         elif isinstance(f.dataType, T.StringType) and st in ("tinyint", "smallint", "int", "bigint"):
-            cols.append(c.try_cast("double").try_cast(st).alias(f.name))
+            # text of a whole number is read exactly; "1.0" and "1e3" go through double
+            cols.append(F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
+                        .try_cast(st).alias(f.name))
         else:
             cols.append(c.try_cast(st).alias(f.name))
     return df.select(*cols)

@@ -108,6 +108,9 @@ class Experiment:
         base = train.select(*self.key, "__label" if sup else F.lit(None).cast("double").alias("__label"), *num, *cats)
         if self.prep.imputation in ("mean", "median", "mode"):
             self.imputer = P.fit_imputer(base.drop(*self.key, "__label"), self.prep.imputation)
+        elif self.prep.imputation:
+            from tabwright.operators.impute_model import fit_model_imputer
+            self.imputer = fit_model_imputer(base, self.prep.imputation, num, cats, self.key)
         self._freq = freq_tables
         enc = self._encode(base)
         if self.prep.normalization:
