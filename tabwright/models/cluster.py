@@ -4,9 +4,9 @@
   merging needs all pairs).
 - sc: PowerIterationClustering on the kNN graph (Gaussian weights).
 - dbscan: radius join -> core flags by neighbour counts -> connected
-  components of the core graph by min-label propagation (join + groupBy per
-  round, reliable checkpoint every few rounds) -> border rows take the smallest
-  label among their core neighbours, the rest are noise (-1).
+  components of the core graph, to their end, in a logarithmic number of rounds
+  (each checkpointed) -> border rows take the smallest label among their core
+  neighbours, the rest are noise (-1).
 - meanshift: binned seeds, flat-kernel mean shift (seeds x points radius join
   per round), modes merged on a half-bandwidth grid, rows labelled by nearest mode.
 - ap: affinity propagation restricted to the kNN graph (sparse): responsibilities
@@ -21,6 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.functions.components import connected_components
 from tabwright.functions.quantiles import quantile_dict
 from tabwright.operators.anomaly import incomplete
 from tabwright.operators.knn import knn_join, range_join
@@ -78,24 +79,15 @@ def core_flags(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5
                       (F.col("neighbours") >= min_samples).alias("is_core"))
 
 
-def dbscan(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5,
-           max_rounds: int = 1000) -> DataFrame:
+def dbscan(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     rows, pts = _distinct_points(df, features, id_col)
     pairs, cnt = _core(pts, eps, min_samples)
     core = cut_lineage(cnt.where(F.col("neighbours") >= min_samples).select(F.col("qid").alias("id")))
     cc = (pairs.join(core.withColumnRenamed("id", "qid"), "qid", "left_semi")
           .join(core.withColumnRenamed("id", "nid"), "nid", "left_semi"))
-    lab = core.select("id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
-        prop = (cc.join(lab.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid")
-                .groupBy("qid").agg(F.min("nl").alias("m")))
-        new = (lab.join(prop.withColumnRenamed("qid", "id"), "id", "left")
-               .select("id", F.least("label", F.coalesce("m", "label")).alias("label")))
-        new = cut_lineage(new)
-        changed = new.join(lab.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
+    found = connected_components(cc.select(F.col("qid").alias("a"), F.col("nid").alias("b")))
+    lab = cut_lineage(core.join(found.withColumnRenamed("node", "id"), "id", "left")
+                      .select("id", F.coalesce("component", "id").alias("label")))
     # border points: smallest label among core neighbours
     border = (pairs.join(lab.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid")
               .groupBy("qid").agg(F.min("nl").alias("bl")))

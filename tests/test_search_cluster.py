@@ -87,3 +87,23 @@ def test_config_roundtrip_drops_secrets():
         api_key: str = "x"
         folds: int = 2
     assert "api_key" not in to_json(WithKey())
+
+
+def test_grids_translate_without_repeats_and_unknown_names_raise():
+    import pytest
+
+    from tabwright.plans.search import merge_grid, translate
+    assert translate("mlp", {"hidden_layer_sizes": (50,), "alpha": 0.1}, 10, "regression") == ({"hidden": 50, "alpha": 0.1}, [])
+    assert translate("mlp", {"hidden_layer_sizes": (100, 50)}, 10, "regression")[1] == ["hidden_layer_sizes[1:]"]
+    with pytest.raises(ValueError):
+        merge_grid("rf", {"n_estimater": [1]})
+    assert merge_grid("rf", '{"maxDepth": [2]}')["maxDepth"] == [2]
+
+
+def test_knn_training_rows_all_vote(spark):
+    from tabwright.models.catalog import get_model
+    rows = [(0.0, 0)] * 3 + [(0.1, 1)] * 2 + [(9.0, 1)] * 5
+    df = spark.createDataFrame(rows, "x double, y int")
+    m = get_model("classification", "knn").with_params(n_neighbors=5).fit(df, ["x"], "y")
+    assert m.train.count() == 10
+    assert m.transform(spark.createDataFrame([(0.02,)], "x double")).first()["prediction"] == 0

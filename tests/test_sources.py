@@ -58,3 +58,32 @@ def test_jdbc_derby_roundtrip(spark):
     assert back.count() == 50
     q = read_jdbc(spark, url, query='SELECT * FROM T1 WHERE "id" < 10', driver="org.apache.derby.jdbc.EmbeddedDriver")
     assert q.count() == 10
+
+
+def test_csv_quotes(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n"two\nlines",1\n"say ""hi"", ok",2\n')
+    got = [tuple(r) for r in read_csv_auto(spark, str(tmp_path / "q.csv")).orderBy("b").collect()]
+    assert got == [("two\nlines", 1), ('say "hi", ok', 2)]
+
+
+def test_workbook_headers_dates_and_sheet_order(spark, tmp_path):
+    ns = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def cell(ref, v, style=0, text=False):
+        return (f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>' if text else f'<c r="{ref}" s="{style}"><v>{v}</v></c>')
+
+    sheet = (f'<worksheet xmlns="{ns}"><sheetData><row r="1">{cell("A1", "b", text=True)}{cell("C1", "b", text=True)}'
+             f'{cell("D1", "day", text=True)}</row><row r="2">{cell("A2", 1)}{cell("B2", 2)}{cell("C2", 3)}{cell("D2", 45292, 1)}'
+             f'{cell("E2", 9)}</row></sheetData></worksheet>')
+    with zipfile.ZipFile(tmp_path / "h.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="x" sheetId="2" r:id="r2"/>'
+                   '<sheet name="y" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/>'
+                   '<Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{ns}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData/></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", sheet)
+    df = read_excel(spark, str(tmp_path / "h.xlsx"), infer_types=False)
+    assert df.columns == ["b", "Unnamed: 1", "b.1", "day", "Unnamed: 4"]
+    assert tuple(df.first()) == ("1", "2", "3", "2024-01-01", "9")
