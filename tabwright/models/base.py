@@ -12,18 +12,17 @@ construction and are applied as column expressions or broadcast.
 
 from __future__ import annotations
 
-import json
-import os
-import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwright.models import store
+
 
 class Fitted:
     """A fitted model: ``model_id`` and ``features`` are set by subclasses."""
@@ -35,20 +34,12 @@ class Fitted:
         return None
 
     def save(self, path: str) -> None:
-        os.makedirs(path, exist_ok=True)
-        with open(os.path.join(path, "model.pkl"), "wb") as fh:
-            pickle.dump(self, fh)
+        """Write the model below ``path`` through Spark's file system."""
+        store.save(SparkSession.active(), self, path)
 
 
 def load_fitted(path: str) -> Fitted:
-    meta = os.path.join(path, "spark_model.json")
-    if os.path.exists(meta):
-        with open(meta) as fh:
-            m = json.load(fh)
-        pm = PipelineModel.load(os.path.join(path, "pipeline"))
-        return SparkFitted(m["model_id"], m["features"], pm, m["classification"], m.get("n_classes", 0))
-    with open(os.path.join(path, "model.pkl"), "rb") as fh:
-        return pickle.load(fh)
+    return store.load(SparkSession.active(), path)
 
 
 @dataclass
@@ -91,13 +82,6 @@ class SparkFitted(Fitted):
             return None
         return sorted(zip(self.features, map(float, v)), key=lambda t: (-t[1], t[0]))
 
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(os.path.join(path, "pipeline"))
-        os.makedirs(path, exist_ok=True)
-        with open(os.path.join(path, "spark_model.json"), "w") as fh:
-            json.dump({"model_id": self.model_id, "features": self.features,
-                       "classification": self.classification, "n_classes": self.n_classes}, fh)
-
 
 @dataclass
 class Model:

@@ -17,7 +17,6 @@ one-row metric tables and ranks the models.
 from __future__ import annotations
 
 import json
-import os
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -26,8 +25,9 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.config import PrepConfig, RunConfig, to_json
+from tabwright.config import PrepConfig, RunConfig, from_json, to_json
 from tabwright.functions.columns import columns_of, normalize_nan
+from tabwright.models import store
 from tabwright.models.base import Fitted, load_fitted
 from tabwright.models.catalog import get_model, models as model_table
 from tabwright.operators import metrics as M
@@ -380,26 +380,41 @@ class Experiment:
 
     # ------------------------------------------------------------ persistence
     def save_model(self, fitted: Fitted, path: str, results: DataFrame | None = None) -> str:
-        """Model, run configuration (secrets dropped) and optional results table, all under one folder."""
-        fitted.save(os.path.join(path, "model"))
+        """Model, fitted preparation, run configuration (secrets dropped) and optional results table under one folder."""
+        spark, path = self.df.sparkSession, path.rstrip("/")
+        fitted.save(f"{path}/model")
+        store.save(spark, {"imputer": self.imputer, "scaler": self.scaler, "encoders": self.encoders,
+                           "freq": self._freq, "features": self.features, "classes": self.classes},
+                   f"{path}/preparation")
         meta = {"run": json.loads(to_json(self.run)), "prep": json.loads(to_json(self.prep)),
                 "features": self.features, "classes": self.classes, "target": self.target, "key": self.key}
         self.df.sparkSession.createDataFrame([(json.dumps(meta),)], "config string").coalesce(1).write.mode(
-            "overwrite").json(os.path.join(path, "config"))
+            "overwrite").json(f"{path}/config")
         if results is not None:
-            results.write.mode("overwrite").parquet(os.path.join(path, "results"))
+            results.write.mode("overwrite").parquet(f"{path}/results")
         return path
 
 
 def load_model(spark, path: str):
     """Returns (fitted model, config dict, results DataFrame or None)."""
-    f = load_fitted(os.path.join(path, "model"))
-    cfg = json.loads(spark.read.json(os.path.join(path, "config")).first()["config"])
-    rp = os.path.join(path, "results")
-    res = spark.read.parquet(rp) if os.path.exists(rp) else None
+    path = path.rstrip("/")
+    f = load_fitted(f"{path}/model")
+    cfg = json.loads(spark.read.json(f"{path}/config").first()["config"])
+    res = spark.read.parquet(f"{path}/results") if store.exists(spark, f"{path}/results") else None
     return f, cfg, res
 
 
+def load_experiment(spark, path: str) -> tuple[Experiment, Fitted]:
+    """The saved preparation and model: ``ex.predict(model, raw_rows)`` scores rows as they were before preparation."""
+    model, cfg, _ = load_model(spark, path)
+    kept = store.load(spark, f"{path.rstrip('/')}/preparation")
+    ex = Experiment(None, cfg["target"], cfg["key"], from_json(RunConfig, json.dumps(cfg["run"])),
+                    from_json(PrepConfig, json.dumps(cfg["prep"])), features=kept["features"], classes=kept["classes"],
+                    encoders=kept["encoders"], imputer=kept["imputer"], scaler=kept["scaler"])
+    ex._freq = kept["freq"]
+    return ex, model
+
+
 def compare_unsupervised(df: DataFrame, features: list[str], id_col: str, problem: str,
                          include: list[str] | None = None, contamination: float = 0.05) -> DataFrame:
     """Clustering: (model, n_clusters, noise_rows, silhouette, fit_seconds, error);
