@@ -6,8 +6,8 @@ buckets, present or not. Training, on labelled rows only:
 
 1. Spark counts, for every bucket, the toxic and the other training documents that have it (sparse partial counts
    per task, one aggregation by bucket).
-2. The naive Bayes log-count ratio of a bucket is drawn towards zero by ``ERRORS`` standard errors, so buckets without
-   evidence scale to nothing and cost nothing in scoring.
+2. The naive Bayes log-count ratio of a bucket is drawn towards zero by ``ERRORS`` standard errors; buckets that are
+   left with less than ``MIN_RATIO`` carry no evidence of their own and get weight zero.
 3. A logistic regression on the scaled features is fitted on at most ``FIT_ROWS`` training documents that were
    not counted in step 1 (a third of them by hash, the lowest hashes first). This bounded sample is the only
    thing the driver receives, as lists of buckets.
@@ -29,6 +29,7 @@ ORDERS = (4, 5, 6)
 FIT_ROWS = 8_000           # bound of the sample that the regression is fitted on
 BROADCAST_LABELS = 2_000_000  # labelled rows that may be broadcast; more are joined by a shuffle
 ERRORS = 3.0               # standard errors taken off a log-count ratio
+MIN_RATIO = 0.5            # least log-count ratio, so drawn in, of a bucket that takes part
 L2 = 1e-4
 _CHUNK = 2_000_000         # characters worked on together (one text is never cut)
 
@@ -196,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic")
         kept = (joined(counted.select("doc_id", "y"), n_known - n_fit).select("text", "y")
                 .mapInPandas(partial, "bucket long, toxic long, other long")
                 .groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-                .select("bucket", (F.signum(raw) * shrunk).alias("r")).where("r <> 0")).toPandas()
+                .select("bucket", (F.signum(raw) * shrunk).alias("r"))
+                .where(F.abs("r") >= MIN_RATIO)).toPandas()
         ratio[kept["bucket"].to_numpy(np.int64)] = kept["r"].to_numpy()
     fit = known.where("fit").orderBy("h", "doc_id").limit(FIT_ROWS) if n_fit else known
     fit = cut_lineage(fit.select("doc_id", "y"))
