@@ -40,6 +40,8 @@ _CLASS_BITS = 14
 _CLASS_MIN = 256
 _COUNT = np.uint64(16)  # weight of an id seen, against 1 for every id of the vocabulary
 _PAIR_BITS = 16
+_SLICE_BITS = 18
+_VOTERS = 1024  # runs whose hits and misses set the mixture
 _U32, _LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -80,6 +82,21 @@ class _Model:
         self.cum = np.zeros(self.vocab + 1, np.uint64)
         np.cumsum(freq, out=self.cum[1:])
         self.total = self.cum[-1]
+        self.slices = None
+
+    def symbol(self, place: np.ndarray) -> np.ndarray:
+        """The id whose frequency interval holds each place below the total: most are told by a table of equal slices,
+        the rest by a search."""
+        if self.slices is None:
+            self.shift = np.uint64(max(0, int(self.total).bit_length() - _SLICE_BITS))
+            first = (self.cum[1:-1] + ((np.uint64(1) << self.shift) - np.uint64(1))) >> self.shift
+            n = (int(self.total) >> int(self.shift)) + 2
+            self.slices = np.cumsum(np.bincount(first.astype(np.int64), minlength=n))
+        at = (place >> self.shift).astype(np.int64)
+        x = self.slices.take(at)
+        open_ = np.flatnonzero(x != self.slices.take(at + 1))
+        x[open_] = np.searchsorted(self.cum, place.take(open_), side="right") - 1
+        return x
 
     def candidates(self, k: int):
         """For the first k runs: (order-2 entry, order-1 entry, their ids, 3 x mixing context)."""
@@ -91,7 +108,7 @@ class _Model:
         prev, entry = self.prev[:k], ids << 2
         self.last2[self.pair[:k]] = entry + _MORE.take(e2 & 3) * hit2
         self.last1[prev] = entry + _MORE.take(e1 & 3) * hit1
-        self.votes += np.bincount(vote, minlength=96).reshape(32, 3)
+        self.votes += np.bincount(vote[:_VOTERS], minlength=96).reshape(32, 3)
         self.pair[:k] = ((ids * 40503 + prev * 30011) >> 3) & ((1 << _PAIR_BITS) - 1)
         self.prev[:k] = ids
         self.pending.append(ids)
@@ -201,8 +218,10 @@ def decode_block(payload: bytes) -> np.ndarray:
         s = np.where(not2, c1, c2)
         lit = np.flatnonzero(literal)
         part = r.take(lit) // model.total
-        place = np.minimum((co.take(lit) - lo.take(lit)) // part, model.total - np.uint64(1))
-        x = np.searchsorted(model.cum, place, side="right") - 1
+        place = (co.take(lit) - lo.take(lit)) // part
+        if len(lit) and place.max() >= model.total:
+            raise ValueError("token block is damaged")
+        x = model.symbol(place)
         start = model.cum.take(x)
         lo[lit] += part * start
         r[lit] = part * (model.cum.take(x + 1) - start)
