@@ -31,6 +31,16 @@ def columns_of(df: DataFrame, k: str, exclude: tuple[str, ...] | list[str] = ())
     return [f.name for f in df.schema.fields if kind(f.dataType) == k and f.name not in exclude]
 
 
+def select_kinds(df: DataFrame, kinds: list[str] | str = "all", target: str | None = None) -> DataFrame:
+    """Columns of the kinds asked for (``numeric``, ``categorical``, ``datetime``, ``boolean``, ``other`` or ``all``), in
+    their order; the target, whatever its kind, comes last."""
+    wanted = None if kinds == "all" else {kinds} if isinstance(kinds, str) else set(kinds)
+    cols = [f.name for f in df.schema.fields if f.name != target and (wanted is None or kind(f.dataType) in wanted)]
+    if target is not None and target not in df.columns:
+        raise ValueError(f"target {target!r} not in the table")
+    return df.select(*cols, *([target] if target is not None else []))
+
+
 def dtype_name(dt: T.DataType) -> str:
     return dt.simpleString()
 

@@ -40,6 +40,22 @@ def modes(df: DataFrame, num: list[str], strs: list[str]) -> dict[str, object]:
     return out
 
 
+_STEPS: dict[str, object] = {}
+
+
+def register_step(name: str, step) -> None:
+    """Add a preparation step of one's own: ``step(df, **options) -> DataFrame``."""
+    if not callable(step):
+        raise ValueError("a step is a function of a DataFrame")
+    _STEPS[name] = step
+
+
+def apply_step(df: DataFrame, name: str, **options) -> DataFrame:
+    if name not in _STEPS:
+        raise ValueError(f"unknown preparation step {name!r}")
+    return _STEPS[name](df, **options)
+
+
 @dataclass
 class FittedImputer:
     method: str

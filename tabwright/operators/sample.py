@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import md5_order, md5_unit
 from tabwright.functions.ranks import select_first
@@ -26,6 +27,19 @@ def n_classes_capped(df: DataFrame, target: str, cap: int) -> int:
     return df.select(target).distinct().limit(cap + 1).count()
 
 
+def guess_task(df: DataFrame, targets: list[str]) -> DataFrame:
+    """``(target, n_distinct, task)``: classification for text, booleans and fewer than 20 distinct values, else regression.
+
+    Distinct values (nulls left out) are counted over all rows in one aggregation.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in targets]).unpivot([], targets, "target", "value")
+    n = long.groupBy("target").agg(F.countDistinct("value").alias("n_distinct"))
+    number = [c for c in targets if isinstance(kinds[c], T.NumericType)]
+    task = F.when(F.col("target").isin(number) & (F.col("n_distinct") >= STRATIFY_MAX_CLASSES), "regression")
+    return n.select("target", "n_distinct", task.otherwise("classification").alias("task"))
+
+
 def _class_counts(df: DataFrame, target: str, cap: int = 10_000) -> dict:
     """Rows per class; refuses targets with more than ``cap`` classes instead of collecting them."""
     if n_classes_capped(df, target, cap) > cap:

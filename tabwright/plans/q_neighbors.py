@@ -127,6 +127,17 @@ def q_cof(spark, sf):
     return neighbors.cof(embeddings(spark, sf), K)
 
 
+# standardised PCA score as in anomaly_pca_customer; rows above its 95 % quantile go
+@register("remove_outliers_pca_customer", """
+WITH m AS (SELECT avg(c_acctbal) AS mx, avg(c_nationkey) AS my, var_samp(c_acctbal) AS a,
+  var_samp(c_nationkey) AS c, covar_samp(c_acctbal, c_nationkey) AS b FROM customer),
+s AS (SELECT c_custkey, (c * (c_acctbal - mx) ^ 2 - 2 * b * (c_acctbal - mx) * (c_nationkey - my)
+  + a * (c_nationkey - my) ^ 2) / (a * c - b * b) AS score FROM customer, m)
+SELECT customer.* FROM customer JOIN s USING (c_custkey) WHERE score <= (SELECT quantile_cont(score, 0.95) FROM s)""")
+def q_remove_outliers_pca(spark, sf):
+    return anomaly.remove_outliers(table(spark, sf, "customer"), _AN_X, "c_custkey", 0.05, "pca")
+
+
 @register("remove_outliers_customer")
 def q_remove_outliers(spark, sf):
     c = table(spark, sf, "customer")

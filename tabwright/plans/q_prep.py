@@ -301,3 +301,56 @@ def q_prep_slice(spark, sf):
     scl = prep.scale(imp, "zscore", exclude=LINEITEM_KEY)
     smp = sample.stratified_sample(scl, "l_returnflag", 10, LINEITEM_KEY, ["l_extendedprice"], seed=42)
     return rounded(profile(smp))
+
+
+_GUESS = ["l_quantity", "l_linenumber", "l_discount", "l_returnflag", "l_shipdate"]
+
+
+@register("guess_task_lineitem", " UNION ALL ".join(
+    f"SELECT '{c}' AS target, count(DISTINCT {c}) AS n_distinct, CASE WHEN count(DISTINCT {c}) >= 20 AND "
+    f"{str(c not in ('l_returnflag', 'l_shipdate')).upper()} THEN 'regression' ELSE 'classification' END AS task FROM lineitem"
+    for c in _GUESS))
+def q_guess_task(spark, sf):
+    from tabwright.operators.sample import guess_task
+    return guess_task(table(spark, sf, "lineitem"), _GUESS)
+
+
+# integer keys above 2**53, which a double can't tell apart
+@register("profile_big_keys_orders", """
+WITH k AS (SELECT 9007199254740992 + o_orderkey AS k FROM orders)
+SELECT 'k' AS "column", count(k) AS non_null, count(DISTINCT k) AS n_unique FROM k""")
+def q_big_keys(spark, sf):
+    from tabwright.operators.profile import profile
+    df = table(spark, sf, "orders").select((F.col("o_orderkey") + F.lit(9007199254740992)).alias("k"))
+    return profile(df).select("column", "non_null", "n_unique")
+
+
+@register("impute_mode_big_keys_lineitem", """
+WITH k AS (SELECT CASE WHEN l_linenumber = 1 THEN NULL ELSE 9007199254740992 + l_suppkey END AS k FROM lineitem),
+m AS (SELECT k FROM k WHERE k IS NOT NULL GROUP BY k ORDER BY count(*) DESC, k LIMIT 1)
+SELECT coalesce(k.k, m.k) AS k, count(*) AS n FROM k, m GROUP BY 1""")
+def q_mode_big_keys(spark, sf):
+    df = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") != 1, F.col("l_suppkey") + F.lit(9007199254740992)).alias("k"))
+    return prep.impute(df, "mode").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("text_big_keys_orders", "SELECT 9007199254740992 + o_orderkey AS k FROM orders")
+def q_text_big_keys(spark, sf):
+    from tabwright.operators.types import apply_types
+    df = table(spark, sf, "orders").select((F.col("o_orderkey") + F.lit(9007199254740992)).cast("string").alias("k"))
+    return apply_types(df, {"k": "bigint"})
+
+
+# what must hold whatever the regressions find: no gap left, observed values as they were, all rows there
+@register("impute_iterative_invariants_lineitem", """
+SELECT count(*) AS n_rows, 0::BIGINT AS gaps, 0::BIGINT AS changed FROM lineitem""")
+def q_iterative_invariants(spark, sf):
+    from tabwright.operators.impute_model import iterative_impute
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = lineitem_with_nulls(spark, sf).select(*cols, *[F.col(c).alias(f"own_{c}") for c in cols])
+    out = iterative_impute(li, cols)
+    gap = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    changed = sum((F.coalesce(F.col(c) != F.col(f"own_{c}"), F.lit(False)).cast("long") for c in cols),
+                  F.lit(0).cast("long"))
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(gap).alias("gaps"), F.sum(changed).alias("changed"))

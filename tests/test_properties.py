@@ -47,3 +47,45 @@ def test_full_lars_path_equals_ols_and_zero_penalty_lasso(d, seed):
     b = ols(G, c)
     assert np.allclose(lars(G, c), b, atol=1e-6)
     assert np.allclose(lasso_cd(G, c, 200, 0.0, iters=5000, tol=1e-14), b, atol=1e-5)
+
+
+def test_columns_of_a_kind_with_the_target_last(spark):
+    from tabwright.functions.columns import select_kinds
+    df = spark.createDataFrame([(1, "a", 2.0, True)], "y int, s string, x double, b boolean")
+    assert select_kinds(df, "numeric", "y").columns == ["x", "y"]
+    assert select_kinds(df, ["categorical", "boolean"], "y").columns == ["s", "b", "y"]
+    assert select_kinds(df).columns == ["y", "s", "x", "b"]
+
+
+def test_own_models_and_steps(spark):
+    from dataclasses import dataclass
+
+    import pytest
+
+    from tabwright.models import catalog
+    from tabwright.models.base import Fitted, Model
+    from tabwright.operators import prep
+
+    @dataclass
+    class Mean(Model):
+        def fit(self, df, features, label=None):
+            m = df.agg(F.avg(label)).first()[0]
+
+            class At(Fitted):
+                def transform(self, df):
+                    return df.withColumn("prediction", F.lit(m))
+            return At()
+
+    from pyspark.sql import functions as F
+    catalog.register_model(Mean("mean", "regression", "Mean of the target"))
+    try:
+        df = spark.range(5).withColumn("y", F.col("id") * 2.0)
+        assert catalog.get_model("regression", "mean").fit(df, ["id"], "y").transform(df).first()["prediction"] == 4.0
+        assert "mean" in catalog.available_models("regression")
+        assert catalog.catalogue(spark).where("model = 'mean'").count() == 1
+    finally:
+        catalog._REGISTERED.clear()
+    prep.register_step("double", lambda df, column: df.withColumn(column, F.col(column) * 2))
+    assert prep.apply_step(spark.range(3), "double", column="id").agg(F.sum("id")).first()[0] == 6
+    with pytest.raises(ValueError):
+        prep.apply_step(df, "nothing")
