@@ -1,12 +1,12 @@
-"""Helpers shared by the operators: shared-folder tables and connected components."""
+"""Helpers shared by the operators: tables in the shared folder."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from tabwright.functions.components import connected_components
 from tabwright.session import checkpoint_dir, cut_lineage
 
 
@@ -23,40 +23,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest node of each component: edges (a, b) of orderable non-null ids -> (node, component).
-
-    Alternates large-star and small-star (each one aggregation by node), which contracts a component in a
-    logarithmic number of rounds, until the edge set stops changing. Every node of an edge is returned, nodes
-    without an edge are not. A star is two columns, so a hot centre is met only by map-side combined minima
-    and by joins whose large side Spark may split. Each round is checkpointed in the shared folder.
-    """
-    e = (edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct())
-    e = cut_lineage(e)
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    stamp = None
-    while True:
-        # large-star: every neighbour above a node is linked with the node's smallest neighbour (or itself)
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        # small-star: a node links its smaller neighbours and itself with the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        e = cut_lineage(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == stamp:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        stamp = tuple(now)
-
-
-__all__ = ["ascii_lower", "checkpoint_dir", "connected_components", "cut_lineage", "shared_path",
-           "written"]
+__all__ = ["checkpoint_dir", "connected_components", "cut_lineage", "shared_path", "written"]

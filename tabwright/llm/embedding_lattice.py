@@ -174,7 +174,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, cell: float = CELL
     distinct = written(own.where("sound").groupBy("label", "h", "e").agg(
         F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn(
         "node", F.monotonically_increasing_id()).withColumn("v", pack("e")), "distinct-vectors")
-    dims = [r[0] for r in distinct.select(F.size("e").alias("d")).distinct().orderBy("d").limit(1000).collect()]
+    dims = [r[0] for r in distinct.select(F.size("e").alias("d")).distinct().orderBy("d").collect()]
     parts = [_component(distinct.where(F.size("e") == d), d, cosine, cell, block_rows, packed) for d in dims]
     counts, edges = None, None
     for c, g in parts:

@@ -45,13 +45,17 @@ PARTS = frozenset(
     "subscription signup login share sharing social related recommended recommendations trending "
     "comment comments commentlist disqus respond reply replies discussion search".split())
 TOP_PARTS = frozenset("header head".split())
+# Parts in which an article element is a comment or a teaser, never the page's article.
+ASIDES = frozenset("nav footer aside dialog menu".split())
+ASIDE_PARTS = frozenset("comment comments commentlist disqus respond replies related recommended recommendations "
+                        "trending widget widgets".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)"
                     r"((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>?", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-ARTICLE, MAIN, PART, TOP = 1, 2, 4, 8
+ARTICLE, MAIN, PART, TOP, ASIDE = 1, 2, 4, 8, 16
 
 
 class Page:
@@ -144,19 +148,23 @@ class Page:
                 stack.append((tag, -1, stack[-1][2] if stack else inner))
                 continue
             flags = TOP if tag == "header" else PART if tag in DROPPED else 0
+            flags |= ASIDE if tag in ASIDES else 0
             if "=" in m[3]:
                 for n in _NAMED.finditer(m[3]):
                     words = {w.lower() for w in _WORD.findall(n[1] or n[2] or n[3] or "")}
                     if words & PARTS:
                         flags |= PART
+                    if words & ASIDE_PARTS:
+                        flags |= ASIDE
                     if words & TOP_PARTS:
                         flags |= TOP
                     if words == {"main"} and n[0][:4].lower() == "role":
                         flags |= MAIN
             if tag in ("article", "main"):
                 flags = (flags & PART if tag == "article" else 0) | (ARTICLE if tag == "article" else MAIN)
-            if flags & PART and flags & ARTICLE:
-                flags = PART  # a reader's comment or a teaser marked up as an article
+            if flags & (ARTICLE | MAIN) and (flags & PART or any(
+                    at >= 0 and elements[at][1] & ASIDE for _, at, _ in stack)):
+                flags &= PART  # a reader's comment or a teaser marked up as an article
             if tag not in INLINE:
                 segments.append(" ")
             stack.append((tag, len(elements), []))

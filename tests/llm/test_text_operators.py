@@ -99,6 +99,8 @@ def test_templates_of_a_host_go_and_shared_paragraphs_stay(spark):
     ("<header>top</header><main><p>m</p><aside>s</aside><form>f</form></main><footer>b</footer>", "m"),
     ("<div class='wrap with-sidebar'><article>a<div class='ad-box'>buy</div></article><div class=sidebar>s</div></div>", "a"),
     ("<article>a<section id=comments><article class=comment>c</article></section></article>", "a"),
+    ("<article>a</article><aside><article>teaser</article></aside><div id=comments><article>c</article></div>", "a"),
+    ("<form><div class='layout sidebar-right'><main>m</main><div class=related><article>r</article></div></div></form>", "m"),
     ("<div class=cookie-notice>we</div><ul><li>a<li>b</ul><p>unclosed <i>it", "a b unclosed it"),
     ("<style>p{}</style><!-- <p>c</p> --><p title='a>b'>t</p><textarea>q</textarea><p", "t"),
     ("&am &copy &#x41;&#66; &quo", "&am © AB &quo"),
