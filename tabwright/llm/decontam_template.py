@@ -7,8 +7,10 @@
    documents, and the two are joined by the hash. An item shorter than a window is one window by itself.
 3. Matches of a document and an item on one diagonal (document place less item place) are an alignment. It counts
    if its windows cover enough of the item and its slots are consistent: all places where the item repeats a
-   value hold one value in the document, and different values of the item hold different ones. So a
-   re-parameterised copy is caught, and a text that merely fills the same frame with unrelated values is not.
+   value hold one value in the document (different values may become one). So a re-parameterised copy is caught,
+   and a text that merely fills the same frame with unrelated values is not.
+4. Slots decide only where the words differ: an alignment that has a window equal word for word counts as well if
+   its equal words alone are enough, whatever its other slots hold.
 
 The documents' windows are sieved by the benchmark's hashes inside the task while those are few (checked); beyond
 that all windows go through the join.
@@ -190,7 +192,7 @@ def document_windows(docs: DataFrame, key: str, sizes: list[int], sieve: dict[in
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW,
                   min_cover: float = MIN_COVER, long_cover: int = LONG_COVER) -> DataFrame:
-    """Documents that hold a benchmark item's template with consistent slots.
+    """Documents that hold a benchmark item's template with consistent slots, or enough of its words as they are.
 
     ``docs`` has ``key`` and text, ``benchmark`` item_id and text. A row per document and item: key, item_id,
     covered (words of the item in the best alignment), item_words, doc_place (canonical word where the item would
@@ -212,22 +214,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
                      F.col("codes").alias("item_codes"), F.col("values").alias("item_values"))
     both = (doc.join(b, ["size", "hash"]).where("codes = item_codes")
             .select(key, "item_id", "item_words", (F.col("place") - F.col("item_place")).alias("doc_place"),
-                    "item_place", F.explode(F.arrays_zip(
+                    (F.col("values") == F.col("item_values")).alias("same"), F.explode(F.arrays_zip(
                         F.sequence(F.col("item_place"), F.col("item_place") + F.col("size") - 1).alias("at"),
                         "codes", "values", "item_values")).alias("w"))
             .select(key, "item_id", "item_words", "doc_place", F.col("w.at").alias("at"),
                     (F.col("w.codes") >= 0).alias("slot"), F.col("w.values").alias("v"),
-                    F.col("w.item_values").alias("i")).distinct())
+                    F.col("w.item_values").alias("i"), "same")
+            .groupBy(key, "item_id", "item_words", "doc_place", "at", "slot", "v", "i").agg(F.max("same").alias("same")))
     # an item's words bound each group of these aggregations
     lines = both.groupBy(key, "item_id", "item_words", "doc_place").agg(
         F.count("*").alias("covered"), F.count(F.when(F.col("slot"), 1)).alias("n_slots"),
         F.countDistinct(F.when(F.col("slot"), F.col("i"))).alias("item_values"),
-        F.countDistinct(F.when(F.col("slot"), F.col("v"))).alias("doc_values"),
+        F.max("same").alias("same"), F.count(F.when(F.col("i") == F.col("v"), 1)).alias("equal"),
         F.countDistinct(F.when(F.col("slot"), F.struct("i", "v"))).alias("pairs"),
         F.min(F.when(F.col("slot"), F.col("i") == F.col("v")).otherwise(True)).alias("exact"))
-    sound = lines.where((F.col("pairs") == F.col("item_values")) & (F.col("pairs") == F.col("doc_values")))
-    enough = sound.where((F.col("covered") >= F.least(F.lit(float(long_cover)), min_cover * F.col("item_words")))
-                         & (F.col("covered") >= F.least(F.lit(window), F.col("item_words"))))
+    # words that count: all of a consistent alignment, else the equal ones beside a window of equal words
+    counted = lines.withColumn("sound", F.when(F.col("pairs") == F.col("item_values"), F.col("covered"))
+                               .when(F.col("same"), F.col("equal")).otherwise(0))
+    enough = counted.where((F.col("sound") >= F.least(F.lit(float(long_cover)), min_cover * F.col("item_words")))
+                           & (F.col("sound") >= F.least(F.lit(window), F.col("item_words"))))
     best = enough.groupBy(key, "item_id").agg(F.max(F.struct(
         "covered", "exact", -F.col("doc_place"), "item_words", "doc_place", "n_slots")).alias("b"))
     return best.select(key, "item_id", "b.covered", "b.item_words", "b.doc_place", "b.n_slots", "b.exact")

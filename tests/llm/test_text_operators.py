@@ -144,6 +144,18 @@ def test_reparameterised_items(spark):
     assert D.contamination(docs.limit(0), bench).count() == D.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_altered_slots_keep_literal_matches(spark):
+    words = "we saw that old house by a river near some hills where many quiet people lived and worked".split()
+    passage = " ".join(f"{w}{'ly' * (i // 18)}" if i % 10 else "in 1984" for i, w in enumerate(words * 10))
+    sums = "take the number 3 and add the number 5 then tell me which sum you get from both of them"
+    bench = spark.createDataFrame([(1, passage), (2, sums)], "item_id long, text string")
+    at = passage.index("1984", len(passage) // 2)
+    rows = [(1, passage[:at] + "1985" + passage[at + 4:]), (2, sums.replace("3", "4").replace("5", "4"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.contamination(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2)} and not got[1, 1].exact and got[1, 1].covered == got[1, 1].item_words
+
+
 def test_planted_passages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
