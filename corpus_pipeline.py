@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item's template."""
-    return decontam_template.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontam_template.decontaminate(docs, table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@
    with a digit becomes ``<num>``, a unit (a fixed list, also glued to a number) ``<unit>``, a capitalised word
    that doesn't begin a sentence ``<name>``. The word it stood for is kept as the slot's value.
 2. Every window of ``WINDOW`` canonical words with enough literal words is hashed, in benchmark items and in
-   documents, and the two are joined by the hash. An item shorter than a window is one window by itself.
+   documents, and the two are joined by the hash. An item shorter than a window is one window by itself. Every
+   window is hashed a second time over its lower-cased words as they are, without a least number of literal words,
+   so a copy is found whatever stands in it and whichever of its words begin with capitals.
 3. Matches of a document and an item on one diagonal (document place less item place) are an alignment. It counts
    if its windows cover enough of the item and its slots are consistent: all places where the item repeats a
    value hold one value in the document (different values may become one). So a re-parameterised copy is caught,
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import cut_lineage
 
 WINDOW = 8
-MIN_LITERALS = 4       # literal words of a window
+MIN_LITERALS = 4       # literal words of a window with placeholders
 MIN_COVER = 0.7        # share of the item's words that an alignment must cover ...
 LONG_COVER = 13        # ... or this many words in all
 SIEVE_HASHES = 4_000_000  # benchmark window hashes that tasks may hold
@@ -51,7 +53,7 @@ _EDGE = re.compile(r"^[^\w$€£¥%°]+|[^\w$€£¥%°]+$")
 _GLUED = re.compile(r"([+\-]?[\d.,]*\d)([^\W\d_]+|[%°$€£¥].*)")
 _END = re.compile(r"[.!?:][\"'”’)\]]*$")
 # of words seen: their number, and by number the hash as a literal (0: only marks), the code as a placeholder (or
-# 0) and whether the word is capitalised (1) and ends a sentence (2)
+# 0) and whether the word is capitalised (1), ends a sentence (2), has small letters (4) and capitals (8)
 _MEMO: dict[str, int] = {}
 _LITERAL, _CODE, _FLAGS = array("Q"), array("B"), array("B")
 
@@ -72,8 +74,9 @@ def _word(raw: str) -> tuple[int, int, bool, bool]:
     return literal, 0, core[0].isupper(), ends
 
 
-def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template codes, slot values, start of each text and the end) of all words of the texts, marks left out."""
+def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template codes, slot values, letter cases (4: small, 8: capital), start of each text and the end) of all words
+    of the texts, marks left out."""
     memo = _MEMO
     if len(memo) > MEMO_LIMIT:
         memo.clear()
@@ -84,11 +87,11 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         memo[w] = len(_LITERAL)
         _LITERAL.append(literal)
         _CODE.append(code)
-        _FLAGS.append(capital + 2 * ends)
+        _FLAGS.append(capital + 2 * ends + 4 * (w != w.upper()) + 8 * (w != w.lower()))
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     starts = np.concatenate([[0], np.cumsum(n)])
     if not starts[-1]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), starts
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), starts
     word = np.fromiter(map(memo.__getitem__, chain.from_iterable(lists)), np.int64, int(starts[-1]))
     literal = np.array(_LITERAL, np.uint64).take(word)
     code = np.array(_CODE, np.uint64).take(word)
@@ -100,7 +103,7 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     out = np.where(code > 0, code, np.where(name, np.uint64(NAME), literal))
     keep = literal != 0
     at = np.concatenate([[0], np.cumsum(keep)])
-    return out[keep], literal[keep], at[starts]
+    return out[keep], literal[keep], flags[keep] & 12, at[starts]
 
 
 def _hash(codes: np.ndarray, size: int) -> np.ndarray:
@@ -115,35 +118,45 @@ def _hash(codes: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def windows(texts: list[str | None], sizes: list[int], sieve: dict[int, np.ndarray] | None = None):
-    """(text, place, size, hash, codes of the window, values of the window) for windows with enough literals.
+def windows(texts: list[str | None], sizes: list[int], sieve: dict[tuple[int, bool], np.ndarray] | None = None,
+            any_case: bool = False):
+    """(text, place, size, literal, hash, codes of the window, values of the window): windows with enough literals
+    by their template, and all windows by their words as they are.
 
-    ``sieve`` has, by size, the sorted hashes to keep.
+    ``sieve`` has, by size and kind, the sorted hashes to keep. Unless ``any_case``, windows all in capitals are like
+    each other only.
     """
-    codes, values, starts = canonical(texts)
+    codes, values, cases, starts = canonical(texts)
     literals = np.concatenate([[0], np.cumsum(codes >= np.uint64(1 << 63))])
+    small, capital = (np.concatenate([[0], np.cumsum(cases & k > 0)]) for k in (4, 8))
     for size in sizes:
-        h = _hash(codes, size)
-        if not len(h):
-            continue
-        if sieve is not None:
-            own = sieve[size]
-            if not len(own):
+        for literal in (False, True):
+            h = _hash(values if literal else codes, size)
+            if not len(h):
                 continue
-            found = own.take(np.searchsorted(own, h), mode="clip") == h
-            at = np.flatnonzero(found)
-        else:
-            at = np.arange(len(h))
-        at = at[literals[at + size] - literals[at] >= min(MIN_LITERALS, size)]
-        doc = np.searchsorted(starts, at, side="right") - 1
-        ok = at + size <= starts[doc + 1]
-        for a, d in zip(at[ok].tolist(), doc[ok].tolist(), strict=True):
-            yield d, a - int(starts[d]), size, int(h[a].astype(np.int64)), codes[a:a + size], values[a:a + size]
-
-
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, item_words, place, size, hash, codes, values): template windows of every item; an item with fewer
-    words than a window, but at least ``MIN_LITERALS`` literal ones, is a window of its own size."""
+            if literal and not any_case:
+                loud = (small[size:] == small[:-size]) & (capital[size:] > capital[:-size])
+                h ^= loud.astype(np.uint64)
+            if sieve is not None:
+                own = sieve[size, literal]
+                if not len(own):
+                    continue
+                found = own.take(np.searchsorted(own, h), mode="clip") == h
+                at = np.flatnonzero(found)
+            else:
+                at = np.arange(len(h))
+            if not literal:
+                at = at[literals[at + size] - literals[at] >= min(MIN_LITERALS, size)]
+            doc = np.searchsorted(starts, at, side="right") - 1
+            ok = at + size <= starts[doc + 1]
+            for a, d in zip(at[ok].tolist(), doc[ok].tolist(), strict=True):
+                yield (d, a - int(starts[d]), size, literal, int(h[a].astype(np.int64)), codes[a:a + size],
+                       values[a:a + size])
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, any_case: bool = False) -> DataFrame:
+    """(item_id, item_words, place, size, literal, hash, codes, values): windows of every item by template and by word;
+    an item with fewer words than a window is a window of its own size."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches):
@@ -151,18 +164,22 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = []
             for item, text in zip(pdf["item_id"].tolist(), pdf["text"].tolist(), strict=True):
                 n = len(canonical([text])[0])
-                for _, place, size, h, codes, values in windows([text], [min(window, n)] if n else []):
-                    rows.append((item, n, place, size, h, codes.view(np.int64).tolist(),
+                for _, place, size, literal, h, codes, values in windows([text], [min(window, n)] if n else [],
+                                                                         any_case=any_case):
+                    rows.append((item, n, place, size, literal, h, codes.view(np.int64).tolist(),
                                  values.view(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["item_id", "item_words", "place", "size", "hash", "codes", "values"])
+            yield pd.DataFrame(rows, columns=["item_id", "item_words", "place", "size", "literal", "hash", "codes",
+                                              "values"])
 
     return benchmark.where("item_id is not null and text is not null").select("item_id", "text").mapInPandas(
-        run, f"item_id {kind}, item_words int, place int, size int, hash long, codes array<long>, "
+        run, f"item_id {kind}, item_words int, place int, size int, literal boolean, hash long, codes array<long>, "
              "values array<long>")
 
 
-def document_windows(docs: DataFrame, key: str, sizes: list[int], sieve: dict[int, np.ndarray] | None) -> DataFrame:
-    """(key, place, size, hash, codes, values): template windows of ``docs`` (key, text), sieved if asked."""
+def document_windows(docs: DataFrame, key: str, sizes: list[int], sieve: dict[tuple[int, bool], np.ndarray] | None,
+                     any_case: bool = False) -> DataFrame:
+    """(key, place, size, literal, hash, codes, values): windows of ``docs`` (key, text) by template and by word,
+    sieved if asked."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
@@ -175,50 +192,52 @@ def document_windows(docs: DataFrame, key: str, sizes: list[int], sieve: dict[in
                 while hi < len(texts) and (hi == lo or words < _CHUNK_WORDS):
                     words += len(texts[hi] or "") // 5 + 1
                     hi += 1
-                rows = list(windows(texts[lo:hi], sizes, shared.value))
+                rows = list(windows(texts[lo:hi], sizes, shared.value, any_case))
                 for r in range(0, len(rows), 10_000):
                     part = rows[r:r + 10_000]
                     yield pa.RecordBatch.from_arrays([
                         keys.take(pa.array([lo + x[0] for x in part])), pa.array([x[1] for x in part], pa.int32()),
-                        pa.array([x[2] for x in part], pa.int32()), pa.array([x[3] for x in part], pa.int64()),
-                        pa.array([x[4].view(np.int64) for x in part], pa.list_(pa.int64())),
-                        pa.array([x[5].view(np.int64) for x in part], pa.list_(pa.int64()))],
-                        [key, "place", "size", "hash", "codes", "values"])
+                        pa.array([x[2] for x in part], pa.int32()), pa.array([x[3] for x in part], pa.bool_()),
+                        pa.array([x[4] for x in part], pa.int64()),
+                        pa.array([x[5].view(np.int64) for x in part], pa.list_(pa.int64())),
+                        pa.array([x[6].view(np.int64) for x in part], pa.list_(pa.int64()))],
+                        [key, "place", "size", "literal", "hash", "codes", "values"])
                 lo = hi
 
     return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"{key} {kind}, place int, size int, hash long, codes array<long>, values array<long>")
+        run, f"{key} {kind}, place int, size int, literal boolean, hash long, codes array<long>, values array<long>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW,
-                  min_cover: float = MIN_COVER, long_cover: int = LONG_COVER) -> DataFrame:
+                  min_cover: float = MIN_COVER, long_cover: int = LONG_COVER, any_case: bool = False) -> DataFrame:
     """Documents that hold a benchmark item's template with consistent slots, or enough of its words as they are.
 
     ``docs`` has ``key`` and text, ``benchmark`` item_id and text. A row per document and item: key, item_id,
     covered (words of the item in the best alignment), item_words, doc_place (canonical word where the item would
     begin), n_slots (places with a placeholder), exact (all slots hold the item's own values). Null texts, ids and
-    keys match nothing; repeated rows give one result; other columns are not read.
+    keys match nothing; repeated rows give one result; other columns are not read. With ``any_case`` a copy all in
+    capitals is found as well.
     """
-    bench = cut_lineage(benchmark_windows(benchmark, window))
+    bench = cut_lineage(benchmark_windows(benchmark, window, any_case))
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
     if not sizes:
         sizes = [window]
     sieve = None
-    hashes = bench.select("size", "hash").distinct()
+    hashes = bench.select("size", "literal", "hash").distinct()
     if hashes.count() <= SIEVE_HASHES:
         got = hashes.toPandas()
-        sieve = {s: np.sort(got.loc[got["size"] == s, "hash"].to_numpy(np.int64, copy=True).view(np.uint64))
-                 for s in sizes}
-    doc = document_windows(docs.where(F.col(key).isNotNull()), key, sizes, sieve)
-    b = bench.select("item_id", "item_words", F.col("place").alias("item_place"), "size", "hash",
+        sieve = {(s, k): np.sort(got.loc[(got["size"] == s) & (got["literal"] == k), "hash"]
+                                 .to_numpy(np.int64, copy=True).view(np.uint64)) for s in sizes for k in (False, True)}
+    doc = document_windows(docs.where(F.col(key).isNotNull()), key, sizes, sieve, any_case)
+    b = bench.select("item_id", "item_words", F.col("place").alias("item_place"), "size", "literal", "hash",
                      F.col("codes").alias("item_codes"), F.col("values").alias("item_values"))
-    both = (doc.join(b, ["size", "hash"]).where("codes = item_codes")
+    both = (doc.join(b, ["size", "literal", "hash"]).where("if(literal, values = item_values, codes = item_codes)")
             .select(key, "item_id", "item_words", (F.col("place") - F.col("item_place")).alias("doc_place"),
                     (F.col("values") == F.col("item_values")).alias("same"), F.explode(F.arrays_zip(
                         F.sequence(F.col("item_place"), F.col("item_place") + F.col("size") - 1).alias("at"),
-                        "codes", "values", "item_values")).alias("w"))
+                        "item_codes", "values", "item_values")).alias("w"))
             .select(key, "item_id", "item_words", "doc_place", F.col("w.at").alias("at"),
-                    (F.col("w.codes") >= 0).alias("slot"), F.col("w.values").alias("v"),
+                    (F.col("w.item_codes") >= 0).alias("slot"), F.col("w.values").alias("v"),
                     F.col("w.item_values").alias("i"), "same")
             .groupBy(key, "item_id", "item_words", "doc_place", "at", "slot", "v", "i").agg(F.max("same").alias("same")))
     # an item's words bound each group of these aggregations

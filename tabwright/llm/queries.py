@@ -86,7 +86,7 @@ def op7_decontam_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's template: doc_id, item_id, covered, item_words, doc_place, n_slots,
     exact."""
     from tabwright.llm.decontam_template import contamination
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def _license_sql() -> str:

@@ -156,6 +156,17 @@ def test_altered_slots_keep_literal_matches(spark):
     assert set(got) == {(1, 1), (2, 2)} and not got[1, 1].exact and got[1, 1].covered == got[1, 1].item_words
 
 
+def test_copies_with_few_literal_words(spark):
+    items = ["Solve 3 x 4 + 5 y - 6 = 0", "Barack Obama met Angela Merkel and Emmanuel Macron in Paris", "Tell Anna 12 kg",
+             "If Anna has 12 apples and gives Bob 5 apples then Anna keeps how many kg of the 12 apples in the red basket"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [f"{a}\n{form(i)}\n{b}" for i in items for form in (str, str.upper, str.lower, str.title)
+            for a, b in (("so", "yes"), ("The heading", "And more"))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contamination(docs, bench, any_case=True).collect()}
+    assert got == {(d, d // 8) for d in range(len(rows))}
+
+
 def test_planted_passages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
