@@ -6,11 +6,11 @@ buckets, present or not. Training, on labelled rows only:
 
 1. Spark counts, for every bucket, the toxic and the other training documents that have it (sparse partial counts
    per task, one aggregation by bucket).
-2. The naive Bayes log-count ratio of a bucket is drawn towards zero by ``ERRORS`` standard errors; buckets that are
-   left with less than ``MIN_RATIO`` carry no evidence of their own and get weight zero.
+2. The naive Bayes log-count ratio of a bucket is drawn towards zero by ``ERRORS`` standard errors, or not at all if
+   the labels are so few that no bucket would be left.
 3. A logistic regression on the scaled features is fitted on at most ``FIT_ROWS`` training documents that were
-   not counted in step 1 (a third of them by hash, the lowest hashes first). This bounded sample is the only
-   thing the driver receives, as lists of buckets.
+   not counted in step 1 (a third of them by hash, the lowest hashes first; all others are counted). This bounded
+   sample is the only thing the driver receives beside the at most 2**21 ratios, as lists of buckets.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,10 @@ BITS = 21
 ORDERS = (4, 5, 6)
 FIT_ROWS = 8_000           # bound of the sample that the regression is fitted on
 BROADCAST_LABELS = 2_000_000  # labelled rows that may be broadcast; more are joined by a shuffle
-ERRORS = 3.0               # standard errors taken off a log-count ratio
-MIN_RATIO = 0.5            # least log-count ratio, so drawn in, of a bucket that takes part
+ERRORS = 2.0               # standard errors taken off a log-count ratio
 L2 = 1e-4
 _CHUNK = 2_000_000         # characters worked on together (one text is never cut)
+_FIT_ENTRIES = 200_000     # entries of the regression's matrix worked on together
 
 
 def _characters() -> np.ndarray:
@@ -89,17 +90,29 @@ def _chunks(texts):
         yield held
 
 
+_PLACE: list[np.ndarray] = []
+
+
 def _hits(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every distinct bucket with a weight in each text."""
+    """(text, bucket) of every distinct bucket with a weight in each text, text by text."""
+    if not _PLACE:
+        _PLACE.append(np.empty(1 << BITS, np.int32))
+    pos = _PLACE[0]
     codes, starts = _codes(texts)
-    keys = []
+    orders = []
     for n, b in _buckets(codes):
         at = np.flatnonzero(weights.take(b))
-        doc = np.searchsorted(starts, at, side="right") - 1
-        inside = at + n <= starts[doc + 1]
-        keys.append((doc[inside] << BITS) | b[at[inside]].astype(np.int64))
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1)
+        lo = np.searchsorted(at, starts[:-1])
+        hi = np.maximum(lo, np.searchsorted(at, starts[1:] - n + 1))
+        orders.append((b.take(at).astype(np.int32), lo.tolist(), hi.tolist()))
+    found = []
+    for j in range(len(texts)):
+        own = np.concatenate([b[lo[j]:hi[j]] for b, lo, hi in orders]) if orders else np.zeros(0, np.int32)
+        place = np.arange(len(own), dtype=np.int32)
+        pos[own] = place  # the last place of a bucket stays
+        found.append(own[pos[own] == place])
+    doc = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+    return doc, np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -124,27 +137,48 @@ def _scores(texts, dense: np.ndarray, bias: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _fit(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression (L2) by accelerated gradient steps; rows/buckets/values are the matrix' entries."""
-    n, d = len(y), int(buckets.max(initial=-1)) + 1
+def _fit(starts: np.ndarray, buckets: np.ndarray, scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression (L2) by accelerated gradient steps; row i has buckets[starts[i]:starts[i + 1]], each with its
+    bucket's scale as value. Entries are worked on a block of rows at a time."""
+    n, d = len(y), len(scale)
     w, bias = np.zeros(d), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
     if not d:
         return w, bias
-    norm = np.bincount(rows, values * values, n).max() + 1
-    step = 4 / norm
+    size = np.diff(starts)
+    filled = np.flatnonzero(size)
+    entries = np.cumsum(size[filled])
+    cuts = np.unique(np.concatenate([np.searchsorted(entries, np.arange(0, entries[-1], max(_FIT_ENTRIES, 2 * d))),
+                                     [len(filled)]])).tolist()
+    blocks = []  # rows with entries, their buckets, where each row's begin, and how many they are
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        own = filled[a:b]
+        blocks.append((own, buckets[starts[own[0]]:starts[own[-1] + 1]], starts[own] - starts[own[0]], size[own]))
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        v, z = v * scale, np.zeros(n)
+        for own, x, at, _ in blocks:
+            z[own] = np.add.reduceat(v.take(x), at)
+        return z
+
+    def backward(r: np.ndarray) -> np.ndarray:
+        g = np.zeros(d)
+        for own, x, _, m in blocks:
+            g += np.bincount(x, np.repeat(r[own], m), d)
+        return g * scale
+
     # a bound on the curvature from the matrix itself: a few power iterations
     v = np.ones(d) / np.sqrt(d)
     for _ in range(20):
-        u = np.bincount(buckets, values * np.bincount(rows, values * v[buckets], n)[rows], d)
+        u = backward(forward(v))
         size = np.linalg.norm(u)
         if not size:
             break
         v = u / size
-    step = min(step, 1.0) if not size else 1 / (0.25 * size * 1.1 / n + L2)
+    step = 1 / (0.25 * size * 1.1 / n + L2) if size else min(4 / (forward(scale).max() + 1), 1.0)
     look, look_b, t = w.copy(), bias, 1.0
     for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * look[buckets], n) + look_b, -500, 500)))
-        g = np.bincount(buckets, values * (p - y)[rows], d) / n + L2 * look
+        p = 1 / (1 + np.exp(-np.clip(forward(look) + look_b, -500, 500)))
+        g = backward(p - y) / n + L2 * look
         new, new_b = look - step * g, look_b - 2.0 * (p - y).mean()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, look_b = new + (t - 1) / t_new * (new - w), new_b
@@ -152,6 +186,17 @@ def _fit(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, y: np.ndarra
     return w, bias
 
 
+def _packed(ratios: DataFrame) -> list[tuple[bytes, bytes]]:
+    """The rows (bucket, r), at most 2**21, as a pair of arrays' bytes from each task that has any."""
+    def pack(batches):
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([p[k] for p in parts]).tobytes()], pa.binary())
+                                              for k in (0, 1)], ["buckets", "r"])
+
+    return [(bytes(b), bytes(r)) for b, r in ratios.mapInArrow(pack, "buckets binary, r binary").collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic") -> ToxicityModel:
     """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, ``label`` 0/1); ``train_rows`` is a condition on
     doc_id. Null labels and ids are left out; of repeated labels the larger counts; null texts are empty. Without
@@ -160,11 +205,20 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic")
              .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")))
     known = cut_lineage(known.select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
                         .withColumn("fit", F.pmod("h", F.lit(3)) == 0))
-    n_known, n_fit = known.agg(F.count("*"), F.count(F.when(F.col("fit"), 1))).first()
+    n_known, n_fit, classes, fit_classes = known.agg(
+        F.count("*"), F.count(F.when(F.col("fit"), 1)), F.countDistinct("y"),
+        F.countDistinct(F.when(F.col("fit"), F.col("y")))).first()
     if not n_known:
         return ToxicityModel(-500.0, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counted = known.where("not fit")
+    if fit_classes < classes:  # few labels: the same rows are counted and fitted
+        n_fit, counted = 0, known
+        fit = known
+    else:
+        fit, counted = known.where("fit"), known.where("not fit")
+    fit = cut_lineage(fit.orderBy("h", "doc_id").limit(FIT_ROWS).select("doc_id", "y"))
+    if n_fit > FIT_ROWS:
+        counted = known.join(F.broadcast(fit.select("doc_id")), "doc_id", "left_anti")
 
     def partial(batches):
         pos = np.zeros(1 << BITS, np.int32)
@@ -193,15 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic")
     if n1 and n0:
         a, b = F.col("toxic") + 1.0, F.col("other") + float(n0 / n1)
         raw = F.log(a / float(n1 + 2)) - F.log(b / float(n0 * (1 + 2 / n1)))
-        shrunk = F.greatest(F.abs(raw) - ERRORS * F.sqrt(1 / a + 1 / b), F.lit(0.0))
-        kept = (joined(counted.select("doc_id", "y"), n_known - n_fit).select("text", "y")
+        seen = (joined(counted.select("doc_id", "y"), n_known - min(n_fit, FIT_ROWS)).select("text", "y")
                 .mapInPandas(partial, "bucket long, toxic long, other long")
                 .groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-                .select("bucket", (F.signum(raw) * shrunk).alias("r"))
-                .where(F.abs("r") >= MIN_RATIO)).toPandas()
-        ratio[kept["bucket"].to_numpy(np.int64)] = kept["r"].to_numpy()
-    fit = known.where("fit").orderBy("h", "doc_id").limit(FIT_ROWS) if n_fit else known
-    fit = cut_lineage(fit.select("doc_id", "y"))
+                .select("bucket", raw.alias("r"), (F.abs(raw) - ERRORS * F.sqrt(1 / a + 1 / b)).alias("left")))
+        kept = _packed(seen.where("left > 0").select("bucket", (F.signum("r") * F.col("left")).alias("r")))
+        for buckets, r in kept or _packed(seen.select("bucket", "r")):
+            ratio[np.frombuffer(buckets, "<i8")] = np.frombuffer(r, "<f8")
     shared = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
 
     def features(batches):
@@ -212,17 +264,23 @@ def train(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic")
                 lists += np.split(bucket, np.searchsorted(doc, np.arange(1, len(part))))
             yield pd.DataFrame({"y": y, "buckets": [x.astype("<i4").tobytes() for x in lists]})
 
-    sample = (joined(fit, min(max(n_fit, 1), FIT_ROWS)).select("text", "y")
-              .mapInPandas(features, "y int, buckets binary").toPandas())
-    if not len(sample):
+    sample = (joined(fit, FIT_ROWS).select("text", "y")
+              .mapInPandas(features, "y int, buckets binary").collect())
+    if not sample:
         return ToxicityModel(-500.0, np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     # one order whatever the partitions gave
-    lists = sorted(zip(sample["y"].tolist(), map(bytes, sample["buckets"]), strict=True))
+    lists = sorted((k, bytes(b)) for k, b in sample)
     y = np.array([k for k, _ in lists], np.float64)
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), [len(b) // 4 for _, b in lists])
-    used, column = np.unique(np.frombuffer(b"".join([b for _, b in lists]), "<i4"), return_inverse=True)
-    used, column = used.astype(np.int64), column.astype(np.int32)
-    w, bias = _fit(rows, column, ratio[used][column], y)
+    starts = np.concatenate([[0], np.cumsum([len(b) // 4 for _, b in lists])])
+    column = np.frombuffer(bytearray().join([b for _, b in lists]), "<i4")
+    del sample, lists
+    number = np.zeros(1 << BITS, np.int32)
+    number[column] = 1
+    used = np.flatnonzero(number)
+    number[used] = np.arange(len(used))
+    for lo in range(0, len(column), _FIT_ENTRIES):
+        column[lo:lo + _FIT_ENTRIES] = number[column[lo:lo + _FIT_ENTRIES]]
+    w, bias = _fit(starts, column, ratio[used], y)
     return ToxicityModel(bias, used, w * ratio[used], ratio[used])
 
 

@@ -68,6 +68,32 @@ def test_toxicity_without_labels(spark):
     assert T.score(docs.limit(0), one).count() == 0
 
 
+def marked(n, share, per_word):
+    """n documents, the first n * share of them toxic, each toxic word in ``per_word`` of them."""
+    return [(i, f"plain common talk about number{i % 5} " + (f"zug{'abcdefghij'[i // per_word] * 4}" if i < n * share else "fine"))
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("n, share, per_word", [(12, 0.5, 6), (30, 0.5, 15), (300, 0.12, 6)])
+def test_rare_toxic_words_and_few_labels(spark, n, share, per_word):
+    docs = marked(n, share, per_word)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = T.train(df, df.selectExpr("doc_id", f"int(doc_id < {n * share}) toxic"), T.F.lit(True))
+    assert (model.score([t for _, t in docs]) >= 0.3).tolist() == [i < n * share for i, _ in docs]
+
+
+def test_labels_beyond_the_fitted_rows_are_counted(spark, monkeypatch):
+    docs = marked(300, 0.5, 150)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = df.selectExpr("doc_id", "int(doc_id < 150) toxic")
+    whole = T.train(df, labels, T.F.lit(True))
+    monkeypatch.setattr(T, "FIT_ROWS", 20)
+    few = T.train(df, labels, T.F.lit(True))
+    at = T._hits(["zugaaaa"], np.ones(1 << T.BITS, np.float32))[1]
+    top = lambda m: max(m.ratios[np.isin(m.buckets, at)])
+    assert top(few) > top(whole)
+
+
 # --- HTML ---
 
 def page(main, i=0, extra=""):
