@@ -2,8 +2,8 @@
 
 1. Every page is cut into elements; a subtree's hash covers its tag, its text and its children's hashes.
 2. Spark counts, for every host, the distinct pages that hold a subtree. A subtree on at least ``MIN_PAGES``
-   pages and ``MIN_SHARE`` of the host's pages is the site's template. By that share a host has a bounded number
-   of templates (about 1 / MIN_SHARE times the subtrees of a page), whatever its size.
+   pages is the site's template, however many pages the host has. Beyond ``BROADCAST_TEMPLATES`` they stay a
+   table, with which each page's subtrees are joined by (host, subtree), so their number has no bound.
 3. A page's text is that of its article without template subtrees and without elements whose tag, role, class or
    id says that they are menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader comments
    (a host with one page shows no template, so those names are needed as well).
@@ -22,8 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_PAGES = 4
-MIN_SHARE = 0.05
-BROADCAST_TEMPLATES = 200_000  # template subtrees that may be broadcast; more are joined by host
+BROADCAST_TEMPLATES = 200_000  # template subtrees that may be broadcast; more are joined by a shuffle
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -211,44 +210,66 @@ def host(url: Column) -> Column:
     return F.when(h != "", h)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, subtrees) of the distinct pages of each host of ``pages`` (url, html)."""
+    @F.pandas_udf("array<long>")
+    def subtrees(html: pd.Series) -> pd.Series:
+        return pd.Series([sorted(Page(h).subtrees()) for h in html])
+
+    html = F.col("html").cast("string")
+    return (pages.select(host(F.col("url").cast("string")).alias("host"), html.alias("html"))
+            .where("host is not null and html is not null")
+            .select("host", F.xxhash64("html").alias("page"), subtrees("html").alias("subtrees"))
+            .groupBy("host", "page").agg(F.first("subtrees").alias("subtrees")))
+
+
+def _counted(found: DataFrame, min_pages: int) -> DataFrame:
+    return (found.select("host", F.explode("subtrees").alias("subtree"))
+            .groupBy("host", "subtree").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages))
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, subtree, n_pages): template subtrees of each host of ``pages`` (url, html).
 
     Equal pages of a host count once, so copies of one page make no template. Counts are combined before every
     shuffle; pages without a host or html are left out.
     """
-    @F.pandas_udf("array<long>")
-    def subtrees(html: pd.Series) -> pd.Series:
-        return pd.Series([sorted(Page(h).subtrees()) for h in html])
+    return _counted(_subtrees(pages), min_pages)
 
-    html = F.col("html").cast("string")
-    found = (pages.select(host(F.col("url").cast("string")).alias("host"), html.alias("html"))
-             .where("host is not null and html is not null")
-             .select("host", F.xxhash64("html").alias("page"), subtrees("html").alias("subtrees"))
-             .groupBy("host", "page").agg(F.first("subtrees").alias("subtrees")))
-    counts = (found.select("host", F.explode("subtrees").alias("subtree"))
-              .groupBy("host", "subtree").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages))
-    sizes = found.groupBy("host").agg(F.count("*").alias("pages"))
-    return (counts.join(sizes, "host").where(F.col("n_pages") >= min_share * F.col("pages"))
-            .select("host", "subtree", "n_pages"))
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``text`` (main text, empty if none; null html is empty) and ``n_chars`` (its code points).
 
     Every row is returned, repeated ones too; columns of those two names are replaced, others are kept.
     """
-    from tabwright.llm.common import cut_lineage
-    found = cut_lineage(templates(pages, min_pages, min_share))
-    n = found.count()
-    by_host = found.groupBy("host").agg(F.collect_set("subtree").alias("__subtrees")).withColumnRenamed("host", "__host")
+    from tabwright.llm.common import cut_lineage, written
+    found = written(_subtrees(pages), "page-subtrees")
+    known = cut_lineage(_counted(found, min_pages).select("host", "subtree"))
+    pages = pages.withColumn("__host", host(F.col("url").cast("string")))
+    if known.count() <= BROADCAST_TEMPLATES:
+        by_host: dict[str, set[int]] = {}
+        for h, subtree in known.toLocalIterator():
+            by_host.setdefault(h, set()).add(subtree)
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+
+        @F.pandas_udf("string")
+        def site_text(html: pd.Series, hosts: pd.Series) -> pd.Series:
+            return pd.Series([Page(h).text(shared.value.get(at, ())) for h, at in zip(html, hosts, strict=True)],
+                             dtype=object)
+
+        return (pages.withColumn("text", site_text(F.col("html").cast("string"), "__host"))
+                .withColumn("n_chars", F.char_length("text").cast("long")).drop("__host"))
+    by_page = (found.select("host", "page", F.explode("subtrees").alias("subtree"))
+               .join(known, ["host", "subtree"], "left_semi")
+               .groupBy(F.col("host").alias("__host"), F.col("page").alias("__page"))
+               .agg(F.collect_list("subtree").alias("__subtrees")))
 
     @F.pandas_udf("string")
     def text(html: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([Page(h).text(frozenset(g) if g is not None else frozenset())
                           for h, g in zip(html, gone, strict=True)], dtype=object)
 
-    keyed = pages.withColumn("__host", host(F.col("url").cast("string")))
-    joined = keyed.join(F.broadcast(by_host) if n <= BROADCAST_TEMPLATES else by_host, "__host", "left")
-    return (joined.withColumn("text", text(F.col("html").cast("string"), "__subtrees"))
-            .withColumn("n_chars", F.char_length("text").cast("long")).drop("__host", "__subtrees"))
+    return (pages.withColumn("__page", F.xxhash64(F.col("html").cast("string")))
+            .join(by_page, ["__host", "__page"], "left")
+            .withColumn("text", text(F.col("html").cast("string"), "__subtrees"))
+            .withColumn("n_chars", F.char_length("text").cast("long")).drop("__host", "__page", "__subtrees"))

@@ -120,6 +120,17 @@ def test_templates_of_a_host_go_and_shared_paragraphs_stay(spark):
     assert W.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [W.BROADCAST_TEMPLATES, 0])
+def test_boxes_of_one_section_of_a_large_host(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(W, "BROADCAST_TEMPLATES", broadcast)
+    box = "<div>Our big autumn fair</div>"
+    rows = [(i, "http://big.example/p", f"<body><p>story {i}</p>{box if i < 4 else ''}</body>") for i in range(200)]
+    rows += [(1000 + i, "http://small.example/p", f"<body><p>story {i}</p>{box}</body>") for i in range(3)] + rows[:1] * 3
+    got = W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r.text == f"story {r.page_id}" for r in got if r.page_id < 1000)
+    assert all(r.text.endswith("Our big autumn fair") for r in got if r.page_id >= 1000)
+
+
 @pytest.mark.parametrize("html, text", [
     ("<article><h1>A&amp;B</h1><p>x&nbsp;&lt;y&gt;<b>z</b>w<br>v<p>next</article>", "A&B x <y>zw v next"),
     ("<header>top</header><main><p>m</p><aside>s</aside><form>f</form></main><footer>b</footer>", "m"),
