@@ -5,6 +5,7 @@ token or stands in a run of white space that began after the last visible charac
 before every space that follows a visible character, the pieces encoded alone, and the ids joined. For the
 same reason a piece may be cut between a letter and one of ``.,;:!?``, and after one line end that follows.
 Pieces repeat, so a bounded memo of the worker answers most of them. Other tokenizers get each text whole.
+A text is first split at the tokenizer's added tokens, whose ids stand in between.
 """
 
 from __future__ import annotations
@@ -27,18 +28,28 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """``encode_many(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes (null text: none)."""
+    """``encode_many(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes (null text: none).
 
-    def __init__(self, path: str):
+    With ``added`` they are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``; without it
+    the strings of special tokens in a text are ordinary text.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                      and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+        tokens = [t for t in spec.get("added_tokens") or [] if t["content"]] if added and self.cuts else []
+        self.added_ids = {t["content"]: array("I", [t["id"]]).tobytes() for t in tokens}
+        longest_first = sorted(map(re.escape, self.added_ids), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(longest_first)})") if tokens else None
+        # such tokens take in or look at what stands beside them; texts that hold any are left to the library
+        self.added_whole = any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip"))
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.opens = np.zeros(self.vocab_size, bool)  # ids that start with a space
         for token, i in self.tokenizer.get_vocab().items():
@@ -96,6 +107,24 @@ class PieceEncoder:
         return memo
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        held = [i for i, t in enumerate(texts) if t and self.added.search(t)] if self.added else []
+        if not held:
+            return self._plain(texts)
+        out: list[bytes | None] = list(texts)
+        if self.added_whole:
+            for i, ids in zip(held, self._whole([texts[i] for i in held]), strict=True):
+                out[i] = ids
+        else:
+            split = [self.added.split(texts[i]) for i in held]
+            between = iter(self._plain([x for p in split for x in p[::2]]))
+            for i, p in zip(held, split, strict=True):
+                out[i] = b"".join([self.added_ids[x] if k % 2 else next(between) for k, x in enumerate(p)])
+        rest = sorted(set(range(len(texts))).difference(held))
+        for i, ids in zip(rest, self._plain([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _plain(self, texts: list[str | None]) -> list[bytes]:
         if not self.cuts:
             return [i if t else b"" for t, i in zip(texts, self._whole([t or "" for t in texts]), strict=True)]
         cut: list[tuple[bool, list[str]]] = []
@@ -140,5 +169,5 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder of a tokenizer file; the memo lives on between tasks of a worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, added=True)
     return _ENCODERS[path]

@@ -37,6 +37,16 @@ def test_memo_limit_and_special_strings(monkeypatch):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids(t) for t in texts[lo:lo + 7]]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", "a", " ", "  ", "b c", "\n", "."]), max_size=12))
+def test_added_tokens_are_the_librarys(parts):
+    texts = ["".join(parts), "a <|endoftext|> b", "plain text", None, ""]
+    lib = Tokenizer.from_file(bpe_path())
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(bpe_path()).encode_many(texts)]
+    assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[1] == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("n", [1, 63, 64, 129, 5000, 70_001])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
