@@ -48,8 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item's template."""
-    return decontam_template.decontaminate(docs, table(spark, sf_dir, "benchmark"), any_case=True)
+    """Rows that hold no benchmark item's template: each is judged by its own text, with a null or repeated doc_id too."""
+    keyed = docs.withColumn("__text_key", F.sha2(F.col("text").cast("string").cast("binary"), 256))
+    return decontam_template.decontaminate(keyed, table(spark, sf_dir, "benchmark"), key="__text_key",
+                                           any_case=True).drop("__text_key")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -257,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
     return best.select(key, "item_id", "b.covered", "b.item_words", "b.doc_place", "b.n_slots", "b.exact")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated documents; all columns stay, documents with a null doc_id too."""
-    found = contamination(docs.select("doc_id", "text"), benchmark, **options).select("doc_id").distinct()
-    return docs.join(cut_lineage(found), "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the contaminated documents; all columns stay, documents with a null ``key`` too."""
+    found = contamination(docs.select(key, "text"), benchmark, key=key, **options).select(key).distinct()
+    return docs.join(cut_lineage(found), key, "left_anti").select(docs.columns)

@@ -51,6 +51,14 @@ def test_clean_documents_stay_and_decisions_take_effect(spark):
     assert clean == {r.doc_id for r in rows} - leaked
 
 
+def test_decontamination_judges_every_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, item), (None, "clean"), (1, item), (1, "clean too"), (2, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, P.decontamination(spark, docs, SF).collect()), key=str) == sorted(
+        [rows[i] for i in (1, 3, 4, 5)], key=str)
+
+
 def test_run_is_the_stages_in_order(spark):
     out = P.run(spark, SF)
     whole = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t"))
