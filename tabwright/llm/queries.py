@@ -131,3 +131,36 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit(4, rollup.present().where(F.col("version") == first).where("tokens = 0").select(
         "doc_id", "version", F.lit("revise").alias("op"), "source", "lang", F.lit(1).alias("tokens")))
     return rollup.totals()
+
+
+def _merkle_sql() -> str:
+    from tabwright.llm.merkle_manifest import manifest_sql
+    return manifest_sql()
+
+
+@register("op11_merkle_octopus", _merkle_sql())
+def op11_merkle_octopus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, some handed over with lower-cased texts: doc_id, leaf, subroot, root,
+    proof_sha256, folded_root, verified."""
+    from tabwright.llm.merkle_manifest import lowered_where, manifest
+    return manifest(table(spark, sf_dir, "documents"), presented=lowered_where("doc_id"))
+
+
+def _collocations_sql() -> str:
+    from tabwright.llm.collocations import collocations_sql
+    return collocations_sql()
+
+
+@register("op12_collocations_son", _collocations_sql())
+def op12_collocations_son(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language of all documents: lang, rank, phrase, a, l, r, n, score."""
+    from tabwright.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op13_order_minhash")
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts: doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next."""
+    from tabwright.llm.order_minhash import edits
+    return edits(table(spark, sf_dir, "documents"))
