@@ -36,3 +36,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         stamp = tuple(now)
+
+
+FEW_EDGES = 100_000  # at most so many are joined up in memory
+
+
+def roots(edges) -> dict:
+    """Smallest node of each node's component, of (a, b) pairs in memory."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+    for a, b in edges:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return {x: top(x) for x in list(up)}
+
+
+def small_components(edges: DataFrame) -> DataFrame:
+    """As ``connected_components``; at most ``FEW_EDGES`` edges (a fixed bound) are joined up on the driver, which saves
+    the rounds. Nodes are strings."""
+    edges = cut_lineage(edges.where("a <> b").distinct())
+    few = edges.limit(FEW_EDGES + 1).collect()
+    if len(few) > FEW_EDGES:
+        return connected_components(edges)
+    return edges.sparkSession.createDataFrame(list(roots((r["a"], r["b"]) for r in few).items()),
+                                              "node string, component string")

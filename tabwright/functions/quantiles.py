@@ -1,139 +1,103 @@
-"""Exact, distributed quantiles with linear interpolation (pandas / DuckDB ``quantile_cont``).
-
-Input is a value-frequency table ``(group, value, n)`` with one row per distinct
-value. A single ``percentile`` aggregate per group would hold every distinct
-value of a group in one task, so each wanted rank is located by narrowing a
-value range:
-
-1. for every open range, ``percentile_approx`` (a mergeable sketch, bounded
-   memory, partial-aggregated) proposes ``buckets`` cut points inside it;
-2. a ``groupBy(range, bucket)`` weighs the sub-ranges (a table of at most
-   ranges x buckets rows) and the driver keeps the sub-range holding the rank;
-3. once a range holds at most ``window_limit`` distinct values, a running sum
-   inside that range alone (one window partition per range) gives the value.
-
-Every step is distributed; no group's values pass through one task or the
-driver, and window partitions are bounded by ``window_limit``.
-"""
+"""Exact, distributed quantiles with linear interpolation (pandas / DuckDB ``quantile_cont``) by bracketed ranks."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(freq: DataFrame, probs: list[float], group: str = "column", value: str = "value",
-                    weight: str = "n", buckets: int = 256, window_limit: int = 1_000_000,
-                    materialized: bool = False) -> DataFrame:
-    """Return ``(group, p, q)`` for every group with at least one value and every p in probs."""
-    spark = freq.sparkSession
-    probs = [float(p) for p in probs]
-    gtype = freq.schema[group].dataType.simpleString()
-    f = freq.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"),
-                    F.col(weight).cast("bigint").alias("w")).where(F.col("v").isNotNull())
-    # the frequency table is read once per narrowing round: materialise it (reliable checkpoint) instead of
-    # re-running its shuffle every round
-    if not materialized:
-        from tabwright.session import cut_lineage
-        f = cut_lineage(f)
-    tot_rows = f.groupBy("g").agg(F.sum("w").alias("N"), F.count(F.lit(1)).alias("D")).collect()  # one row per group
-    totals = {r["g"]: r["N"] for r in tot_rows}
-    distinct = {str(r["g"]): r["D"] for r in tot_rows}
-    # targets: [g, p, which, frac, rank, lo, hi, below]
-    targets = []
-    for g, total in totals.items():
+SKETCH = 10_000        # accuracy of the rank sketch: ranks are told to about 1 / SKETCH of the rows
+INSIDE = 4_000_000     # rows of an interval that are sorted at once
+
+
+def quantile_table(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Exact quantiles (linear interpolation) of numeric columns of a wide table: ``(column, p, q)``, a row for every
+    column with a value.
+
+    Brackets instead of a table of all values: one scan sketches each column and gives edges around every wanted rank;
+    a second counts the values at and between the edges; only the values of an interval that holds a wanted rank, about
+    ``2 / SKETCH`` of the rows, are grouped and sorted. A rank that falls on an edge needs no sort, and an interval of
+    more than ``INSIDE`` rows gets edges by a sketch of its own, so a hot value ends up as an edge and a window sorts
+    no more rows than that.
+    """
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], "column string, p double, q double")
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    step = 2.0 / SKETCH
+    asked = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-step, 0.0, step)})
+    first = x.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))],
+                  *[F.percentile_approx(f"c{i}", asked, SKETCH).alias(f"s{i}") for i in range(len(cols))]).first()
+    edges = {i: sorted(set(first[f"s{i}"])) for i in range(len(cols)) if first[f"n{i}"]}
+    ranks = {}  # (column, p) -> the two ranks to mix and the second one's share
+    for i in edges:
         for p in probs:
-            pos = (total - 1) * p
-            lo_r = math.floor(pos)
-            for which, rank in (("lo", lo_r), ("hi", min(lo_r + 1, total - 1))):
-                targets.append({"g": g, "p": p, "which": which, "frac": pos - lo_r, "rank": int(rank),
-                                "lo": None, "hi": None, "below": 0})
-    found: dict[int, float] = {}
-    active = list(range(len(targets)))
-    rschema = f"rid int, g {gtype}, lo double, hi double"
-    while active:
-        keys = sorted({(str(targets[i]["g"]), targets[i]["lo"], targets[i]["hi"]) for i in active},
-                      key=lambda t: (t[0], t[1] is not None, t[1] or 0.0))
-        rid_of = {k: j for j, k in enumerate(keys)}
-        gval = {str(targets[i]["g"]): targets[i]["g"] for i in active}
-        rdf = spark.createDataFrame([(j, gval[k[0]], k[1], k[2]) for k, j in rid_of.items()], rschema)
-        inr = (f.join(F.broadcast(rdf), "g")
-               .where((F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi")))))
-        if all(k[1] is None and k[2] is None for k in keys):
-            sizes = {j: distinct[k[0]] for k, j in rid_of.items()}  # first round: whole groups, sizes known
-        else:
-            sizes = {r["rid"]: r["c"] for r in inr.groupBy("rid").agg(F.count(F.lit(1)).alias("c")).collect()}
-        small = {j for j, c in sizes.items() if c <= window_limit}
-        if small:
-            tl = [(rid_of[(str(targets[i]["g"]), targets[i]["lo"], targets[i]["hi"])], i,
-                   targets[i]["rank"] - targets[i]["below"]) for i in active]
-            tl = [t for t in tl if t[0] in small]
-            tdf = spark.createDataFrame(tl, "rid int, tid int, off bigint")
-            # values are distinct inside a range: a ROWS frame gives the same running sum, cheaper than RANGE
-            w = Window.partitionBy("rid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ranked = (inr.join(F.broadcast(tdf.select("rid").distinct()), "rid", "left_semi")
-                      .withColumn("end", F.sum("w").over(w)).withColumn("start", F.col("end") - F.col("w")))
-            # one row per range holding its targets' offsets; only rows that contain a target expand
-            tarr = tdf.groupBy("rid").agg(F.collect_list(F.struct("tid", "off")).alias("t"))
-            inside = F.filter("t", lambda t: (t["off"] >= F.col("start")) & (t["off"] < F.col("end")))
-            hit = (ranked.join(F.broadcast(tarr), "rid").where(F.size(inside) > 0)
-                   .select(F.explode(inside).alias("h"), "v").select("h.tid", "v"))
-            for r in hit.collect():  # one row per target
-                found[r["tid"]] = r["v"]
-            done = {t[1] for t in tl}
-            active = [i for i in active if i not in done]
-        big = [j for j in sizes if j not in small]
-        if not big:
-            break
-        cuts = [i / buckets for i in range(1, buckets)]
-        sub = inr.where(F.col("rid").isin(big))
-        bnds = {r["rid"]: sorted(set(r["b"] or [])) for r in
-                sub.groupBy("rid").agg(F.percentile_approx("v", cuts, 10 * buckets).alias("b")).collect()}
-        bdf = spark.createDataFrame([(j, [float(x) for x in b]) for j, b in bnds.items()], "rid int, bounds array<double>")
-        wts = (sub.join(F.broadcast(bdf), "rid")
-               .select("rid", F.size(F.filter("bounds", lambda b: b < F.col("v"))).alias("b"), "w")
-               .groupBy("rid", "b").agg(F.sum("w").alias("cnt")).collect())  # ranges x buckets rows
-        per: dict = {}
-        for r in wts:
-            per.setdefault(r["rid"], []).append((r["b"], r["cnt"]))
-        for i in active:
-            t = targets[i]
-            j = rid_of[(str(t["g"]), t["lo"], t["hi"])]
-            if j not in per:
-                continue
-            bl = sorted(per[j])
-            local = t["rank"] - t["below"]
-            acc = 0
-            for b, c in bl:
-                if acc + c > local:
-                    bs = bnds[j]
-                    t["lo"] = bs[b - 1] if b >= 1 else t["lo"]
-                    t["hi"] = bs[b] if b < len(bs) else t["hi"]
-                    t["below"] += acc
+            pos = (first[f"n{i}"] - 1) * p
+            ranks[i, p] = (math.floor(pos), min(math.floor(pos) + 1, first[f"n{i}"] - 1), pos - math.floor(pos))
+    value: dict = {}  # (column, rank) -> value
+    wanted = {(i, r) for (i, _), (a, b, _) in ranks.items() for r in (a, b)}
+    while wanted:
+        at = sorted({i for i, _ in wanted})
+        coded = _coded(x, {i: edges[i] for i in at})
+        counts: dict = {i: [] for i in at}
+        for r in coded.groupBy("i", "c").agg(F.count(F.lit(1)).alias("n")).orderBy("c").collect():
+            counts[r["i"]].append((r["c"], r["n"]))  # two an edge at most
+        small, large = {}, {}
+        for i, r in list(wanted):
+            below = 0
+            for c, n in counts[i]:
+                if r < below + n:
                     break
-                acc += c
-    rows = {}
-    for i, t in enumerate(targets):
-        key = (t["g"], t["p"])
-        rows.setdefault(key, {"frac": t["frac"]})[t["which"]] = found.get(i)
-    out = []
-    for (g, p), d in rows.items():
-        lo, hi = d.get("lo"), d.get("hi")
-        hi = lo if hi is None else hi
-        out.append((g, p, None if lo is None else lo + d["frac"] * (hi - lo)))
-    return spark.createDataFrame(out, f"{group} {gtype}, p double, q double")
+                below += n
+            if c % 2:
+                value[i, r] = edges[i][c // 2]
+                wanted.discard((i, r))
+            else:
+                (small if n <= INSIDE else large).setdefault((i, c), []).append((r, r - below, n))
+        if small:
+            found = _sorted_inside(coded, {k: [o for _, o, _ in v] for k, v in small.items()})
+            for (i, c), rs in small.items():
+                value.update({(i, r): found[i, c, o] for r, o, _ in rs})
+                wanted.difference_update((i, r) for r, _, _ in rs)
+        if large:
+            keys = list(large)
+            cut = coded.agg(*[F.percentile_approx(F.when((F.col("i") == i) & (F.col("c") == c), F.col("v")), sorted(
+                {min(max((o + 0.5) / n + d, 0.0), 1.0) for _, o, n in large[i, c] for d in (-step, 0.0, step)}),
+                SKETCH).alias(f"s{t}") for t, (i, c) in enumerate(keys)]).first()
+            for t, (i, _) in enumerate(keys):
+                edges[i] = sorted({*edges[i], *cut[f"s{t}"]})
+    out = [(cols[i], float(p), value[i, a] + f * (value[i, b] - value[i, a])) for (i, p), (a, b, f) in ranks.items()]
+    return spark.createDataFrame(out, "column string, p double, q double")
 
 
-def quantile_table(df: DataFrame, cols: list[str], probs: list[float], buckets: int = 256) -> DataFrame:
-    """Quantiles of numeric columns of a wide table: ``(column, p, q)``."""
-    if not cols:
-        return df.sparkSession.createDataFrame([], "column string, p double, q double")
-    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], cols, "column", "value").where(F.col("value").isNotNull()))
-    freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return exact_quantiles(freq, probs, buckets=buckets)
+def _coded(x: DataFrame, edges: dict[int, list[float]]) -> DataFrame:
+    """(i, v, c) of the columns with edges: ``c`` is 2 j strictly between the edges j - 1 and j, 2 j + 1 at the edge j.
+
+    The edges are one constant looked up by column; comparisons spelt out for every column and edge would be more code
+    than a JVM compiles."""
+    own = sorted(edges)
+    table = F.array(*[F.array(*[F.lit(float(e)) for e in edges[i]]) for i in own])
+    v = F.col("v")
+    code = F.aggregate(F.get(table, F.col("p")), F.lit(0), lambda s, e: s + F.when(v > e, 2).when(v == e, 1).otherwise(0))
+    return (x.select(F.posexplode(F.array(*[F.col(f"c{i}") for i in own])).alias("p", "v")).where("v is not null")
+            .select(F.get(F.array(*[F.lit(i) for i in own]), F.col("p")).alias("i"), "v", code.alias("c")))
+
+
+def _sorted_inside(coded: DataFrame, places: dict) -> dict:
+    """(column, code, place) -> value, for places inside intervals: ``places`` is (column, code) -> places."""
+    here = reduce(lambda a, b: a | b, [(F.col("i") == i) & (F.col("c") == c) for i, c in places])
+    inside = coded.where(here).groupBy("i", "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("i", "c").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = inside.withColumn("end", F.sum("n").over(w))
+    asked = [(i, c, o) for (i, c), os in places.items() for o in os]
+    hit = reduce(lambda a, b: a | b, [(F.col("i") == i) & (F.col("c") == c) & (F.col("end") > o)
+                                      & (F.col("end") - F.col("n") <= o) for i, c, o in asked])
+    rows = ends.where(hit).collect()  # one row a place at most
+    return {(i, c, o): next(r["v"] for r in rows if (r["i"], r["c"]) == (i, c) and r["end"] - r["n"] <= o < r["end"])
+            for i, c, o in asked}
 
 
 def quantile_dict(df: DataFrame, cols: list[str], probs: list[float]) -> dict[tuple[str, float], float]:

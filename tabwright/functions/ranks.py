@@ -147,3 +147,19 @@ def select_first(df: DataFrame, h: Column, tiebreaks: list[str], quotas: dict, b
     if flag:
         return df.withColumn(flag, conds)
     return df.where(conds)
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Append the row's 0-based place (long) in ascending ``order`` (nulls first): a range shuffle, then the place in the
+    partition plus the rows of the partitions before. Only one count per partition reaches the driver."""
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    starts, total = [], 0
+    for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        starts.append((r["p"], total))
+        total += r["n"]
+    at = df.sparkSession.createDataFrame(starts, "__p long, __start long")
+    return (placed.withColumn("__p", part).join(F.broadcast(at), "__p")
+            .withColumn(out, F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("__p", "__start", "__id"))

@@ -1,14 +1,13 @@
 """Clustering models returning ``(id, cluster)``.
 
-- kmeans / hclust: Spark ML KMeans / BisectingKMeans (divisive: agglomerative
-  merging needs all pairs).
+- kmeans: Spark ML KMeans. hclust: single linkage from an exact minimum
+  spanning tree (``models.linkage``).
 - sc: PowerIterationClustering on the kNN graph (Gaussian weights).
-- dbscan: radius join -> core flags by neighbour counts -> connected
-  components of the core graph, to their end, in a logarithmic number of rounds
-  (each checkpointed) -> border rows take the smallest label among their core
-  neighbours, the rest are noise (-1).
-- meanshift: binned seeds, flat-kernel mean shift (seeds x points radius join
-  per round), modes merged on a half-bandwidth grid, rows labelled by nearest mode.
+- dbscan: grid cells whose points are all within eps, counted by totals;
+  components over cells; only thin and border cells compare points.
+- meanshift: binned seeds, flat-kernel mean shift over grid cell totals (points
+  are compared in cut cells only), modes merged on a half-bandwidth grid, rows
+  labelled by nearest mode.
 - ap: affinity propagation restricted to the kNN graph (sparse): responsibilities
   and availabilities as aggregates over rows and over candidate exemplars, damped
   rounds. Approximate: full AP uses all pairs.
@@ -16,15 +15,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.components import connected_components
+from tabwright.functions.components import small_components
 from tabwright.functions.quantiles import quantile_dict
+from tabwright.functions.ranks import numbered
 from tabwright.operators.anomaly import incomplete
-from tabwright.operators.knn import knn_join, range_join
+from tabwright.operators.grid import Grid
+from tabwright.operators.knn import knn_join
 from tabwright.session import cut_lineage
 
 
@@ -32,16 +33,17 @@ def _vec(df, features, id_col):
     return df.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("vec"))
 
 
-def kmeans(df: DataFrame, features: list[str], id_col: str, k: int = 4, seed: int = 42, divisive: bool = False):
+def kmeans(df: DataFrame, features: list[str], id_col: str, k: int = 4, seed: int = 42):
     x = VectorAssembler(inputCols=features, outputCol="__f", handleInvalid="skip").transform(df.select(id_col, *features))
-    est = (BisectingKMeans if divisive else KMeans)(k=k, seed=seed, featuresCol="__f", predictionCol="cluster")
-    m = est.fit(x)
+    m = KMeans(k=k, seed=seed, featuresCol="__f", predictionCol="cluster").fit(x)
     rest = incomplete(df, features).select(F.col(id_col), F.lit(None).cast("int").alias("cluster"))
     return m.transform(x).select(F.col(id_col), F.col("cluster").cast("int")).unionByName(rest)
 
 
 def spectral(df: DataFrame, features: list[str], id_col: str, k: int = 4, n_neighbors: int = 10, seed: int = 42):
-    v = _vec(df, features, id_col).withColumn("nid_long", F.xxhash64("id"))
+    rest = incomplete(df, features).select(F.col(id_col), F.lit(None).cast("int").alias("cluster"))
+    v = _vec(df, features, id_col).where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
+    v = v.withColumn("nid_long", F.xxhash64("id"))
     nb = knn_join(v, None, n_neighbors, "id", "vec")
     sigma = quantile_dict(nb, ["dist"], [0.5]).get(("dist", 0.5)) or 1.0
     ids = v.select(F.col("id").alias("qid"), F.col("nid_long").alias("src"))
@@ -50,76 +52,169 @@ def spectral(df: DataFrame, features: list[str], id_col: str, k: int = 4, n_neig
              .select("src", "dst", F.exp(-(F.col("dist") ** 2) / F.lit(2 * sigma * sigma)).alias("weight")))
     pic = PowerIterationClustering(k=k, maxIter=20, weightCol="weight")
     a = pic.assignClusters(edges)
-    return v.join(a, v["nid_long"] == a["id"]).select(v["id"].alias(id_col), F.col("cluster").cast("int"))
+    found = v.join(a, v["nid_long"] == a["id"]).select(v["id"].alias(id_col), F.col("cluster").cast("int"))
+    return found.unionByName(rest)
 
 
 def _distinct_points(df: DataFrame, features: list[str], id_col: str):
-    """(rows with their vector key, distinct vectors with multiplicity): duplicates collapse map-side."""
+    """(complete rows with their vector key, distinct vectors with multiplicity and smallest id, rows with nulls)."""
+    from functools import reduce
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    rows = df.select(F.col(id_col).alias("id"), vec.alias("vec")).withColumn("vk", F.md5(F.to_json("vec")))
-    pts = rows.groupBy("vk").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("m"))
-    return rows.select("id", "vk"), cut_lineage(pts)
+    full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in features])
+    rows = (df.where(full).select(F.col(id_col).alias("id"), vec.alias("vec"))
+            .withColumn("vk", F.md5(F.to_json("vec"))))
+    # -0.0 and 0.0 are one place
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    pts = rows.groupBy("vk").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("m"), F.min("id").alias("least"))
+    rest = df.where(~F.coalesce(full, F.lit(False))).select(F.col(id_col))
+    return rows.select("id", "vk"), cut_lineage(pts), rest
 
 
-def _core(pts: DataFrame, eps: float, min_samples: int):
-    """Radius join over distinct points; a point's neighbour count sums the multiplicities (self included)."""
-    pairs = range_join(pts.select(F.col("vk").alias("id"), "vec"), None, eps, "id", "vec").select("qid", "nid")
-    pairs = cut_lineage(pairs)
-    cnt = (pairs.join(pts.select(F.col("vk").alias("nid"), "m"), "nid")
-           .groupBy("qid").agg(F.sum("m").alias("neighbours")))
-    return pairs, cnt
+def _grid(pts: DataFrame, features: list[str], eps: float) -> Grid:
+    return Grid(pts.withColumnRenamed("vk", "id"), len(features), eps)
 
 
 def core_flags(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """``(id, neighbours, is_core)``: rows within ``eps`` (self and identical copies included)."""
-    rows, pts = _distinct_points(df, features, id_col)
-    _, cnt = _core(pts, eps, min_samples)
-    out = rows.join(cnt.withColumnRenamed("qid", "vk"), "vk")
-    return out.select(F.col("id").alias(id_col), F.col("neighbours").cast("long").alias("neighbours"),
-                      (F.col("neighbours") >= min_samples).alias("is_core"))
+    """``(id, neighbours, is_core)``: rows within ``eps`` (self and identical copies included); null in both for rows
+    with a null or NaN feature."""
+    rows, pts, rest = _distinct_points(df, features, id_col)
+    grid = _grid(pts, features, eps)
+    cnt = grid.count(grid.points.select("id", "vec"), "m").withColumnRenamed("id", "vk")
+    out = rows.join(cnt, "vk").select(F.col("id").alias(id_col), "neighbours",
+                                      (F.col("neighbours") >= min_samples).alias("is_core"))
+    return out.unionByName(rest.select(F.col(id_col), F.lit(None).cast("long").alias("neighbours"),
+                                       F.lit(None).cast("boolean").alias("is_core")))
 
 
-def dbscan(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    rows, pts = _distinct_points(df, features, id_col)
-    pairs, cnt = _core(pts, eps, min_samples)
-    core = cut_lineage(cnt.where(F.col("neighbours") >= min_samples).select(F.col("qid").alias("id")))
-    cc = (pairs.join(core.withColumnRenamed("id", "qid"), "qid", "left_semi")
-          .join(core.withColumnRenamed("id", "nid"), "nid", "left_semi"))
-    found = connected_components(cc.select(F.col("qid").alias("a"), F.col("nid").alias("b")))
-    lab = cut_lineage(core.join(found.withColumnRenamed("node", "id"), "id", "left")
-                      .select("id", F.coalesce("component", "id").alias("label")))
-    # border points: smallest label among core neighbours
-    border = (pairs.join(lab.withColumnRenamed("id", "nid").withColumnRenamed("label", "nl"), "nid")
-              .groupBy("qid").agg(F.min("nl").alias("bl")))
+REPS = 32  # points of a cell tried first when two cells are to be joined
+
+
+def _linked_cells(grid: Grid, core: DataFrame) -> DataFrame:
+    """(cell, component) of the cells with core points (id, vec, cell, box): components of core points within the radius.
+
+    A cell's own points are within the radius of each other. Of neighbouring cells a few points are compared first;
+    what these leave in different components is compared whole.
+    """
+    import numpy as np
     from pyspark.sql import Window
-    w = Window.orderBy("label")  # one row per cluster: the number of clusters, not rows
-    idx = lab.select("label").distinct().withColumn("cluster", (F.row_number().over(w) - 1).cast("int"))
-    per_pt = (pts.select(F.col("vk").alias("id")).join(lab, "id", "left")
-              .join(border.withColumnRenamed("qid", "id"), "id", "left")
-              .select("id", F.coalesce("label", "bl").alias("label")).join(idx, "label", "left"))
-    out = rows.join(per_pt.withColumnRenamed("id", "vk"), "vk")
-    return out.select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    cells = cut_lineage(core.groupBy("cell").agg(F.first("box").alias("box")))
+    pairs = cut_lineage(grid.pairs(cells, cells).where("cell < other").select("cell", "other"))
+    w = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
+    reps = (core.withColumn("r", F.row_number().over(w)).where(F.col("r") <= REPS)
+            .groupBy("cell").agg(F.flatten(F.collect_list("vec")).alias("vecs")))
+    d, radius = grid.d, grid.radius
+
+    def near(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b["vecs"], b["ovecs"], strict=True):
+                diff = np.reshape(x, (-1, 1, d)) - np.reshape(y, (1, -1, d))
+                keep.append(bool((np.sqrt((diff ** 2).sum(-1)) <= radius).any()))
+            yield b.loc[keep, ["cell", "other"]]
+    tried = pairs.join(reps, "cell").join(reps.select(F.col("cell").alias("other"), F.col("vecs").alias("ovecs")), "other")
+    sure = cut_lineage(tried.mapInPandas(near, "cell string, other string"))
+    found = _components(cells, sure)
+    named = found.withColumnsRenamed({"cell": "other", "component": "c2"})
+    open_ = cut_lineage(pairs.join(found, "cell").join(named, "other").where("component <> c2").select("cell", "other"))
+    if open_.isEmpty():
+        return found
+
+    def touch(mask, values):
+        return {"near": mask.any(axis=1)}
+    asked = core.select("cell", "vec").join(open_, "cell").select(F.col("cell").alias("id"), "vec", "other",
+                                                                  F.lit(False).alias("whole"))
+    more = grid.compare(asked, core, "m", touch, "id string, near boolean", keep="other")
+    more = more.where("near").select(F.col("id").alias("cell"), "other").distinct()
+    return _components(cells, sure.unionByName(more))
+
+
+def _components(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    found = small_components(edges.select(F.col("cell").alias("a"), F.col("other").alias("b")))
+    return cut_lineage(cells.select("cell").join(found.withColumnRenamed("node", "cell"), "cell", "left")
+                       .select("cell", F.coalesce("component", "cell").alias("component")))
+
+
+def dbscan(df: DataFrame, features: list[str], id_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """``(id, cluster)``: clusters are numbered by their smallest core row id, -1 is noise, null a row with nulls.
+
+    Works on grid cells whose points are all within ``eps`` of each other: in a cell of ``min_samples`` rows every point
+    is core, so only the few points of thinner cells are counted; clusters are components over cells; only points that
+    aren't core look for a neighbouring cluster (the smallest number). No table of close pairs is made.
+    """
+    import numpy as np
+    rows, pts, rest = _distinct_points(df, features, id_col)
+    grid = _grid(pts, features, eps)
+    cells = cut_lineage(grid.cells(F.sum("m").alias("total")))
+    thick = cells.where(F.col("total") >= min_samples).select("cell")
+    thin = cut_lineage(grid.points.join(thick, "cell", "left_anti"))
+    counts = grid.count(thin.select("id", "vec"), "m").where(F.col("neighbours") >= min_samples).select("id")
+    columns = ["id", "vec", "m", "least", "cell", "box"]
+    core = cut_lineage(grid.points.join(thick, "cell", "left_semi").select(*columns)
+                       .unionByName(thin.join(counts, "id", "left_semi").select(*columns)))
+    linked = _linked_cells(grid, core)
+    firsts = (core.groupBy("cell").agg(F.min("least").alias("least")).join(linked, "cell")
+              .groupBy("component").agg(F.min("least").alias("least")))
+    number = numbered(firsts, ["least"], "cluster").select("component", F.col("cluster").cast("int"))
+    core = cut_lineage(core.join(linked.join(number, "component").select("cell", "cluster"), "cell"))
+
+    def smallest(mask, values):
+        low = np.where(mask, values[None, :], np.iinfo(np.int32).max).min(axis=1)
+        return {"cluster": low.astype(np.int32)}
+    edge = thin.join(core.select("id"), "id", "left_anti").select("id", "vec")
+    homes = core.groupBy("cell").agg(F.first("box").alias("box"))
+    kind = core.schema["id"].dataType.simpleString()
+    border = (grid.compare(grid.meet(edge, homes), core, "cluster", smallest,
+                           f"id {kind}, cluster int")
+              .groupBy("id").agg(F.min("cluster").alias("cluster")).where(F.col("cluster") < (1 << 31) - 1))
+    per_pt = core.select(F.col("id").alias("vk"), "cluster").unionByName(border.withColumnRenamed("id", "vk"))
+    return (rows.join(per_pt, "vk", "left").select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+            .unionByName(rest.select(F.col(id_col), F.lit(None).cast("int").alias("cluster"))))
+
+
+def hclust(df: DataFrame, features: list[str], id_col: str, k: int = 4) -> DataFrame:
+    """``(id, cluster)``: single linkage cut to ``k`` clusters, numbered by their smallest row id; null for rows with
+    nulls. Exact: the edges of a minimum spanning tree, by ``models.linkage``. Equal rows are one point; of edges of
+    equal length the later ones by their points' keys are cut first."""
+    from tabwright.models.linkage import single_linkage
+    rows, pts, rest = _distinct_points(df, features, id_col)
+    found = single_linkage(pts.withColumnRenamed("vk", "id"), len(features), k)
+    firsts = pts.join(found.withColumnRenamed("id", "vk"), "vk").groupBy("component").agg(F.min("least").alias("least"))
+    number = numbered(firsts, ["least"], "cluster").select("component", F.col("cluster").cast("int"))
+    out = rows.join(found.join(number, "component").select(F.col("id").alias("vk"), "cluster"), "vk")
+    return out.select(F.col("id").alias(id_col), "cluster").unionByName(
+        rest.select(F.col(id_col), F.lit(None).cast("int").alias("cluster")))
 
 
 def meanshift(df: DataFrame, features: list[str], id_col: str, bandwidth: float | None = None,
               rounds: int = 300, tol: float = 1e-3) -> DataFrame:
-    v = _vec(df, features, id_col)
+    """``(id, cluster)``: flat-kernel mean shift from binned seeds; a row gets its nearest mode, rows with nulls null.
+
+    A seed's mean sums whole grid cells by their totals and compares only the points of cells its ball cuts.
+    """
+    rows, pts, rest = _distinct_points(df, features, id_col)
+    d = len(features)
+    v = pts.select(F.col("vk").alias("id"), "vec")
     if bandwidth is None:
-        nb = knn_join(v, None, 5, "id", "vec")
+        nb = knn_join(_vec(df, features, id_col).join(rest.withColumnRenamed(id_col, "id"), "id", "left_anti"),
+                      None, 5, "id", "vec")
         bandwidth = quantile_dict(nb, ["dist"], [0.3]).get(("dist", 0.3)) or 1.0
         bandwidth *= 3.0
     bw = float(bandwidth)
-    binned = F.transform("vec", lambda x: F.floor(x / F.lit(bw)) * F.lit(bw))
-    seeds = v.select(binned.alias("vec")).distinct().withColumn("id", F.md5(F.to_json("vec")))
-    pts = v.select(F.col("id").cast("string").alias("id"), "vec")
-    for r in range(rounds):
-        near = range_join(seeds, pts, bw, "id", "vec").join(pts.select(F.col("id").alias("nid"), F.col("vec").alias("pv")), "nid")
-        d = len(features)
-        means = near.groupBy("qid").agg(*[F.avg(F.col("pv")[j]).alias(f"m{j}") for j in range(d)],
-                                        F.count(F.lit(1)).alias("n"))
-        new = cut_lineage(means.select(F.col("qid").alias("id"),
-                                       F.array(*[F.col(f"m{j}") for j in range(d)]).alias("vec")))
-        # stop once no seed moves more than tol * bandwidth (seeds are few: one per occupied bin)
+    # what a mean needs of a point: its multiplicity, and that times its vector
+    mass = F.concat(F.array(F.col("m").cast("double")), F.transform("vec", lambda x: x * F.col("m")))
+    grid = Grid(pts.select(F.col("vk").alias("id"), "vec", mass.alias("mass")), d, bw)
+    cells = cut_lineage(grid.cells().select("cell", "box"))
+    seeds = cut_lineage(v.select(F.transform("vec", lambda x: F.floor(x / F.lit(bw)) * F.lit(bw)).alias("vec")).distinct()
+                        .withColumn("id", F.md5(F.to_json("vec"))))
+
+    def summed(mask, values):
+        return {"mass": list(mask.astype(float) @ values)}
+    for _ in range(rounds):
+        part = grid.compare(grid.meet(seeds, cells, few=True), grid.points, "mass", summed, "id string, mass array<double>")
+        total = part.groupBy("id").agg(*[F.sum(F.col("mass")[j]).alias(f"s{j}") for j in range(d + 1)])
+        new = cut_lineage(total.where("s0 > 0").select(
+            "id", F.array(*[F.col(f"s{j}") / F.col("s0") for j in range(1, d + 1)]).alias("vec")))
+        # stop once no seed moves more than tol * bandwidth
         shift = (new.join(seeds.withColumnRenamed("vec", "old"), "id")
                  .agg(F.max(F.sqrt(F.aggregate(F.zip_with("vec", "old", lambda a, b: (a - b) * (a - b)),
                                                F.lit(0.0), lambda s_, v_: s_ + v_)))).first()[0])
@@ -130,15 +225,17 @@ def meanshift(df: DataFrame, features: list[str], id_col: str, bandwidth: float
     modes = (seeds.select(F.transform("vec", lambda x: F.round(x / F.lit(half)) * F.lit(half)).alias("vec"))
              .distinct().withColumn("id", F.md5(F.to_json("vec"))))
     modes = cut_lineage(modes)
-    nn = knn_join(v.withColumn("id", F.col("id").cast("string")), modes, 1, "id", "vec", exclude_self=False)
-    from pyspark.sql import Window
-    idx = modes.select("id").withColumn("cluster", (F.row_number().over(Window.orderBy("id")) - 1).cast("int"))
-    return nn.join(idx.withColumnRenamed("id", "nid"), "nid").select(F.col("qid").alias(id_col), "cluster")
+    nn = knn_join(v, modes, 1, "id", "vec", exclude_self=False)
+    idx = numbered(modes.select("id"), ["id"], "cluster").select(F.col("id").alias("nid"), F.col("cluster").cast("int"))
+    per_pt = nn.join(idx, "nid").select(F.col("qid").alias("vk"), "cluster")
+    return rows.join(per_pt, "vk").select(F.col("id").alias(id_col), "cluster").unionByName(
+        rest.select(F.col(id_col), F.lit(None).cast("int").alias("cluster")))
 
 
 def affinity_propagation(df: DataFrame, features: list[str], id_col: str, n_neighbors: int = 10,
                          rounds: int = 50, damping: float = 0.5) -> DataFrame:
-    v = _vec(df, features, id_col)
+    rest = incomplete(df, features).select(F.col(id_col), F.lit(None).cast("int").alias("cluster"))
+    v = _vec(df, features, id_col).where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
     nb = knn_join(v, None, n_neighbors, "id", "vec")
     s = nb.select(F.col("qid").alias("i"), F.col("nid").alias("k"), (-(F.col("dist") ** 2)).alias("s"))
     pref = quantile_dict(s, ["s"], [0.5]).get(("s", 0.5)) or -1.0
@@ -168,15 +265,14 @@ def affinity_propagation(df: DataFrame, features: list[str], id_col: str, n_neig
     ex = e.where((F.col("i") == F.col("k")) & (F.col("r") + F.col("a") > 0)).select(F.col("k").alias("ex"))
     cand = e.join(ex.withColumnRenamed("ex", "k"), "k", "left_semi")
     best = cand.groupBy("i").agg(F.max_by("k", "s").alias("exemplar"))
-    from pyspark.sql import Window
-    idx = ex.withColumn("cluster", (F.row_number().over(Window.orderBy("ex")) - 1).cast("int"))
+    idx = numbered(ex, ["ex"], "cluster").select("ex", F.col("cluster").cast("int"))
     lab = v.select(F.col("id").alias("i")).join(best, "i", "left").join(idx, F.col("exemplar") == F.col("ex"), "left")
-    return lab.select(F.col("i").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return lab.select(F.col("i").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster")).unionByName(rest)
 
 
 CLUSTERERS = {
     "kmeans": lambda df, f, i, **kw: kmeans(df, f, i, **kw),
-    "hclust": lambda df, f, i, **kw: kmeans(df, f, i, divisive=True, **kw),
+    "hclust": hclust,
     "sc": spectral, "dbscan": dbscan, "meanshift": meanshift, "ap": affinity_propagation,
 }
 

@@ -1,11 +1,11 @@
 """Table profiling and validation.
 
-Design: one wide aggregate over the table (counts, moments, lengths) plus one
-value-frequency table per value family (numeric as double, everything else as
-string) built by ``unpivot`` + ``groupBy(column, value)`` with map-side partial
-aggregation. Uniques, modes, top-k and exact quantiles all come from the
-frequency tables, so a profile is a bounded number of scans and the only rows
-that reach the driver are per-column constants.
+Design: one wide aggregate over the table (counts, moments, lengths), quartiles
+by bracketed ranks (``functions.quantiles``), distinct numbers per type, and for
+text one value-frequency table built by ``unpivot`` + ``groupBy(column, value)``
+with map-side partial aggregation, which gives uniques, modes and top-k. A
+profile is a bounded number of scans and the only rows that reach the driver are
+per-column constants.
 """
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.columns import columns_of, dtype_name, kind
-from tabwright.functions.quantiles import exact_quantiles
-from tabwright.session import cut_lineage
+from tabwright.functions.quantiles import quantile_table
 
 HIGH_CARDINALITY = 50  # fixed value: more uniques than this flags a categorical column
 MISSING_ISSUE_PCT = 50.0  # fixed value: missing share of cells that raises an issue
@@ -79,43 +78,58 @@ def _mode(freq: DataFrame) -> DataFrame:
 
 def _wide_stats(df: DataFrame, num: list[str], strs: list[str], others: list[str],
                 null_length: int | None) -> DataFrame:
-    """One scan; returns one row per column (exploded from a single aggregate row)."""
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(num + strs + others):
-        aggs.append(F.count(F.col(c)).alias(f"nn{i}"))
-    for i, c in enumerate(num):
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-                 F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"sk{i}"), F.kurtosis(x).alias(f"ku{i}")]
+    """One scan; returns one row per column. Numeric columns go through one small aggregate by column number: an
+    aggregate of every moment of every column side by side is more code than a JVM compiles."""
+    allc = num + strs + others
+    aggs = [F.count(F.lit(1)).alias("__rows")] + [F.count(F.col(c)).alias(f"nn{i}") for i, c in enumerate(allc)]
     for i, c in enumerate(strs):
         ln = F.length(F.col(c)).cast("double")
         if null_length is not None:
             ln = F.coalesce(ln, F.lit(float(null_length)))
         aggs.append(F.avg(ln).alias(f"len{i}"))
-    row = df.agg(*aggs)
-    structs = []
-    allc = num + strs + others
-    for i, c in enumerate(allc):
-        nn = F.col(f"nn{i}")
-        if c in num:
-            j = num.index(c)
-            n = nn.cast("double")
-            fields = [F.col(f"mean{j}"), F.col(f"std{j}"), F.col(f"min{j}"), F.col(f"max{j}"),
-                      skew_corrected(F.col(f"sk{j}"), n), kurt_corrected(F.col(f"ku{j}"), n),
-                      F.lit(None).cast("double")]
-        elif c in strs:
-            j = strs.index(c)
-            fields = [F.lit(None).cast("double")] * 6 + [F.col(f"len{j}")]
-        else:
-            fields = [F.lit(None).cast("double")] * 7
-        names = ["mean", "std", "min", "max", "skewness", "kurtosis", "avg_length"]
-        structs.append(F.struct(F.lit(c).alias("column"), F.col("__rows").alias("rows"), nn.alias("non_null"),
-                                *[v.alias(k) for k, v in zip(names, fields)]))
-    return row.select(F.inline(F.array(*structs)))
-
-
-def profile(df: DataFrame, columns: list[str] | None = None, null_length: int | None = None,
-            buckets: int = 256) -> DataFrame:
+    counted = df.agg(*aggs).select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col("__rows").alias("rows"), F.col(f"nn{i}").alias("non_null"),
+        (F.col(f"len{strs.index(c)}") if c in strs else F.lit(None).cast("double")).alias("avg_length"))
+        for i, c in enumerate(allc)])))
+    names = ["mean", "std", "min", "max", "skewness", "kurtosis"]
+    if not num:
+        return counted.select("column", "rows", "non_null", *[F.lit(None).cast("double").alias(n) for n in names],
+                              "avg_length")
+    x, n = F.col("x"), F.count("x").cast("double")
+    moments = (df.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in num])).alias("i", "x"))
+               .where("x is not null").groupBy("i")
+               .agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+                    skew_corrected(F.skewness(x), n).alias("skewness"),
+                    kurt_corrected(F.kurtosis(x), n).alias("kurtosis"))
+               .select(F.get(F.array(*[F.lit(c) for c in num]), F.col("i")).alias("column"), *names))
+    # both sides hold a row per column
+    return counted.join(moments, "column", "left").select("column", "rows", "non_null", *names, "avg_length")
+
+
+def _quartiles(q: DataFrame) -> DataFrame:
+    return q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(a)
+                                     for p, a in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))])
+
+
+def _unique_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(column, n_unique)`` of numeric columns. Columns of a kind go together, each in its own exact type: whole
+    numbers as long, decimals as decimal, the rest as double; a hot value collapses before the shuffle."""
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        t = df.schema[c].dataType
+        kinds.setdefault("bigint" if isinstance(t, T.IntegralType) else "decimal(38,10)" if isinstance(t, T.DecimalType)
+                         else "double", []).append(c)
+    parts = []
+    for kind_, own in kinds.items():
+        seen = (df.select(F.posexplode(F.array(*[F.col(c).cast(kind_) for c in own])).alias("i", "value"))
+                .where(F.col("value").isNotNull()).distinct())
+        names = F.array(*[F.lit(c) for c in own])
+        parts.append(seen.groupBy("i").agg(F.count(F.lit(1)).alias("n_unique"))
+                     .select(F.get(names, F.col("i")).alias("column"), "n_unique"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, null_length: int | None = None) -> DataFrame:
     """Per-column profile (dtype, counts, uniques, moments, quartiles, string mode and length).
 
     ``null_length`` counts missing strings with that length in ``avg_length``
@@ -132,13 +146,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, null_length: int |
     wide = _wide_stats(sub, num, strs, others, null_length)
     parts = []
     if num:
-        # read by the quantile rounds and the unique counts: materialise once
-        nf = cut_lineage(numeric_frequencies(sub, num))
-        q = exact_quantiles(nf, [0.25, 0.5, 0.75], buckets=buckets, materialized=True)
-        qw = (q.groupBy("column").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q25"),
-                                      F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
-                                      F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q75")))
-        u = nf.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+        q = quantile_table(sub, num, [0.25, 0.5, 0.75])
+        qw = _quartiles(q)
+        u = _unique_counts(sub, num)
         parts.append(u.join(qw, "column", "left")
                      .select("column", "n_unique", "median", "q25", "q75",
                              F.lit(None).cast("string").alias("mode"), F.lit(None).cast("bigint").alias("mode_count")))
@@ -173,9 +183,10 @@ def profile(df: DataFrame, columns: list[str] | None = None, null_length: int |
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """pandas ``describe()`` for numeric columns with exact interpolated quartiles, one row per column."""
     cols = columns or columns_of(df, "numeric")
-    p = profile(df.select(*cols))
-    return p.select("column", F.col("non_null").alias("count"), "mean", "std", "min",
-                    F.col("q25").alias("p25"), F.col("median").alias("p50"), F.col("q75").alias("p75"), "max")
+    wide = _wide_stats(df.select(*cols), cols, [], [], None)
+    return wide.join(_quartiles(quantile_table(df, cols, [0.25, 0.5, 0.75])), "column", "left").select(
+        "column", F.col("non_null").cast("bigint").alias("count"), "mean", "std", "min",
+        F.col("q25").alias("p25"), F.col("median").alias("p50"), F.col("q75").alias("p75"), "max")
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

@@ -206,6 +206,26 @@ def q_dbscan_core(spark, sf):
     return C.core_flags(_cust(spark, sf), ["c_acctbal", "c_nationkey"], "c_custkey", 0.5, 5)
 
 
+@register("dbscan_labels_customer", """
+WITH RECURSIVE z AS (SELECT c_custkey AS id,
+  (c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer) AS a,
+  (c_nationkey - (SELECT avg(c_nationkey) FROM customer)) / (SELECT stddev_pop(c_nationkey) FROM customer) AS b
+  FROM customer),
+e AS (SELECT x.id AS p, y.id AS q FROM z x JOIN z y ON sqrt((x.a - y.a) ^ 2 + (x.b - y.b) ^ 2) <= 0.12),
+core AS (SELECT p AS id FROM e GROUP BY p HAVING count(*) >= 4),
+ce AS (SELECT p, q FROM e WHERE p IN (SELECT id FROM core) AND q IN (SELECT id FROM core)),
+reach(id, root) AS (SELECT id, id FROM core UNION SELECT ce.q, r.root FROM reach r JOIN ce ON ce.p = r.id),
+lab AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM lab)),
+own AS (SELECT lab.id, num.cluster FROM lab JOIN num USING (root)),
+edge AS (SELECT e.p AS id, min(own.cluster) AS cluster FROM e JOIN own ON own.id = e.q
+  WHERE e.p NOT IN (SELECT id FROM core) GROUP BY e.p)
+SELECT z.id AS c_custkey, CAST(coalesce(own.cluster, edge.cluster, -1) AS INTEGER) AS cluster
+FROM z LEFT JOIN own ON own.id = z.id LEFT JOIN edge ON edge.id = z.id""")
+def q_dbscan_labels(spark, sf):
+    return C.dbscan(_cust(spark, sf), ["c_acctbal", "c_nationkey"], "c_custkey", 0.12, 4)
+
+
 _NB_X = ["l_quantity", "l_discount", "l_tax"]
 
 

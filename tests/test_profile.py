@@ -86,14 +86,34 @@ def test_exact_quantiles_match_numpy(spark):
         assert q[("x", p)] == pytest.approx(float(np.quantile(v, p)))
 
 
-def test_exact_quantiles_refine_many_rounds(spark):
+def test_brackets_are_narrowed_and_widened(spark, monkeypatch):
     import numpy as np
-    from tabwright.functions.quantiles import exact_quantiles
+    from tabwright.functions import quantiles as Q
     rng = np.random.default_rng(2)
     v = np.round(rng.normal(size=5000), 4)
     v[:1700] = 0.0  # a hot value holding a third of the rows
-    df = spark.createDataFrame([("x", float(x)) for x in v], "column string, value double")
-    freq = df.groupBy("column", "value").count().withColumnRenamed("count", "n")
-    got = {r["p"]: r["q"] for r in exact_quantiles(freq, [0.05, 0.33, 0.5, 0.99], buckets=4, window_limit=20).collect()}
-    for p, q in got.items():
-        assert q == pytest.approx(float(np.quantile(v, p)))
+    w = rng.integers(-3, 3, size=5000) * 1e15
+    rows = [(float(a), None if i % 11 == 0 else float(b), 7.0, None) for i, (a, b) in enumerate(zip(v, w, strict=True))]
+    df = spark.createDataFrame(rows, "x double, y double, same double, none double").repartition(7)
+    probs = [0.0, 0.05, 0.33, 0.5, 0.99, 1.0]
+    y = np.array([r[1] for r in rows if r[1] is not None])
+    for sketch, inside in ((10_000, 4_000_000), (20, 4_000_000), (20, 50), (500, 3)):
+        monkeypatch.setattr(Q, "SKETCH", sketch)
+        monkeypatch.setattr(Q, "INSIDE", inside)
+        got = Q.quantile_dict(df, df.columns, probs)
+        assert set(got) == {(c, p) for c in ("x", "y", "same") for p in probs}
+        for c, values in (("x", v), ("y", y), ("same", np.full(5000, 7.0))):
+            for p in probs:
+                assert got[c, p] == pytest.approx(float(np.quantile(values, p))), (sketch, inside, c, p)
+    assert Q.quantile_dict(df.limit(0), ["x"], [0.5]) == {}
+
+
+def test_describe_and_unique_counts_by_type(spark):
+    from decimal import Decimal
+    big = 2**53
+    df = spark.createDataFrame([(big, Decimal("1.10"), 0.5, 1), (big + 1, Decimal("1.1"), None, 1), (None, None, 0.5, 2)],
+                               "a long, b decimal(10,2), c double, d int")
+    p = {r["column"]: r["n_unique"] for r in profile.profile(df).collect()}
+    assert p == {"a": 2, "b": 1, "c": 1, "d": 2}
+    d = {r["column"]: (r["count"], r["p50"]) for r in profile.describe_numeric(df).collect()}
+    assert d["d"] == (3, 1.0) and d["c"] == (2, 0.5)
