@@ -13,47 +13,32 @@ from pyspark.sql import functions as F
 
 
 def running_totals(df: DataFrame, key: str, cols: list[str], group: list[str] = (), bucket_rows: int = 100_000,
-                   descending: bool = False, max_groups: int = 1000) -> DataFrame:
+                   descending: bool = False) -> DataFrame:
     """Add ``cum_<c>``: sum of c over rows whose key is <= this row's key (>= when descending), per group.
 
     Ties share a value (range frame). Input should already be aggregated to one
-    row per (group, key) for tie-heavy data. Groups (classes) are handled one
-    at a time; within a group the key is cut by the two-level bucketizer of
-    ``operators.knn`` (about ``bucket_rows`` rows per bucket, bounded literals),
-    bucket totals give offsets, and the window runs inside each bucket only.
+    row per (group, key) for tie-heavy data. All groups go together: keys are cut
+    by the two-level bucketizer of ``operators.knn`` (about ``bucket_rows`` rows of
+    all groups per bucket, bounded literals), totals per (group, bucket) give
+    offsets, and the window runs inside each (group, bucket) only. Null groups and
+    any number of groups are allowed.
     """
     from tabwright.operators.knn import _bucketizer
     group = list(group)
     k = F.col(key).cast("double")
     d = df.withColumn("__k", -k if descending else k)
-    if group:
-        gs = d.select(*group).distinct().limit(max_groups + 1).collect()
-        if len(gs) > max_groups:
-            raise ValueError(f"more than {max_groups} groups")
-        parts = []
-        for g in gs:
-            cond = None
-            for c in group:
-                e = F.col(c).eqNullSafe(F.lit(g[c]))
-                cond = e if cond is None else cond & e
-            parts.append(_one_group(d.where(cond), cols, bucket_rows))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    return _one_group(d, cols, bucket_rows)
-
-
-def _one_group(d: DataFrame, cols: list[str], bucket_rows: int) -> DataFrame:
-    from tabwright.operators.knn import _bucketizer
-    bucket_of, nb = _bucketizer(d, "__k", bucket_rows)
+    bucket_of, _ = _bucketizer(d, "__k", bucket_rows)
     d = d.withColumn("__b", bucket_of(F.col("__k")))
-    tot = d.groupBy("__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
-    wo = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per bucket (rows / bucket_rows of them): the offsets window is small
-    offs = tot.select("__b", *[F.coalesce(F.sum(f"__t_{c}").over(wo), F.lit(0)).alias(f"__o_{c}") for c in cols])
-    w = Window.partitionBy("__b").orderBy("__k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = d.join(offs, "__b")
+    tot = d.groupBy(*group, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
+    # a row per bucket and group: at most rows / bucket_rows of a group
+    wo = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col("__b").alias("__ob"),
+                      *[F.coalesce(F.sum(f"__t_{c}").over(wo), F.lit(0)).alias(f"__o_{c}") for c in cols])
+    same = F.col("__b") == F.col("__ob")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    w = Window.partitionBy(*group, "__b").orderBy("__k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = d.join(offs, same)
     for c in cols:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(w) + F.col(f"__o_{c}"))
-    return out.drop("__k", "__b", *[f"__o_{c}" for c in cols])
+    return out.drop("__k", "__b", "__ob", *[f"__o_{c}" for c in cols], *[f"__g_{g}" for g in group])

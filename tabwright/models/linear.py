@@ -211,9 +211,10 @@ class Ransac(Model):
         rowh = F.xxhash64(*[F.col(c) for c in features + [label]])
         draws = F.filter(F.sequence(F.lit(0), F.lit(trials - 1)),
                          lambda t: F.pmod(F.xxhash64(rowh, t, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(frac))
-        samp = df.select(*features, label, F.explode(draws).alias("t")).collect()  # ~3(d+1) rows per trial: bounded
+        samp = (df.select(*features, label, rowh.alias("__h"), F.explode(draws).alias("t"))
+                .withColumn("__h", F.xxhash64("__h", "t")).collect())  # ~3(d+1) rows per trial: bounded
         by: dict = {}
-        for r in samp:
+        for r in sorted(samp, key=lambda r: (r["t"], r["__h"], str(r))):  # the lowest hashes, not the first to arrive
             by.setdefault(r["t"], []).append(r)
         cands = []
         for t, rows in sorted(by.items()):
@@ -253,10 +254,10 @@ class TheilSen(Model):
         rowh = F.xxhash64(*[F.col(c) for c in features + [label]], F.lit(seed))
         frac = min(1.0, n_sub * m * 1.5 / max(n, 1))
         sub = df.where(F.pmod(rowh, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(frac)).select(
-            F.pmod(F.xxhash64(rowh, F.lit(1)), F.lit(n_sub)).alias("s"), *features, label)
+            F.pmod(F.xxhash64(rowh, F.lit(1)), F.lit(n_sub)).alias("s"), rowh.alias("__h"), *features, label)
 
         def fit_one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.head(m)
+            pdf = pdf.sort_values(["__h", *features, label]).head(m)  # the lowest hashes, not the first to arrive
             if len(pdf) < m:
                 return pd.DataFrame({"s": pd.Series([], dtype="int64"), "w": pd.Series([], dtype=object)})
             X = np.column_stack([np.ones(len(pdf))] + [pdf[c].to_numpy(float) for c in features])

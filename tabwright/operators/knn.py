@@ -8,15 +8,17 @@ Plan
    inequality ``max_j |d_j(q) - d_j(x)| <= |q - x|``.
 2. The reference side is cut into ``B`` buckets of similar row counts by
    approximate quantiles of the first pivot distance (``B`` grows with the
-   data so buckets hold about ``bucket_rows`` rows).
-3. Round 1 is an equi-join on bucket id: each query meets its own bucket and
-   the two neighbouring ones (explode of three ids) - linear work, no cross
-   join. The k best candidates per query give a radius ``r``; the query is
-   *resolved* when the band ``[d1(q)-r, d1(q)+r]`` lies strictly inside the
-   buckets already searched, since every point outside is farther than ``r``.
-4. Unresolved queries are paired again with every bucket overlapping their
-   band, keeping only candidates with ``dist <= r``, and re-ranked. Both
-   rounds are exact.
+   data so buckets hold about ``bucket_rows`` rows), a bucket into strips of the
+   second pivot distance, and a strip by hash where it still holds more than
+   ``BLOCK_ROWS`` rows, so that points at one pivot distance make no large
+   block. The block index holds the range of every pivot distance in a block.
+3. Round 1 is an equi-join on bucket and strip: each query meets the blocks at
+   its own place and beside it - linear work, no cross join. The k best
+   candidates per query give a radius ``r``.
+4. Round 2 pairs a query with every other block whose box over all pivot
+   distances comes within ``r`` (found by bucket, then by the index), keeping
+   only candidates with ``dist <= r``, and the two rounds are ranked together.
+   Every point not compared is farther than ``r``: the result is exact.
 
 Distances are computed per (bucket, query chunk) block in numpy through
 ``cogroup().applyInPandas`` - bounded blocks, vectorised arithmetic - and only
@@ -105,7 +107,7 @@ def _bucketizer(r: DataFrame, col: str, bucket_rows: int, coarse: int = COARSE):
     return bucket_of, acc
 
 
-CHUNK = 2048  # query rows per (bucket, chunk) block: bounds every cogroup group
+CHUNK = 512  # query rows per (bucket, chunk) block: bounds every cogroup group
 
 
 def _block_topk(qrows: DataFrame, rrows: DataFrame, k: int, exclude_self: bool, id_types: tuple[str, str],
@@ -126,6 +128,7 @@ def _block_topk(qrows: DataFrame, rrows: DataFrame, k: int, exclude_self: bool,
     q = (qrows.join(qc, "__b")
          .withColumn("__c", F.pmod(F.xxhash64(F.col("qid")), F.col("__nchunk")).cast("int")).drop("__nchunk"))
     r = rrows.join(qc, "__b").withColumn("__c", F.explode(F.sequence(F.lit(0), F.col("__nchunk") - 1))).drop("__nchunk")
+    q = q.select(*[F.col(c).alias(c) for c in q.columns])  # other columns than those of the reference side
     qt, nt = id_types
 
     def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +146,10 @@ def _block_topk(qrows: DataFrame, rrows: DataFrame, k: int, exclude_self: bool,
         for s in range(0, len(Q_all), 256):
             Q = Q_all[s:s + 256]
             qids = qids_all[s:s + 256]
-            D = np.sqrt(((Q[:, None, :] - R[None, :, :]) ** 2).sum(-1))
+            D = np.zeros((len(Q), len(R)))
+            for j in range(Q.shape[1]):  # by coordinate: no cube of differences
+                D += (Q[:, j, None] - R[None, :, j]) ** 2
+            D = np.sqrt(D)
             if exclude_self:
                 D[qids[:, None] == nids[None, :]] = np.inf
             if radius:
@@ -164,7 +170,7 @@ def _block_topk(qrows: DataFrame, rrows: DataFrame, k: int, exclude_self: bool,
 
 
 def knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5, id_col: str = "id",
-             vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 256,
+             vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 1024,
              seed: int = 7, dedupe: bool = True) -> DataFrame:
     """Return ``(qid, nid, rank, dist)``: the k nearest reference rows of every query row.
 
@@ -270,7 +276,7 @@ def _knn_with_duplicates(df: DataFrame, k: int, id_col: str, vec_col: str, n_piv
 
 
 def _knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5, id_col: str = "id",
-              vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 256,
+              vec_col: str = "vec", exclude_self: bool = True, n_pivots: int = 4, bucket_rows: int = 1024,
               seed: int = 7) -> DataFrame:
     """Return ``(qid, nid, rank, dist)``: the k nearest reference rows of every query row.
 
@@ -290,40 +296,72 @@ def _knn_join(queries: DataFrame, reference: DataFrame | None = None, k: int = 5
     q = _with_pivots(q, pivots).withColumn("__d1", F.col("__pd")[0])
 
     bucket_of, nb = _bucketizer(r, "__d1", bucket_rows)
-    r = r.withColumn("__b", bucket_of(F.col("__d1")))
-    q = q.withColumn("__qb", bucket_of(F.col("__d1")))
-    rr = r.select("nid", F.col("__v").alias("__rv"), F.col("__pd").alias("__rpd"), "__b")
-
-    # ---- round 1: own bucket and both neighbours
+    rr, boxes, strips = _blocks(r.withColumn("__g", bucket_of(F.col("__d1"))), len(pivots))
+    q = q.withColumn("__qg", bucket_of(F.col("__d1")))
     id_types = (q.schema["qid"].dataType.simpleString(), rr.schema["nid"].dataType.simpleString())
-    q1 = q.select("qid", "__v", F.explode(F.array(F.col("__qb") - 1, F.col("__qb"), F.col("__qb") + 1)).alias("__b"))
-    pairs = _block_topk(q1, rr, k, exclude_self, id_types)
+    d2 = F.col("__pd")[min(1, len(pivots) - 1)]
+
+    # ---- round 1: of the query's bucket and both neighbours, the blocks at and beside its place on the second pivot
+    own = F.abs(F.col("__strip") - _strip(d2)) <= 1
+    near = (q.withColumn("__g", F.explode(F.array(F.col("__qg") - 1, F.col("__qg"), F.col("__qg") + 1)))
+            .join(strips, "__g"))
+    q1 = near.withColumn("__strip", F.explode(F.sequence(F.greatest(_strip(d2) - 1, F.lit(0)),
+                                                         F.least(_strip(d2) + 1, F.col("__strips") - 1))))
+    q1 = q1.join(boxes.select("__g", "__strip", "__b"), ["__g", "__strip"]).select("qid", "__v", "__b")
     w = Window.partitionBy("qid").orderBy("dist", "nid")
     # k rows per query, read twice below: materialise once instead of recomputing the blocks
-    top1 = cut_lineage(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    top1 = cut_lineage(_block_topk(q1, rr, k, exclude_self, id_types)
+                       .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
-    # radius and resolution per query: every point outside buckets qb-1..qb+1 is farther than r
-    # from q exactly when the band [d1-r, d1+r] maps into those buckets (bucket_of is monotone).
+    # ---- round 2: every other block whose box over all pivot distances comes within the k-th distance found
     kth = top1.groupBy("qid").agg(F.max("dist").alias("__r"), F.count(F.lit(1)).alias("__n"))
-    qs = q.join(kth, "qid", "left")
     full = F.coalesce(F.col("__n"), F.lit(0)) >= k
-    inside = ((bucket_of(F.col("__d1") - F.col("__r")) >= F.col("__qb") - 1)
-              & (bucket_of(F.col("__d1") + F.col("__r")) <= F.col("__qb") + 1))
-    qs = qs.withColumn("__done", full & inside)
-    done_ids = qs.where("__done").select("qid")
-    pending = qs.where(~F.col("__done")).withColumn(
-        "__rad", F.when(full, F.col("__r")).otherwise(F.lit(float("inf"))))
-
-    # ---- round 2: every bucket overlapping the band of an unresolved query
+    qs = q.join(kth, "qid", "left").withColumn("__rad", F.when(full, F.col("__r")).otherwise(F.lit(float("inf"))))
     inf = F.col("__rad") == float("inf")
-    b_lo = F.when(inf, F.lit(0)).otherwise(bucket_of(F.col("__d1") - F.col("__rad")))
-    b_hi = F.when(inf, F.lit(nb - 1)).otherwise(bucket_of(F.col("__d1") + F.col("__rad")))
-    p2q = pending.select("qid", "__v", "__rad", F.explode(F.sequence(b_lo, b_hi)).alias("__b"))
+    b_lo = F.when(inf, F.lit(0)).otherwise(bucket_of(F.col("__d1") - F.col("__rad") * (1 + EDGE)))
+    b_hi = F.when(inf, F.lit(nb - 1)).otherwise(bucket_of(F.col("__d1") + F.col("__rad") * (1 + EDGE)))
+    gap = F.array_max(F.zip_with("__pd", F.arrays_zip("__lo", "__hi"), lambda x, h: F.greatest(
+        h["__lo"] - x, x - h["__hi"], F.lit(0.0))))
+    seen = (F.abs(F.col("__g") - F.col("__qg")) <= 1) & own
+    p2q = (qs.withColumn("__g", F.explode(F.sequence(b_lo, b_hi))).join(boxes.join(strips, "__g"), "__g")
+           .where((gap <= F.col("__rad") * (1 + EDGE)) & ~seen).select("qid", "__v", "__rad", "__b"))
+    p2q = cut_lineage(p2q)
+    if p2q.isEmpty():
+        return top1.select("qid", "nid", F.col("rank").cast("int"), "dist")
     p2 = _block_topk(p2q, rr, k, exclude_self, id_types, radius=True)
-    top2 = p2.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    both = top1.drop("rank").unionByName(p2)
+    return (both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", "nid", F.col("rank").cast("int"), "dist"))
+
+
+STRIP_ROWS = 1024  # reference rows of a block, about
+BLOCK_ROWS = 4096  # and at most, by hash
+EDGE = 1e-9        # relative; bounds this near to the radius are compared
+
+
+def _strip(d2: Column) -> Column:
+    """Place of a second pivot distance among the equal-width strips of a bucket (``__lo2``, ``__w2``, ``__strips``)."""
+    at = F.when(F.col("__w2") > 0, (d2 - F.col("__lo2")) / F.col("__w2") * F.col("__strips")).otherwise(F.lit(0.0))
+    return F.least(F.greatest(F.floor(at), F.lit(0)), F.col("__strips") - 1).cast("int")
+
+
+def _blocks(r: DataFrame, n_pivots: int):
+    """Cut buckets ``__g`` into blocks: strips of the second pivot distance, and those by hash where still too large.
 
-    res1 = top1.join(done_ids, "qid", "left_semi")
-    return res1.unionByName(top2).select(F.col("qid"), F.col("nid"), F.col("rank").cast("int"), "dist")
+    Returns the rows with their block ``__b``, the block index (``__g, __strip, __b, __lo, __hi``: the range of every
+    pivot distance in the block) and the strips (``__g, __lo2, __w2, __strips``)."""
+    d2 = F.col("__pd")[min(1, n_pivots - 1)]
+    strips = r.groupBy("__g").agg(F.min(d2).alias("__lo2"), (F.max(d2) - F.min(d2)).alias("__w2"),
+                                  F.ceil(F.count(F.lit(1)) / F.lit(STRIP_ROWS)).cast("int").alias("__strips"))
+    cut = r.join(strips, "__g").withColumn("__strip", _strip(d2)).select("nid", "__v", "__pd", "__g", "__strip")
+    parts = cut.groupBy("__g", "__strip").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("__parts"))
+    name = F.concat_ws("-", "__g", "__strip", F.pmod(F.xxhash64("nid"), F.col("__parts")).cast("int"))
+    rows = cut.join(parts, ["__g", "__strip"]).withColumn("__b", name)
+    rows = cut_lineage(rows.select("nid", F.col("__v").alias("__rv"), "__pd", "__g", "__strip", "__b"))
+    low = F.array(*[F.min(F.col("__pd")[j]) for j in range(n_pivots)])
+    high = F.array(*[F.max(F.col("__pd")[j]) for j in range(n_pivots)])
+    boxes = rows.groupBy("__g", "__strip", "__b").agg(low.alias("__lo"), high.alias("__hi"))
+    return rows.select("nid", "__rv", "__b"), cut_lineage(boxes), strips
 
 
 def range_join(queries: DataFrame, reference: DataFrame | None = None, eps: float = 0.5, id_col: str = "id",

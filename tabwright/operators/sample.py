@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.columns import md5_order, md5_unit
-from tabwright.functions.ranks import select_first
+from tabwright.functions.ranks import numbered, select_first
+from tabwright.session import cut_lineage
 
 STRATIFY_MAX_CLASSES = 20  # fixed value: stratify when the target has fewer distinct values
 
@@ -64,6 +65,39 @@ def _sortkey(g):
     return tuple((v is None, v) for v in g)
 
 
+FEW_CLASSES = 10_000   # up to so many, class quotas are a dictionary on the driver; beyond, a table
+WINDOW_ROWS = 100_000  # a class of more rows is cut by hash prefixes, not sorted in one task
+
+
+def _largest_remainder_table(counts: DataFrame, n_all: int, total: int) -> DataFrame:
+    """``largest_remainder`` over a table (cls, n): adds ``q``."""
+    wide = "cast(n as decimal(19, 0)) * cast({} as decimal(19, 0))".format(total)
+    parts = cut_lineage(counts.withColumn("base", F.expr(f"({wide}) div cast({n_all} as decimal(19, 0))"))
+                        .withColumn("rem", F.expr(f"({wide}) % cast({n_all} as decimal(19, 0))")))
+    left = total - parts.agg(F.sum("base")).first()[0]
+    ranked = numbered(parts.withColumn("__neg", -F.col("rem")).withColumn("__null", F.col("cls").isNull()),
+                      ["__neg", "__null", "cls"], "rank")
+    return ranked.select("cls", "n", (F.col("base") + (F.col("rank") < left).cast("long")).alias("q"))
+
+
+def _first_of_many_classes(df: DataFrame, target: str, quota, h, tiebreaks: list[str], flag: str | None = None) -> DataFrame:
+    """The first ``q`` rows of each class in the order of ``h`` and the tie-breaks, or all rows with a ``flag``. Class
+    counts and quotas stay a distributed table; only classes of more than ``WINDOW_ROWS`` rows reach the driver."""
+    counts = cut_lineage(df.groupBy(F.col(target).alias("cls")).agg(F.count(F.lit(1)).alias("n")))
+    quotas = cut_lineage(quota(counts).select("cls", "n", "q"))
+    large = {(r["cls"],): r["q"] for r in quotas.where(F.col("n") > WINDOW_ROWS).collect()}
+    small = quotas.where(F.col("n") <= WINDOW_ROWS).select(F.col("cls").alias("__cls"), F.col("q").alias("__q"))
+    w = Window.partitionBy(target).orderBy("__h", *tiebreaks)
+    out = (df.join(small, df[target].eqNullSafe(small["__cls"])).withColumn("__h", h)
+           .withColumn("__take", F.row_number().over(w) <= F.col("__q")))
+    out = out.select(*df.columns, F.col("__take").alias(flag)) if flag else out.where("__take").select(*df.columns)
+    if large:
+        big = quotas.where(F.col("n") > WINDOW_ROWS).select(F.col("cls").alias("__cls"))
+        rows = df.join(big, df[target].eqNullSafe(big["__cls"]), "left_semi")
+        out = out.unionByName(select_first(rows, h, tiebreaks, large, [target], flag=flag))
+    return out
+
+
 def random_sample(df: DataFrame, pct: float, key: list[str], tiebreaks: list[str] = (), seed: int = 42) -> DataFrame:
     """Exactly int(rows * pct / 100) rows: the smallest md5(key|seed) values. pct >= 100 is a no-op."""
     if pct >= 100:
@@ -89,8 +123,11 @@ def train_test_split(df: DataFrame, key: list[str], train_size: float = 0.8, tar
                      tiebreaks: list[str] = (), seed: int = 123, flag: str = "is_train") -> DataFrame:
     """Flag exactly floor(rows*train_size) rows as training (stratified by ``target`` when given)."""
     if target:
-        if n_classes_capped(df, target, 10_000) > 10_000:
-            raise ValueError(f"target {target!r} has more than 10000 classes")
+        if n_classes_capped(df, target, FEW_CLASSES) > FEW_CLASSES:
+            def shares(counts):
+                total = counts.agg(F.sum("n")).first()[0]
+                return _largest_remainder_table(counts, total, int(math.floor(total * train_size)))
+            return _first_of_many_classes(df, target, shares, md5_order(key, seed), list(tiebreaks), flag)
 
         def quotas(counts):
             return largest_remainder(counts, int(math.floor(sum(counts.values()) * train_size)))
@@ -108,8 +145,10 @@ def kfold(df: DataFrame, key: list[str], k: int = 5, seed: int = 123, col: str =
 
 def undersample(df: DataFrame, target: str, key: list[str], tiebreaks: list[str] = (), seed: int = 42) -> DataFrame:
     """Random undersampling: every class keeps as many rows as the smallest class."""
-    if n_classes_capped(df, target, 10_000) > 10_000:
-        raise ValueError(f"target {target!r} has more than 10000 classes")
+    if n_classes_capped(df, target, FEW_CLASSES) > FEW_CLASSES:
+        def smallest(counts):
+            return counts.withColumn("q", F.lit(counts.agg(F.min("n")).first()[0]))
+        return _first_of_many_classes(df, target, smallest, md5_order(key, seed), list(tiebreaks))
 
     def quotas(counts):
         m = min(counts.values()) if counts else 0

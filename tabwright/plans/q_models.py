@@ -271,3 +271,22 @@ def q_lda(spark, sf):
     names = F.array(*[F.lit(c) for c in f.classes])
     return f.transform(li).select(*LINEITEM_KEY, F.round("l_extendedprice", 2).alias("l_extendedprice"),
                                   F.element_at(names, F.col("prediction").cast("int") + 1).alias("prediction"))
+
+
+@register("rfe_lineitem")
+def q_rfe(spark, sf):
+    """Two of four features kept by recursive elimination, as (feature, kept)."""
+    from tabwright.operators.select_model import rfe
+    li = table(spark, sf, "lineitem")
+    x = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    kept = rfe(li, x, "l_extendedprice", 2, classification=False)
+    return spark.createDataFrame([(c, c in kept) for c in x], "feature string, kept boolean")
+
+
+@register("et_predict_lineitem")
+def q_extra_trees(spark, sf):
+    """Extremely randomised trees on all rows: predicted price beside the price."""
+    from tabwright.models.catalog import get_model
+    li = table(spark, sf, "lineitem")
+    f = get_model("regression", "et").with_params(numTrees=20).fit(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return rounded(f.transform(li).select(*LINEITEM_KEY, "l_extendedprice", "prediction"))

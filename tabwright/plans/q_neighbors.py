@@ -86,14 +86,22 @@ def q_hbos(spark, sf):
     return rounded(anomaly.hbos(c, _HB_COLS, bins=10, id_col="id"))
 
 
-@register("smote_counts_customer", """
+_OVERSAMPLED = """
 WITH c AS (SELECT CAST(c_acctbal > 9000 AS INTEGER) AS y, count(*) AS n FROM customer GROUP BY 1)
 SELECT y, false AS synthetic, n FROM c
-UNION ALL SELECT y, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")
-def q_smote(spark, sf):
-    c = table(spark, sf, "customer").withColumn("y", (F.col("c_acctbal") > 9000).cast("int"))
-    s = neighbors.smote(c, "y", ["c_acctbal", "c_nationkey"], "c_custkey")
-    return s.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+UNION ALL SELECT y, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)"""
+
+
+def _oversampled(method):
+    def q(spark, sf):
+        c = table(spark, sf, "customer").withColumn("y", (F.col("c_acctbal") > 9000).cast("int"))
+        s = neighbors.smote(c, "y", ["c_acctbal", "c_nationkey"], "c_custkey", method=method)
+        return s.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    return q
+
+
+for _m in ("smote", "adasyn", "borderline"):
+    register(f"{_m}_counts_customer", _OVERSAMPLED)(_oversampled(_m))
 
 
 _AN_X = ["c_acctbal", "c_nationkey"]

@@ -152,3 +152,47 @@ QUALIFY rank <= 5""")
 def q_value_counts_conversations(spark, sf):
     return P.value_counts(table(spark, sf, "conversations").select("role"))
 
+
+# fixed values: names of the same types in DuckDB
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+
+
+@register("dtype_counts_lineitem", "SELECT CASE column_type " + " ".join(
+    f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items())
+    + " END AS dtype, CAST(count(*) AS INTEGER) AS n_columns FROM (DESCRIBE SELECT * FROM lineitem) GROUP BY 1")
+def q_dtype_counts(spark, sf):
+    return P.dtype_counts(table(spark, sf, "lineitem"))
+
+
+_SUMMARY_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+# the summary's values are text; numbers in it are compared as numbers
+@register("data_summary_values_orders", f"""
+WITH d AS ({_describe_sql("SELECT * FROM orders", _SUMMARY_NUM)}),
+f AS (SELECT 'o_orderstatus' AS key, o_orderstatus AS item, count(*) AS n FROM orders GROUP BY ALL
+  UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY ALL)
+SELECT 'shape' AS section, 'rows' AS key, '' AS item, count(*)::DOUBLE AS value FROM orders
+UNION ALL SELECT 'shape', 'columns', '', (SELECT count(*) FROM (DESCRIBE SELECT * FROM orders))::DOUBLE
+UNION ALL SELECT 'describe', "column", unnest(['count','mean','std','min','p25','p50','p75','max']),
+  unnest([round(count::DOUBLE, 4), round(mean, 4), round(std, 4), round(min, 4), round(p25, 4), round(p50, 4), round(p75, 4),
+          round(max, 4)]) FROM d
+UNION ALL SELECT 'value_counts', key, item, n::DOUBLE FROM f
+  WHERE item IS NOT NULL AND key IN (SELECT key FROM f GROUP BY key HAVING count(*) <= 10)
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, item) <= 5""")
+def q_data_summary_values(spark, sf):
+    from pyspark.sql import functions as F
+    s = P.data_summary(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                                         "o_orderdate", "o_orderpriority"))
+    return s.where("section <> 'types'").withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
+# fixed values: untidy names and what they become
+_UNTIDY = {"c_custkey": " Cust Key ", "c_name": "Cust-Key", "c_nationkey": "Nation (Key)", "c_acctbal": "2nd balance %"}
+
+
+@register("clean_names_customer", None)
+def q_clean_names(spark, sf):
+    from tabwright.functions.names import clean_column_names
+    c = table(spark, sf, "customer").select(*_UNTIDY)
+    return clean_column_names(c.toDF(*_UNTIDY.values()))

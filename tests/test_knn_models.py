@@ -117,3 +117,26 @@ def test_knn_against_reference_with_duplicates(spark):
         for r, j in enumerate(order):
             nid, dist = got[(1000 + i, r + 1)]
             assert nid == j or abs(dist - D[i, j]) < 1e-9
+
+
+def test_blocks_stay_small_at_one_pivot_distance(spark, monkeypatch):
+    """Points that all have one distance to the first pivots still lie in blocks of bounded size."""
+    from pyspark.sql import functions as F
+    from tabwright.operators import knn as K
+    monkeypatch.setattr(K, "STRIP_ROWS", 40)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 50)
+    same = spark.range(1000).select(F.col("id").alias("nid"), F.array(F.lit(0.0)).alias("__v"),
+                                    F.array(F.lit(1.0), F.lit(2.0)).alias("__pd"), F.lit(0).alias("__g"))
+    rows, boxes, _ = K._blocks(same, 2)
+    sizes = [r["count"] for r in rows.groupBy("__b").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 150 and len(sizes) == boxes.count() == 20
+    rng = np.random.default_rng(4)
+    angle = rng.uniform(0, 2 * np.pi, 700)
+    x = np.concatenate([[[0.0, 0.0]], np.stack([np.cos(angle), np.sin(angle)], 1)])  # a circle around one point
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, vec array<double>")
+    got = {(r["qid"], r["rank"]): r["dist"] for r in knn_join(df, k=3, bucket_rows=64).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :3]
+    assert len(got) == len(x) * 3
+    assert all(abs(got[i, j + 1] - want[i, j]) < 1e-9 for i in range(len(x)) for j in range(3))

@@ -89,3 +89,47 @@ def test_stratified_with_null_stratum_and_deep_refinement(spark):
     pdf = df.withColumn("h", md5_order(["id"], 5)).toPandas()
     first0 = set(pdf[pdf.y == "0"].sort_values("h").id[:1234])
     assert set(r.id for r in s.where("y = '0'").collect()) == first0
+
+
+def test_many_classes(spark, monkeypatch):
+    """More classes than the driver's dictionary holds: the same rows as by the dictionary."""
+    from pyspark.sql import functions as F
+    from tabwright.operators import sample as S
+    df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 53 == 0, None).otherwise(F.col("id") % 53 % 40).alias("y"))
+    few = [sorted(map(tuple, f(df).collect())) for f in (
+        lambda d: S.train_test_split(d, ["id"], 0.7, "y"), lambda d: S.undersample(d, "y", ["id"]))]
+    monkeypatch.setattr(S, "FEW_CLASSES", 10)
+    for limit in (100_000, 60):  # 60: some classes are cut by hash prefixes
+        monkeypatch.setattr(S, "WINDOW_ROWS", limit)
+        many = [sorted(map(tuple, f(df).collect())) for f in (
+            lambda d: S.train_test_split(d, ["id"], 0.7, "y"), lambda d: S.undersample(d, "y", ["id"]))]
+        assert many == few
+    monkeypatch.setattr(S, "FEW_CLASSES", 10_000)
+    monkeypatch.setattr(S, "WINDOW_ROWS", 100_000)
+    wide = spark.range(150_000).select("id", (F.col("id") % 50_000).alias("y"))
+    flags = S.train_test_split(wide, ["id"], 0.5, "y").groupBy("is_train").count().collect()
+    assert {r[0]: r[1] for r in flags} == {True: 75_000, False: 75_000}
+
+
+def test_auc_of_thousands_of_classes(spark):
+    from pyspark.sql import functions as F
+    from tabwright.operators.metrics import auc
+    n = 5000
+    scores = spark.range(n * 6).select((F.col("id") % n).cast("string").alias("cls"), (F.col("id") / n).cast("int").alias("j"))
+    scores = scores.select("cls", (F.col("j") + 0.0).alias("score"), (F.col("j") >= 3).alias("is_pos"))
+    scores = scores.union(spark.createDataFrame([(None, 1.0, True), (None, 1.0, False)], scores.schema))
+    got = auc(scores, group=["cls"])
+    assert got.count() == n + 1
+    assert {r["auc"] for r in got.where("cls is not null").select("auc").distinct().collect()} == {1.0}
+    assert got.where("cls is null").first()["auc"] == 0.5
+
+
+def test_robust_fits_do_not_mind_the_order(spark):
+    from pyspark.sql import functions as F
+    from tabwright.models.catalog import get_model
+    df = spark.range(400).select((F.col("id") * 1.0).alias("x"), (F.col("id") * 2.0 + F.col("id") % 7
+                                                                + F.when(F.col("id") % 11 == 0, 500).otherwise(0)).alias("y"))
+    for m in ("ransac", "tr"):
+        fits = [get_model("regression", m).fit(d, ["x"], "y") for d in (
+            df.repartition(3), df.repartition(11, "y"), df.orderBy(F.desc("x")).coalesce(1))]
+        assert all(list(f.coef) == list(fits[0].coef) and f.intercept == fits[0].intercept for f in fits), m
