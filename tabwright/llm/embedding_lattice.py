@@ -47,6 +47,12 @@ def _roots(limit: int) -> np.ndarray:
     return v[(v != 0).any(1)]
 
 
+def unit(e: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; by their largest component first, so that no square overflows or vanishes."""
+    e = e / np.abs(e).max(axis=1, keepdims=True)
+    return e / np.linalg.norm(e, axis=1, keepdims=True)
+
+
 def decode_e8(x: np.ndarray) -> np.ndarray:
     """Nearest E8 point of every row, doubled to integers: the better of the nearest points of D8 and D8 + 1/2."""
     def d8(y):
@@ -209,7 +215,7 @@ def _component(distinct: DataFrame, dim: int, cosine: float, cell: float, block_
                 label, node, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
                 raw = batch.column(3).to_pylist()
                 e = np.frombuffer(b"".join(raw), packed).reshape(len(batch), dim).astype(np.float64)
-                x = lat.project(e / np.linalg.norm(e, axis=1, keepdims=True))
+                x = lat.project(unit(e))
                 for t, lo in itertools.product(range(lat.tables), range(0, len(x), 512)):
                     row, cells = lat.cells(x[lo:lo + 512, t])
                     row = row + lo
@@ -241,7 +247,7 @@ def _component(distinct: DataFrame, dim: int, cosine: float, cell: float, block_
 
     def compare(t, key, b1, b2, b, node, copies, raw):
         e = np.frombuffer(b"".join(raw), packed).reshape(len(node), dim).astype(np.float64)
-        x = e / np.linalg.norm(e, axis=1, keepdims=True)
+        x = unit(e)
         if b1 == b2:
             i, j = _links(lat, t, key, x, None)
         else:

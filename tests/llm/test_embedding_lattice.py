@@ -74,3 +74,12 @@ def test_odd_rows(spark):
     assert none.count() == 0 and none.columns == ["vec_id", "n_links", "component_id", "kept"]
     again = L.near_duplicates(spark.createDataFrame([(1, e, 1), (1, e, 1), (None, e, 1)], SCHEMA)).collect()
     assert [(r.n_links, r.component_id) for r in again] == [(2, 1)] * 3
+
+
+def test_extreme_magnitudes(spark):
+    """Finite components whose squares overflow or vanish link like any others."""
+    rows = [(1, [1e200, 2e200, 3e200], 1), (2, [1e-200, 2.001e-200, 3e-200], 1), (3, [1.0, 2.0, 3.0], 1),
+            (4, [1e300, -2e300, 1e300], 1), (5, [5e-324, -1e-323, 5e-324], 1), (6, [1e308, 1e-308, 0.0], 1)]
+    got = L.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {
+        1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
