@@ -353,6 +353,7 @@ def _blocks(r: DataFrame, n_pivots: int):
     d2 = F.col("__pd")[min(1, n_pivots - 1)]
     strips = r.groupBy("__g").agg(F.min(d2).alias("__lo2"), (F.max(d2) - F.min(d2)).alias("__w2"),
                                   F.ceil(F.count(F.lit(1)) / F.lit(STRIP_ROWS)).cast("int").alias("__strips"))
+    strips = _fresh(cut_lineage(strips))
     cut = r.join(strips, "__g").withColumn("__strip", _strip(d2)).select("nid", "__v", "__pd", "__g", "__strip")
     parts = cut.groupBy("__g", "__strip").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("__parts"))
     name = F.concat_ws("-", "__g", "__strip", F.pmod(F.xxhash64("nid"), F.col("__parts")).cast("int"))
@@ -361,7 +362,12 @@ def _blocks(r: DataFrame, n_pivots: int):
     low = F.array(*[F.min(F.col("__pd")[j]) for j in range(n_pivots)])
     high = F.array(*[F.max(F.col("__pd")[j]) for j in range(n_pivots)])
     boxes = rows.groupBy("__g", "__strip", "__b").agg(low.alias("__lo"), high.alias("__hi"))
-    return rows.select("nid", "__rv", "__b"), cut_lineage(boxes), strips
+    return _fresh(rows.select("nid", "__rv", "__b")), _fresh(cut_lineage(boxes)), _fresh(strips)
+
+
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new ids: tables of one origin are joined with each other below."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
 def range_join(queries: DataFrame, reference: DataFrame | None = None, eps: float = 0.5, id_col: str = "id",

@@ -188,10 +188,11 @@ def q_data_summary_values(spark, sf):
 
 
 # fixed values: untidy names and what they become
-_UNTIDY = {"c_custkey": " Cust Key ", "c_name": "Cust-Key", "c_nationkey": "Nation (Key)", "c_acctbal": "2nd balance %"}
+_UNTIDY = {"c_custkey": " Cust Key ", "c_name": "cust key!", "c_nationkey": "Nation (Key)", "c_acctbal": "2nd balance %"}
 
 
-@register("clean_names_customer", None)
+@register("clean_names_customer", "SELECT c_custkey AS cust_key, c_name AS cust_key_1, c_nationkey AS nation_key, "
+          "c_acctbal AS col_2nd_balance FROM customer")
 def q_clean_names(spark, sf):
     from tabwright.functions.names import clean_column_names
     c = table(spark, sf, "customer").select(*_UNTIDY)
