@@ -1,11 +1,7 @@
 """Model-based imputation: k nearest neighbours and iterative (chained) regression.
 
-kNN: rows are grouped by their pattern of missing columns (few patterns in
-practice; each pattern is one kNN join). A row's donors are rows where every
-column it needs is present; distance is Euclidean over the columns the row has,
-and each missing value becomes the mean of its k donors' values. (Donors with
-their own gaps in those columns are not used - a stricter rule than a
-NaN-aware distance.)
+kNN: every gap becomes the mean of the k nearest donors' values, by the distance on the columns that row and donor
+share (``masked_knn``); donors may have gaps of their own.
 
 Iterative: start from column means, then for a fixed number of rounds refit,
 for every column with gaps, a Bayesian ridge regression on the other columns
@@ -16,51 +12,42 @@ originally missing entries with its predictions. Lineage is cut every round.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.linalg import gram, linear
 from tabwright.models.linear import _centered, bayes_ridge
-from tabwright.operators.knn import knn_join
+from tabwright.operators.masked_knn import gap_means, vector
 from tabwright.session import cut_lineage
 
 
-def knn_impute(df: DataFrame, features: list[str], id_col: str, k: int = 5, donors: DataFrame | None = None) -> DataFrame:
-    """Fill the gaps of ``df``; donors are rows of ``donors`` (default: of ``df`` itself) that have all columns needed.
+def knn_impute(df: DataFrame, features: list[str], id_col: str | None = None, k: int = 5,
+               donors: DataFrame | None = None) -> DataFrame:
+    """Fill the gaps of ``df`` (null or NaN) from rows of ``donors`` (default: of ``df`` itself).
 
-    A gap without any donor gets the column's mean over the donors' table.
+    A gap becomes the mean of the ``k`` nearest donors that have its column and share a known one with the row (fewer
+    donors: of all of them; none: the column's mean over the donors; a column without any value stays null). Ties at the
+    k-th distance are won by the smaller values, repeated donors count as often as they come. All rows and other
+    columns are kept; rows need no id (``id_col`` is accepted and not read).
     """
-    source = df if donors is None else donors
-    means = source.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features]).first()
-    flags = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in features])
-    d = df.withColumn("__pat", flags)
-    patterns = [r["__pat"] for r in d.select("__pat").distinct().collect()]  # at most 2^d, usually a handful
-    complete = "0" * len(features)
-    parts = [d.where(F.col("__pat") == complete).drop("__pat")]
-    for pat in patterns:
-        if pat == complete:
-            continue
-        miss = [c for c, b in zip(features, pat) if b == "1"]
-        have = [c for c, b in zip(features, pat) if b == "0"]
-        rows = d.where(F.col("__pat") == pat)
-        if not have:
-            parts.append(rows.drop("__pat").select(*[
-                F.coalesce(F.col(c), F.lit(means[c]).cast(df.schema[c].dataType)).alias(c) if c in miss
-                else F.col(c) for c in df.columns]))
-            continue
-        full = source.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in miss + have]))
-        q = rows.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in have]).alias("vec"))
-        r = full.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in have]).alias("vec"))
-        nb = knn_join(q, r, k, "id", "vec", exclude_self=False)
-        dv = full.select(F.col(id_col).alias("nid"), *[F.col(c).alias(f"__d_{c}") for c in miss])
-        fills = nb.join(dv, "nid").groupBy("qid").agg(*[F.avg(f"__d_{c}").alias(f"__f_{c}") for c in miss])
-        filled = rows.drop("__pat").join(fills.withColumnRenamed("qid", id_col), id_col, "left")
-        parts.append(filled.select(*[
-            F.coalesce(F.col(c), F.col(f"__f_{c}"), F.lit(means[c])).cast(df.schema[c].dataType).alias(c)
-            if c in miss else F.col(c) for c in df.columns]))
-    return reduce(DataFrame.unionByName, parts)
+    source = (df if donors is None else donors).select(vector(features).alias("vec"))
+    at = [F.get("vec", F.lit(i)) for i in range(len(features))]
+    stats = source.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(at)],
+                       *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(at)]).first()
+    holed = df.withColumn("__vec", vector(features))
+    hole = F.exists("__vec", lambda v: v.isNull())
+    fills = gap_means(holed.where(hole).select(F.col("__vec").alias("vec")), source, k,
+                      [stats[f"s{i}"] for i in range(len(features))])
+    gaps = holed.where(hole)
+    if fills is None:
+        gaps = gaps.withColumn("__fills", F.lit(None).cast("map<int,double>"))
+    else:
+        gaps = gaps.join(fills.select(F.col("vec").alias("__vec"), F.col("fills").alias("__fills")), "__vec", "left")
+    filled = {c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)),
+                            F.try_element_at("__fills", F.lit(i)).cast(df.schema[c].dataType),
+                            F.lit(stats[f"m{i}"]).cast(df.schema[c].dataType)) for i, c in enumerate(features)}
+    return df.where(~F.exists(vector(features), lambda v: v.isNull())).unionByName(
+        gaps.withColumns(filled).select(*df.columns))
 
 
 def fit_iterative(df: DataFrame, features: list[str], rounds: int = 10, tol: float = 1e-3) -> FittedIterative:
@@ -143,10 +130,7 @@ class FittedKnn:
     k: int = 5
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rid = F.md5(F.to_json(F.struct(*self.key)))
-        out = knn_impute(df.withColumn("__rid", rid), self.features, "__rid", self.k,
-                         self.donors.withColumn("__rid", rid))
-        return out.drop("__rid")
+        return knn_impute(df, self.features, k=self.k, donors=self.donors)
 
     @property
     def fills(self) -> dict:

@@ -17,7 +17,7 @@ from tabwright.plans.experiment import Experiment
 from tabwright.plans.registry import register, rounded
 from tabwright.plans.search import hints, tune
 from tabwright.plans.sqlgen import rnd
-from tabwright.sources.tables import LINEITEM_KEY, table
+from tabwright.sources.tables import LINEITEM_KEY, sql_lineitem_with_nulls, table
 
 _LI_COLS = [*LINEITEM_KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
@@ -147,10 +147,36 @@ def _li_nulls_id(spark, sf):
         "rid", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-@register("impute_knn_lineitem")
+def _knn_fill_sql(cols: list[str], key: list[str], k: int) -> str:
+    """Every row with a gap against all rows, by the distance on the columns both have."""
+    both = [f"(g.{c} IS NOT NULL AND o.{c} IS NOT NULL)" for c in cols]
+    total = " + ".join(f"CASE WHEN {b} THEN (g.{c} - o.{c}) * (g.{c} - o.{c}) ELSE 0 END" for b, c in zip(both, cols))
+    shared = " + ".join(f"CAST({b} AS INT)" for b in both)
+    near = [f"min({{'d': dist, 'v': o_{c}}}, {k}) FILTER (g_{c} IS NULL AND o_{c} IS NOT NULL) AS n_{c}" for c in cols]
+    fill = [f"round(coalesce(t.{c}, list_avg(list_transform(n_{c}, lambda x: x.v)), (SELECT avg({c}) FROM t)), 4) AS {c}"
+            for c in cols]
+    gap = " OR ".join(f"{c} IS NULL" for c in cols)
+    return f"""
+WITH t AS ({sql_lineitem_with_nulls()}),
+g AS (SELECT DISTINCT {", ".join(cols)} FROM t WHERE {gap}),
+p AS (SELECT {", ".join(f"g.{c} AS g_{c}, o.{c} AS o_{c}" for c in cols)},
+             ({total}) * {float(len(cols))}::DOUBLE / ({shared}) AS dist
+      FROM g JOIN t AS o ON ({shared}) > 0),
+f AS (SELECT {", ".join(f"g_{c}" for c in cols)}, {", ".join(near)} FROM p GROUP BY {", ".join(f"g_{c}" for c in cols)})
+SELECT {", ".join(f"t.{c}" for c in key)}, {", ".join(fill)}
+FROM t LEFT JOIN f ON {" AND ".join(f"t.{c} IS NOT DISTINCT FROM f.g_{c}" for c in cols)}
+"""
+
+
+_KNN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("impute_knn_lineitem", _knn_fill_sql(_KNN_COLS, LINEITEM_KEY, 5))
 def q_impute_knn(spark, sf):
     from tabwright.operators.impute_model import knn_impute
-    return knn_impute(_li_nulls_id(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "rid")
+    from tabwright.sources.tables import lineitem_with_nulls
+    li = lineitem_with_nulls(spark, sf).select(*LINEITEM_KEY, *_KNN_COLS)
+    return rounded(knn_impute(li, _KNN_COLS), 4)
 
 
 @register("impute_iterative_lineitem")
