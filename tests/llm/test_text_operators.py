@@ -148,6 +148,40 @@ def test_page_text(html, text):
     assert W.Page(html).text(frozenset()) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<article>a<section id=discussion>d</section><section id='related-work'>r</section><h2 id=search>h</h2><h2 id=banner-1>b"
+     "</h2><span class=share>s</span><div class=notice-board>n</div></article>", "a d r h b s n"),
+    ("<article>a<div class=discussion>d</div><div class='share-buttons'>s</div><div id=newsletter-signup>n</div>"
+     "<div class='post-body related-posts'>r</div><div class=NoticeBox>x</div></article>", "a"),
+    ("<article>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</article>", "so x=2 holds"),
+    ("<article><ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>p<b>q<div>r</div></article>", "a b c d pq r"),
+])
+def test_names_inside_an_article(html, text):
+    assert W.Page(html).text(frozenset()) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 20_000 + "</p>" * 20_000, "<div class=ad>" * 20_000 + "x", "<div>" * 20_000 + "<li></li>" * 20_000,
+    "<ul><li>" + "<ul><div>" * 10_000 + "<li></li>" * 20_000, "<article>" * 20_000 + "x"])
+def test_open_elements_cost_no_square(html):
+    import time
+    t = time.process_time()
+    p = W.Page(html)
+    p.subtrees(), p.text(frozenset()), p.article_hash()
+    assert time.process_time() - t < 2
+
+
+def test_articles_under_several_addresses_and_shared_tables(spark):
+    body = "<article><h1>Title</h1><div>The body of this article</div><section>And more of it</section></article>"
+    rows = [(i, f"http://mirror.example/{i}", f"<body>{body}<footer>seen {i} times</footer></body>") for i in range(5)]
+    table = "<div><table><tr><td>1<td>2</table></div>"
+    rows += [(100 + i, f"http://data.example/{i}", f"<article><p>part {i}</p>{table}<div>Follow us</div></article>")
+             for i in range(6)]
+    got = W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got if r.page_id < 100} == {"Title The body of this article And more of it"}
+    assert all(r.text == f"part {r.page_id - 100} 1 2" for r in got if r.page_id >= 100)
+
+
 def test_op6_is_the_article(spark):
     from html import unescape
     for r in QUERIES["op6_html_template"](spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"),
