@@ -4,7 +4,7 @@ be skipped by any of those dimensions. DataFrame functions only.
 Each dimension is quantised to ``2**bits`` cells by its quantiles, the cells' Hilbert index orders the rows (ties:
 doc_id, size and checksum of the text), and the order is cut into runs. The order comes from one range shuffle of
 narrow rows (no text); a row's place is its partition's count of rows before plus its place there, so no window
-runs over all rows and a hot value is split like any other.
+runs over all rows; a hot value is split by the columns after it, rows equal in all of them are not.
 """
 
 from __future__ import annotations
@@ -17,10 +17,24 @@ from tabwright.llm.common import written
 BITS = 4
 
 
-def order_key(c: Column) -> Column:
-    """A number in the order of a string's first six UTF-8 bytes (null: -1)."""
-    six = F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 12), 12, "0")
-    return F.coalesce(F.conv(six, 16, 10).cast("long"), F.lit(-1).cast("long"))
+def string_cuts(df: DataFrame, c: str, bits: int = BITS) -> list[str]:
+    """At most ``2**bits - 1`` strings that cut the rows of ``df`` into runs of about equal count in the UTF-8 byte order
+    of column ``c``, each counted by its whole value; nulls count as the lowest.
+
+    Distinct values and their counts are sorted by one range shuffle; a value's place is its partition's rows before
+    plus those before it there, and only the cuts reach the driver."""
+    counts = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
+    placed = written(counts.repartitionByRange(F.asc_nulls_first("value")).sortWithinPartitions(F.asc_nulls_first("value"))
+                     .withColumn("part", F.spark_partition_id()), "string-places")
+    parts = placed.groupBy("part").agg(F.sum("n").alias("in_part"))
+    starts = parts.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    inside = Window.partitionBy("part").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.withColumn("upto", F.sum("n").over(inside)).join(starts, "part").select(
+        "value", (F.col("before") + F.col("upto")).alias("upto"))
+    wanted = [-(-total * i // (1 << bits)) for i in range(1, 1 << bits)]
+    found = upto.agg(*[F.min(F.when(F.col("upto") >= w, F.col("value"))).alias(f"c{i}") for i, w in enumerate(wanted)]).first()
+    return sorted({v for v in found if v is not None})
 
 
 def hilbert(df: DataFrame, dims: list[str], bits: int, out: str) -> DataFrame:
@@ -58,12 +72,17 @@ def hilbert(df: DataFrame, dims: list[str], bits: int, out: str) -> DataFrame:
 
 
 def quantise(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """Replace numeric columns by the number of the column's quantile cuts below the value (0..2**bits - 1).
+    """Replace columns by the number of the column's quantile cuts below the value (0..2**bits - 1).
 
-    The cuts, ``2**bits - 1`` constants a column, come from one mergeable sketch over all rows; null is cell 0.
+    The cuts, ``2**bits - 1`` constants a column, come from one mergeable sketch over all rows for numbers and from
+    ``string_cuts`` for strings; null is cell 0.
     """
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = df.agg(*[F.percentile_approx(d, steps, 10_000).alias(d) for d in dims]).first()
+    texts = [d for d in dims if df.schema[d].dataType.simpleString() == "string"]
+    found = {d: string_cuts(df, d, bits) for d in texts}
+    numbers = [d for d in dims if d not in texts]
+    if numbers:
+        found |= df.agg(*[F.percentile_approx(d, steps, 10_000).alias(d) for d in numbers]).first().asDict()
     cells = {}
     for d in dims:
         cell = F.lit(0)
@@ -79,15 +98,15 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
 
     Law ``rows``: the shards' row counts differ by one at most. Columns: doc_id, size (UTF-8 bytes of the text plus
     1; null text: none), text_crc32 (of the UTF-8 bytes), law, shard, slot (without gaps from 0), grown_shard (null),
-    hilbert (the curve index). Null ids, languages and sources have a cell of their own at the low end; repeated
-    rows take places next to each other; an empty table gives none. Other columns are not read.
+    hilbert (the curve index). Null ids, languages and sources are at the low end; repeated rows take places next to each
+    other; an empty table gives none. Other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = written(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d_id"),
-        order_key(F.col("source").cast("string")).alias("d_source"),
-        order_key(F.col("lang").cast("string")).alias("d_lang"),
+        F.col("source").cast("string").alias("d_source"),
+        F.col("lang").cast("string").alias("d_lang"),
         F.octet_length(text).cast("long").alias("d_size")), "shard-rows")
     dims = ["d_lang", "d_source", "d_size", "d_id"]
     keyed = hilbert(quantise(narrow, dims, bits), dims, bits, "hilbert")

@@ -314,6 +314,17 @@ def test_hilbert_walks_by_single_steps(spark):
         assert all(sum(abs(p - q) for p, q in zip(a, b, strict=True)) == 1 for (_, a), (_, b) in itertools.pairwise(walk))
 
 
+def test_long_prefixes_are_told_apart(spark):
+    rows = [(f"https://www.example.org/{i % 20:02d}",) for i in range(200)] + [(None,)] * 50 + [("https://é",)] * 3
+    df = spark.createDataFrame(rows, "s string")
+    cuts = H.string_cuts(df.repartition(5), "s", 2)
+    ordered = sorted((r[0] or "").encode() for r in rows)
+    assert [c.encode() for c in cuts] == sorted({ordered[-(-len(rows) * i // 4) - 1] for i in (1, 2, 3)} - {b""})
+    cells = collections.Counter(r.s for r in H.quantise(df, ["s"], 2).collect())
+    assert set(cells) == {0, 1, 2, 3} and max(cells.values()) < 80
+    assert H.string_cuts(df.limit(0), "s") == []
+
+
 def test_shards(spark, tmp_path):
     rows = [(i, f"text {i % 3}" * (i % 40), "en" if i % 3 else "de", f"src{i % 7}") for i in range(500)]
     rows += [(7, "hot", "en", "src0")] * 60 + [(None, None, None, None)] * 3 + [(1000, "", "", "")]
