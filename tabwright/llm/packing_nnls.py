@@ -124,17 +124,18 @@ def pack(lengths: np.ndarray, window: int = WINDOW, width: int = BIN):
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 1,
-                   width: int = BIN, group_ids: int = GROUP_IDS) -> DataFrame:
+                   width: int = BIN, group_ids: int = GROUP_IDS, with_ids: bool = True) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``window`` ids; a row per piece.
 
     A document is its text's ids and ``end_id``, so null and empty texts hold one id. Columns: doc_id, start (the
     document's ids before the piece), length, ids_crc32 (of the piece's ids as little-endian uint32), doc_tokens,
-    sequence_id, offset (of the piece in its sequence, without gaps from 0), ids (binary, the piece itself).
+    sequence_id, offset (of the piece in its sequence, without gaps from 0), ids (binary, the piece itself; left out
+    where ``with_ids`` is false, so that the pieces needn't leave their task).
     Every id of every row lies in exactly one piece; repeated rows are packed as often as they come. Only doc_id
     and text are read. Sequence ids are unique, not without gaps: task, group and sequence number.
     """
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in (
-        "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    schema = pa.schema([*((c, pa.int64()) for c in names), *([("ids", pa.binary())] if with_ids else [])])
 
     def groups(batches):
         enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
@@ -159,11 +160,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
                      for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
             cols = [pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array(start), pa.array(length),
                     pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(lengths[doc]),
-                    pa.array(seq + seq0), pa.array(offset), pa.array(parts, pa.binary())]
+                    pa.array(seq + seq0), pa.array(offset), *([pa.array(parts, pa.binary())] if with_ids else [])]
             for lo in range(0, len(doc), 10_000):
                 yield pa.RecordBatch.from_arrays([c.slice(lo, 10_000) for c in cols], schema=schema)
             seq0 += int(seq.max(initial=-1)) + 1
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-             "ids binary"))
+        run, ", ".join(f"{c} long" for c in names) + (", ids binary" if with_ids else "")))

@@ -71,7 +71,7 @@ def op1_embedding_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2,048 tokens: a row per piece."""
     from tabwright.llm.packing_nnls import pack_documents
-    return pack_documents(table(spark, sf_dir, "documents"), bpe_path(), window=2048, end_id=1).drop("ids")
+    return pack_documents(table(spark, sf_dir, "documents"), bpe_path(), window=2048, end_id=1, with_ids=False)
 
 
 @register("op9_hilbert_shards")
