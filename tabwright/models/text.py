@@ -3,24 +3,23 @@
 
 Words are runs of letters and digits of any script, lower-cased, without stop words and words of one character.
 Every word of the whole text counts: there is no vocabulary list on the driver and, unless ``min_df`` or
-``max_terms`` ask for it, no cut. lsi, nmf and rp work on the sparse table (document, term, count): a
-matrix product is a join of that table with one factor and a sum by the other key, and only k x k matrices reach
-the driver. lda hashes the words to ``1 << LDA_BITS`` columns.
+``max_terms`` ask for it, no cut. All work on the sparse table (document, term, count): a matrix product is a join of
+that table with one factor and a sum by the other key, and only k x k matrices reach the driver.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import HashingTF, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import RegexTokenizer, StopWordsRemover
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.session import cut_lineage
+from tabwright.session import checkpoint_dir, cut_lineage
 
 WORD_GAP = r"[^\p{L}\p{N}]+"
-LDA_BITS = 18
 
 
 def words(df: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -78,30 +77,59 @@ def _times(v: Column, m: np.ndarray) -> Column:
     return F.array(*[sum((v[i] * F.lit(float(m[i, j])) for i in range(m.shape[0])), F.lit(0.0)) for j in range(m.shape[1])])
 
 
-def _long(df: DataFrame, id_col: str, found: DataFrame, k: int) -> DataFrame:
-    """Every row's weights; documents without any term get zeros."""
-    zeros = F.array(*[F.lit(0.0)] * k)
+def _long(df: DataFrame, id_col: str, found: DataFrame, k: int, empty: float = 0.0) -> DataFrame:
+    """Every row's weights; documents without any term get ``empty`` for each topic."""
+    zeros = F.array(*[F.lit(empty)] * k)
     ids = df.select(F.col(id_col).alias("__id"))
     return (ids.join(found.select(F.col("doc").alias("__doc"), "v"), F.col("__id").eqNullSafe(F.col("__doc")), "left")
             .select(F.col("__id").alias(id_col), F.posexplode(F.coalesce("v", zeros)).alias("topic", "weight")))
 
 
-def lda_topics(df: DataFrame, text: str, id_col: str, k: int = 4, max_iter: int = 20, seed: int = 42):
-    """Weights of each document, and the ten heaviest columns of each topic with the words hashed to them."""
-    w = words(df, text, id_col)
-    hashing = HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << LDA_BITS)
-    tf = hashing.transform(w)
-    m = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="tf", topicDistributionCol="__td").fit(tf)
-    doc = m.transform(tf).select(id_col, F.posexplode(vector_to_array("__td")).alias("topic", "weight"))
-    top = m.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    top = top.select("topic", "rank", F.col("t.termIndices").alias("column"), F.col("t.termWeights").alias("weight"))
-    own = w.select(F.explode("words").alias("term")).distinct()
-    one = HashingTF(inputCol="one", outputCol="tf", numFeatures=1 << LDA_BITS).transform(
-        own.select("term", F.array("term").alias("one")))
-    # a one-word vector prints as (size,[column],[1.0])
-    named = one.select("term", F.regexp_extract(F.col("tf").cast("string"), r"\[(\d+)\]", 1).cast("int").alias("column"))
-    terms = (top.join(named, "column").groupBy("topic", "rank", "weight").agg(F.array_sort(F.collect_set("term")).alias("terms")))
-    return doc, terms
+def lda_topics(df: DataFrame, text: str, id_col: str, k: int = 4, max_iter: int = 20, seed: int = 42,
+               doc_prior: float | None = None, term_prior: float = 1.1):
+    """Latent Dirichlet allocation by expectation-maximisation (MAP) on the sparse (document, term, count) table.
+
+    Every word is a row of its own in the distributed term table. A round joins each count with its document's and its
+    term's topic weights, deals it to the topics in proportion to (document + prior - 1) x (term + prior - 1) / (topic +
+    terms x (prior - 1)), and sums the parts by document and by term; only the k topic totals reach the driver. The
+    start is drawn from hashes of document and term. ``doc_prior`` is 50 / k + 1 unless given.
+
+    Returns each document's topic shares (without any word: equal ones) and the ten heaviest terms of every topic:
+    topic, rank, term, weight (ties: by term).
+    """
+    alpha, eta = (50.0 / k if doc_prior is None else doc_prior - 1.0), term_prior - 1.0
+    ps = [f"p{j}" for j in range(k)]
+    both = F.concat_ws("|", F.col("doc").cast("string"), "term")
+    counts = cut_lineage(term_counts(df, text, id_col).where(F.col("doc").isNotNull()))
+    n_terms = counts.select("term").distinct().count()
+
+    def dealt(entries: DataFrame, weights: list[Column]) -> DataFrame:
+        """Counts dealt to the topics in proportion to the weights, as a table of their own (one a round)."""
+        entries = entries.select("doc", "term", "n", *[w.alias(p) for w, p in zip(weights, ps, strict=True)])
+        share = F.col("n") / reduce(lambda x, y: x + y, [F.col(p) for p in ps])
+        out = entries.select("doc", "term", "n", *[(F.col(p) * share).alias(p) for p in ps])
+        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/lda-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        return df.sparkSession.read.schema(out.schema).parquet(path)
+
+    def sums(parts: DataFrame, key: str, pre: str) -> DataFrame:
+        return parts.groupBy(key).agg(*[F.sum(p).alias(pre + p) for p in ps])
+
+    parts = dealt(counts, [_uniform(both, j, seed) for j in range(k)])
+    for _ in range(max_iter):
+        total = parts.agg(*[F.coalesce(F.sum(p), F.lit(0.0)).alias(p) for p in ps]).first()
+        parts = dealt(parts.select("doc", "term", "n").join(sums(parts, "doc", "d"), "doc").join(
+            sums(parts, "term", "t"), "term"), [
+            (F.col("d" + p) + F.lit(alpha)) * (F.col("t" + p) + F.lit(eta)) / F.lit(total[p] + n_terms * eta) for p in ps])
+    by_doc = sums(parts, "doc", "d").select("doc", F.array(*["d" + p for p in ps]).alias("dv"))
+    by_term = sums(parts, "term", "t").select("term", F.array(*["t" + p for p in ps]).alias("tv"))
+    whole = F.aggregate("dv", F.lit(0.0), lambda acc, x: acc + x + F.lit(alpha))
+    shares = by_doc.select("doc", F.transform("dv", lambda x: (x + F.lit(alpha)) / whole).alias("v"))
+    top = [by_term.select(F.lit(j).alias("topic"), "term", F.col("tv")[j].alias("weight"))
+           .orderBy(F.desc("weight"), "term").limit(10) for j in range(k)]
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term")) - 1  # ten rows a topic
+    terms = reduce(DataFrame.unionByName, top).withColumn("rank", rank).select("topic", "rank", "term", "weight")
+    return _long(df, id_col, shares, k, 1.0 / k), terms
 
 
 def lsi_topics(df: DataFrame, text: str, id_col: str, k: int = 4, seed: int = 42, rounds: int = 4):

@@ -7,7 +7,7 @@ from tabwright.config import PrepConfig, RunConfig
 from tabwright.functions.columns import md5_order
 from tabwright.functions.ranks import select_first
 from tabwright.models.cluster import kmeans
-from tabwright.models.text import TOPIC_MODELS, term_counts
+from tabwright.models.text import TOPIC_MODELS, _uniform, lda_topics, term_counts
 from tabwright.operators import anomaly, prep, profile, types
 from tabwright.operators.impute_model import fit_iterative, knn_impute
 from tabwright.operators.neighbors import smote
@@ -132,3 +132,77 @@ def test_nmf_and_lsi_match_dense_algebra(spark):
         w[r.id, r.topic] = r.weight
     main = w.argmax(1)
     assert len(set(main[::2])) == len(set(main[1::2])) == 1 and main[0] != main[1] and (w >= 0).all()
+
+
+def _plain_knn_fills(rows, k):
+    """Brute force of ``knn_impute``: every row against every other, on the columns both have."""
+    d = len(rows[0])
+    out = []
+    for r in rows:
+        new = list(r)
+        for t in range(d):
+            if r[t] is None:
+                near = []
+                for o in rows:
+                    both = [j for j in range(d) if r[j] is not None and o[j] is not None]
+                    if o[t] is not None and both:
+                        near.append((sum((r[j] - o[j]) ** 2 for j in both) * d / len(both), o[t]))
+                vals = [v for _, v in sorted(near)[:k]]
+                known = [o[t] for o in rows if o[t] is not None]
+                new[t] = sum(vals) / len(vals) if vals else sum(known) / len(known) if known else None
+        out.append(tuple(new))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["scattered", "hot", "disjoint"])
+def test_knn_impute_uses_donors_with_gaps(spark, kind, monkeypatch):
+    import random
+
+    from tabwright.operators import masked_knn
+    monkeypatch.setattr(masked_knn, "STRIP_ROWS", 8)  # many blocks on few rows
+    monkeypatch.setattr(masked_knn, "BLOCK_ROWS", 16)
+    rng = random.Random(5)
+    if kind == "disjoint":  # donors share no column with the row, a column without values, a row without values
+        rows = [(1.0, None, None), (2.0, None, None), (None, 5.0, None), (None, 7.0, None), (None, None, None)]
+    else:
+        wide = [100.0, 3.0, 1.0, 20.0]
+        rows = [tuple(None if rng.random() < 0.3 else round(rng.random() * w, 2 if kind == "scattered" else -1)
+                      for w in wide) for _ in range(240)]
+        rows += [rows[0]] * 60 if kind == "hot" else []
+    names = [f"f{i}" for i in range(len(rows[0]))]
+    df = spark.createDataFrame([(i, *r, "x") for i, r in enumerate(rows)],
+                               "id long, " + ", ".join(f"{c} double" for c in names) + ", vec string")
+    got = {r.id: tuple(r[c] for c in names) for r in knn_impute(df, names, k=5).collect()}
+    want = _plain_knn_fills(rows, 5)
+    assert len(got) == len(rows)
+    for i, w in enumerate(want):
+        assert got[i] == pytest.approx(w), (i, rows[i])
+    assert knn_impute(df.limit(0), names).collect() == []
+
+
+def test_lda_matches_dense_expectation_maximisation(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    rows = [(i, " ".join(f"{'ab'[i % 2]}word{(i * j) % 7}" for j in range(1, 6 + i % 3))) for i in range(12)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    doc, terms = lda_topics(df, "t", "id", k=2, max_iter=6, doc_prior=1.5)
+    counts = term_counts(df, "t", "id").withColumn("key", F.concat_ws("|", F.col("doc").cast("string"), "term"))
+    got = counts.select("doc", "term", "n", *[_uniform(F.col("key"), j, 42).alias(f"u{j}") for j in range(2)]).collect()
+    docs, vocab = sorted({r.doc for r in got}), sorted({r.term for r in got})
+    a = np.zeros((2, len(docs), len(vocab)))
+    n = np.zeros((len(docs), len(vocab)))
+    for r in got:
+        n[docs.index(r.doc), vocab.index(r.term)] = r.n
+        a[:, docs.index(r.doc), vocab.index(r.term)] = r.u0, r.u1
+    for step in range(7):
+        phi = n * a / np.where(n > 0, a.sum(0), 1)
+        d, t = phi.sum(2), phi.sum(1)
+        a = (d[:, :, None] + 0.5) * (t[:, None, :] + 0.1) / (t.sum(1) + len(vocab) * 0.1)[:, None, None]
+    share = (d + 0.5) / (d + 0.5).sum(0)
+    weights = {(r.id, r.topic): r.weight for r in doc.collect()}
+    for i, x in enumerate(docs):
+        assert [weights[x, j] for j in range(2)] == pytest.approx(share[:, i].tolist(), rel=1e-6)
+    assert weights[99, 0] == weights[99, 1] == 0.5 and len(weights) == 26
+    for j in range(2):
+        want = sorted(((-t[j, i], w) for i, w in enumerate(vocab)))[:10]
+        assert [r.term for r in terms.where(F.col("topic") == j).orderBy("rank").collect()] == [w for _, w in want]
