@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -106,45 +107,60 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return out[keep], literal[keep], flags[keep] & 12, at[starts]
 
 
-def _hash(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every window of ``size`` codes."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h = (h ^ codes[k:k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return h
+def _hashes(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hash of every window of that many codes) for ascending sizes; a longer window goes on from a shorter."""
+    h, done = np.zeros(len(codes), np.uint64), 0
+    for size in sizes:
+        n = len(codes) - size + 1
+        if n <= 0:
+            return
+        h = h[:n].copy()
+        for k in range(done, size):
+            h ^= codes[k:k + n]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        done = size
+        yield size, h
+
+
+class Sieve:
+    """Sorted hashes behind a table of their leading bits, which turns most others away in one look.
+
+    The table has 4 to 8 places a hash, so at most ``8 * SIEVE_HASHES`` bytes.
+    """
+
+    def __init__(self, hashes: np.ndarray):
+        self.own = np.sort(hashes)
+        self.shift = np.uint64(64 - max(10, (4 * len(hashes)).bit_length()))
+        self.known = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.known[(self.own >> self.shift).astype(np.int64)] = True
 
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Places of ``h`` whose hash is one of the sieve's."""
+        if not len(self.own):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.known.take((h >> self.shift).view(np.int64)))
+        some = h.take(at)
+        return at[self.own.take(np.searchsorted(self.own, some), mode="clip") == some]
 
-def windows(texts: list[str | None], sizes: list[int], sieve: dict[tuple[int, bool], np.ndarray] | None = None,
+
+def windows(texts: list[str | None], sizes: list[int], sieve: dict[tuple[int, bool], Sieve] | None = None,
             any_case: bool = False):
     """(text, place, size, literal, hash, codes of the window, values of the window): windows with enough literals
     by their template, and all windows by their words as they are.
 
-    ``sieve`` has, by size and kind, the sorted hashes to keep. Unless ``any_case``, windows all in capitals are like
+    ``sizes`` ascend. ``sieve`` has, by size and kind, the hashes to keep. Unless ``any_case``, windows all in capitals are like
     each other only.
     """
     codes, values, cases, starts = canonical(texts)
     literals = np.concatenate([[0], np.cumsum(codes >= np.uint64(1 << 63))])
     small, capital = (np.concatenate([[0], np.cumsum(cases & k > 0)]) for k in (4, 8))
-    for size in sizes:
-        for literal in (False, True):
-            h = _hash(values if literal else codes, size)
-            if not len(h):
-                continue
+    for literal in (False, True):
+        for size, h in _hashes(values if literal else codes, sizes):
             if literal and not any_case:
                 loud = (small[size:] == small[:-size]) & (capital[size:] > capital[:-size])
-                h ^= loud.astype(np.uint64)
-            if sieve is not None:
-                own = sieve[size, literal]
-                if not len(own):
-                    continue
-                found = own.take(np.searchsorted(own, h), mode="clip") == h
-                at = np.flatnonzero(found)
-            else:
-                at = np.arange(len(h))
+                h = h ^ loud.astype(np.uint64)
+            at = np.arange(len(h)) if sieve is None else sieve[size, literal].places(h)
             if not literal:
                 at = at[literals[at + size] - literals[at] >= min(MIN_LITERALS, size)]
             doc = np.searchsorted(starts, at, side="right") - 1
@@ -176,7 +192,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, any_case: bool
              "values array<long>")
 
 
-def document_windows(docs: DataFrame, key: str, sizes: list[int], sieve: dict[tuple[int, bool], np.ndarray] | None,
+def document_windows(docs: DataFrame, key: str, sizes: list[int], sieve: dict[tuple[int, bool], Sieve] | None,
                      any_case: bool = False) -> DataFrame:
     """(key, place, size, literal, hash, codes, values): windows of ``docs`` (key, text) by template and by word,
     sieved if asked."""
@@ -226,8 +242,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", wi
     hashes = bench.select("size", "literal", "hash").distinct()
     if hashes.count() <= SIEVE_HASHES:
         got = hashes.toPandas()
-        sieve = {(s, k): np.sort(got.loc[(got["size"] == s) & (got["literal"] == k), "hash"]
-                                 .to_numpy(np.int64, copy=True).view(np.uint64)) for s in sizes for k in (False, True)}
+        sieve = {(s, k): Sieve(got.loc[(got["size"] == s) & (got["literal"] == k), "hash"]
+                               .to_numpy(np.int64, copy=True).view(np.uint64)) for s in sizes for k in (False, True)}
     doc = document_windows(docs.where(F.col(key).isNotNull()), key, sizes, sieve, any_case)
     b = bench.select("item_id", "item_words", F.col("place").alias("item_place"), "size", "literal", "hash",
                      F.col("codes").alias("item_codes"), F.col("values").alias("item_values"))
