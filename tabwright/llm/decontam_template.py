@@ -38,7 +38,7 @@ MIN_LITERALS = 4       # literal words of a window with placeholders
 MIN_COVER = 0.7        # share of the item's words that an alignment must cover ...
 LONG_COVER = 13        # ... or this many words in all
 SIEVE_HASHES = 4_000_000  # benchmark window hashes that tasks may hold
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 1_000_000  # different words a worker remembers; beyond it the memo starts anew
 _CHUNK_WORDS = 500_000
 
 # Units of measure and currency.
@@ -52,6 +52,7 @@ UNITS = frozenset(
 NUM, NAME, UNIT = 1, 2, 3  # codes of placeholders; literal words have 64-bit hashes
 _EDGE = re.compile(r"^[^\w$€£¥%°]+|[^\w$€£¥%°]+$")
 _GLUED = re.compile(r"([+\-]?[\d.,]*\d)([^\W\d_]+|[%°$€£¥].*)")
+_STOPS = frozenset(".,;:!?")
 _END = re.compile(r"[.!?:][\"'”’)\]]*$")
 # of words seen: their number, and by number the hash as a literal (0: only marks), the code as a placeholder (or
 # 0) and whether the word is capitalised (1), ends a sentence (2), has small letters (4) and capitals (8)
@@ -59,20 +60,26 @@ _MEMO: dict[str, int] = {}
 _LITERAL, _CODE, _FLAGS = array("Q"), array("B"), array("B")
 
 
-def _word(raw: str) -> tuple[int, int, bool, bool]:
+def _word(raw: str) -> tuple[int, int, int]:
+    """(hash as a literal, code as a placeholder, flags) of a word as it stands in a text."""
     import xxhash
-    core = _EDGE.sub("", raw)
-    low = core.lower()
-    ends = bool(_END.search(raw))
+    core = raw[:-1] if raw[-1] in _STOPS else raw
+    if core.isalpha():  # most words: letters and perhaps one mark, nothing to strip and no digits
+        low, ends, digits = core.lower(), core is not raw and raw[-1] in ".!?:", False
+    else:
+        core = _EDGE.sub("", raw)
+        low, ends, digits = core.lower(), bool(_END.search(raw)), any(map(str.isdigit, core))
+    flags = 2 * ends + (4 * raw.islower() + 8 * raw.isupper() or 12 if core and raw.isascii() and core.isalpha() else
+                        4 * (raw != raw.upper()) + 8 * (raw != raw.lower()))
     if not core:
-        return 0, 0, False, ends
+        return 0, 0, flags
     literal = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) | (1 << 63)
-    if any(c.isdigit() for c in core):
+    if digits:
         m = _GLUED.fullmatch(low)
-        return literal, UNIT + 1 if m and m[2] in UNITS else NUM, False, ends
+        return literal, UNIT + 1 if m and m[2] in UNITS else NUM, flags
     if low in UNITS:
-        return literal, UNIT, False, ends
-    return literal, 0, core[0].isupper(), ends
+        return literal, UNIT, flags
+    return literal, 0, flags + core[0].isupper()
 
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,11 +91,11 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         del _LITERAL[:], _CODE[:], _FLAGS[:]
     lists = [(t or "").split() for t in texts]
     for w in set().union(*lists).difference(memo):
-        literal, code, capital, ends = _word(w)
+        literal, code, flags = _word(w)
         memo[w] = len(_LITERAL)
         _LITERAL.append(literal)
         _CODE.append(code)
-        _FLAGS.append(capital + 2 * ends + 4 * (w != w.upper()) + 8 * (w != w.lower()))
+        _FLAGS.append(flags)
     n = np.fromiter(map(len, lists), np.int64, len(lists))
     starts = np.concatenate([[0], np.cumsum(n)])
     if not starts[-1]:
