@@ -126,10 +126,16 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit(2, gone)
     rollup.commit(2, gone)
     rollup.commit(3, rollup.present().select(
-        "doc_id", F.lit(second).alias("version"), F.lit("insert").alias("op"), "source", "lang",
-        (F.col("tokens") + 1).alias("tokens")))
-    rollup.commit(4, rollup.present().where(F.col("version") == first).where("tokens = 0").select(
-        "doc_id", "version", F.lit("revise").alias("op"), "source", "lang", F.lit(1).alias("tokens")))
+        "doc_id", F.lit(second).alias("version"), F.lit("insert").alias("op"), "source", "lang", "docs",
+        (F.col("tokens") + F.col("docs")).alias("tokens")))
+    # all rows of the ids that have a row without a token and were not deleted
+    counts = docs.groupBy("doc_id", "source", "lang").agg(
+        F.count("*").alias("docs"), F.sum(F.greatest("n_tokens", F.lit(1))).alias("tokens"),
+        F.min("n_tokens").alias("least"))
+    empty = counts.where("least = 0").select("doc_id", F.lit(first).alias("version"))
+    k = rollup.present(of=empty).where(F.col("version") == first).select(F.col("doc_id").alias("__d")).distinct()
+    rollup.commit(4, counts.join(k, counts["doc_id"].eqNullSafe(k["__d"]), "left_semi").select(
+        "doc_id", F.lit(first).alias("version"), F.lit("revise").alias("op"), "source", "lang", "docs", "tokens"))
     return rollup.totals()
 
 

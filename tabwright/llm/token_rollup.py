@@ -2,11 +2,12 @@
 
 A rollup is a folder of the shared store with three parts:
 
-* ``ledger/batch_id=B``: signed rows (doc_id, version, source, lang, sign, tokens);
+* ``ledger/batch_id=B``: signed rows (doc_id, version, source, lang, docs, tokens);
 * ``delta/batch_id=B``: the batch's additive totals (source, lang, version, docs, tokens);
 * ``commits/batch_id=B``: written last; a batch counts once this exists.
 
-An insert adds a row, a delete adds the row that takes the document's present row back, a revised count does both.
+An insert adds rows, a delete adds the rows that take the document's present ones back, a revised count does both. A
+doc_id, null included, may stand for several rows of a table: they are counted together, by source and language.
 Totals are sums of deltas, so they are exact in any order of batches and need no rewriting. Committing a batch again
 does nothing; a commit that died before its marker is overwritten by the next attempt with the same batch id.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.tokens import encoder
 
 KEYS = ["source", "lang", "version"]
-_LEDGER = "doc_id long, version string, source string, lang string, sign int, tokens long"
+_LEDGER = "doc_id long, version string, source string, lang string, docs long, tokens long"
 _DELTA = "source string, lang string, version string, docs long, tokens long"
 
 
@@ -58,11 +59,15 @@ class Rollup:
     def ledger(self) -> DataFrame:
         return self._part("ledger", _LEDGER)
 
-    def present(self) -> DataFrame:
-        """(doc_id, version, source, lang, tokens) of every document that counts now."""
-        keys = ["doc_id", "version", "source", "lang"]
-        return (self.ledger().groupBy(*keys).agg(F.sum("sign").alias("n"), F.sum("tokens").alias("tokens"))
-                .where("n > 0").drop("n"))
+    def present(self, of: DataFrame | None = None) -> DataFrame:
+        """(doc_id, version, source, lang, docs, tokens) of every document that counts now; ``docs`` is the number of rows
+        that share these. ``of`` (doc_id, version) leaves only those, before anything is grouped."""
+        rows = self.ledger()
+        if of is not None:
+            k = of.select(F.col("doc_id").alias("__d"), F.col("version").alias("__v")).distinct()
+            rows = rows.join(k, rows["doc_id"].eqNullSafe(k["__d"]) & (rows["version"] == k["__v"]), "left_semi")
+        return (rows.groupBy("doc_id", "version", "source", "lang")
+                .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs > 0"))
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) over all committed batches; empty groups are left out."""
@@ -72,34 +77,31 @@ class Rollup:
     def commit(self, batch_id: int, changes: DataFrame) -> bool:
         """Apply ``changes`` (doc_id, version, op, source, lang, tokens); False if the batch was applied before.
 
-        ``op`` is ``insert`` or ``revise`` (both set the document's row for that version) or ``delete`` (source, lang
-        and tokens are not looked at). If a batch names a document and version more than once, deletes are applied
-        first and of the others the one with the most tokens stays (ties: by source and language). Rows without
-        doc_id or version, or with another op, are refused before anything is written. A null count is 0; null
+        ``op`` is ``insert`` or ``revise`` (the batch's rows become the document's rows for that version, whatever it had)
+        or ``delete`` (source, lang and tokens are not looked at). If a batch names a document and version more than
+        once, deletes are applied first and all its other rows count; so do rows with a null doc_id, which are one
+        document. An optional column ``docs`` says how many rows a row stands for, with ``tokens`` their sum (null: 1).
+        Rows without version, or with another op, are refused before anything is written. A null count is 0; null
         sources and languages are groups of their own. Deleting what isn't there changes nothing.
         """
         if self.committed(batch_id):
             return False
+        docs = F.coalesce(F.col("docs").cast("long"), F.lit(1)) if "docs" in changes.columns else F.lit(1).cast("long")
         rows = changes.select(F.col("doc_id").cast("long"), F.col("version").cast("string"), "op",
-                              F.col("source").cast("string"), F.col("lang").cast("string"),
+                              F.col("source").cast("string"), F.col("lang").cast("string"), docs.alias("docs"),
                               F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
-        wrong = rows.where("doc_id is null or version is null or op is null "
-                           "or op not in ('insert', 'revise', 'delete')").limit(1).count()
+        wrong = rows.where("version is null or op is null or op not in ('insert', 'revise', 'delete')").limit(1).count()
         if wrong:
-            raise ValueError("changes hold rows without doc_id, version or a known op")
-        key = ["doc_id", "version"]
-        # a hot document's changes combine before the shuffle: one row per key is left
-        last = rows.groupBy(*key).agg(F.max(F.when(F.col("op") != "delete", F.struct("tokens", "source", "lang")))
-                                      .alias("row"))
-        old = self.present().join(last.select(*key), key, "left_semi")
-        signed = (old.select("doc_id", "version", "source", "lang", F.lit(-1).alias("sign"),
-                             (-F.col("tokens")).alias("tokens"))
-                  .unionByName(last.where("row is not null").select(
-                      "doc_id", "version", "row.source", "row.lang", F.lit(1).alias("sign"), "row.tokens")))
+            raise ValueError("changes hold rows without version or a known op")
+        # a hot document's rows combine before the shuffle: one row per source and language is left
+        new = (rows.where("op <> 'delete'").groupBy("doc_id", "version", "source", "lang")
+               .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
+        old = self.present(of=rows).withColumns({"docs": -F.col("docs"), "tokens": -F.col("tokens")})
+        signed = old.unionByName(new)
         at = f"{self.path}/{{}}/batch_id={int(batch_id)}"
         signed.write.mode("overwrite").parquet(at.format("ledger"))
         written = self.spark.read.schema(_LEDGER).parquet(at.format("ledger"))
-        delta = written.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("docs"), F.sum("tokens").alias("tokens"))
+        delta = written.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         delta.write.mode("overwrite").parquet(at.format("delta"))
         self.spark.range(1).select(F.lit(int(batch_id)).cast("long").alias("at")).coalesce(1).write.mode(
             "overwrite").parquet(at.format("commits"))

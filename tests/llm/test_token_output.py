@@ -113,12 +113,12 @@ def test_rollup_batches(spark, tmp_path):
     rows = [(1, "v", "insert", "a", "en", 5), (2, "v", "insert", "a", "en", 7), (3, "v", "insert", None, None, None),
             (3, "v", "insert", None, None, None), (1, "w", "insert", "a", "en", 6)]
     assert roll.commit(1, spark.createDataFrame(rows, CHANGE))
-    first = [("a", "en", "v", 2, 12), ("a", "en", "w", 1, 6), (None, None, "v", 1, 0)]
+    first = [("a", "en", "v", 2, 12), ("a", "en", "w", 1, 6), (None, None, "v", 2, 0)]
     assert totals() == sorted(first, key=str)
     change = spark.createDataFrame([(2, "v", "delete", None, None, None), (9, "v", "delete", None, None, None),
                                     (1, "v", "revise", "b", "en", 4)], CHANGE)
     assert roll.commit(2, change) and not roll.commit(2, change)
-    second = [("b", "en", "v", 1, 4), ("a", "en", "w", 1, 6), (None, None, "v", 1, 0)]
+    second = [("b", "en", "v", 1, 4), ("a", "en", "w", 1, 6), (None, None, "v", 2, 0)]
     assert totals() == sorted(second, key=str)
     # an attempt that died before its marker is not seen, and is overwritten by the next one
     change.write.parquet(str(tmp_path / "roll/ledger/batch_id=3"))
@@ -126,11 +126,41 @@ def test_rollup_batches(spark, tmp_path):
     assert roll.commit(3, spark.createDataFrame([(2, "v", "insert", "a", "en", 1)], CHANGE))
     assert totals() == sorted([*second, ("a", "en", "v", 1, 1)], key=str)
     assert roll.commit(4, spark.createDataFrame([], CHANGE)) and len(totals()) == 4
-    for bad in [(None, "v", "insert", "a", "en", 1), (1, None, "insert", "a", "en", 1), (1, "v", "put", "a", "en", 1)]:
+    for bad in [(1, None, "insert", "a", "en", 1), (1, "v", "put", "a", "en", 1)]:
         with pytest.raises(ValueError):
             roll.commit(5, spark.createDataFrame([bad], CHANGE))
 
 
+def test_rollup_rows_that_share_an_id(spark, tmp_path):
+    """All rows of one id, null included, count; a revision or delete concerns all of them."""
+    roll = Rollup(spark, str(tmp_path / "roll"))
+    totals = lambda: sorted(map(tuple, roll.totals().collect()), key=str)
+    rows = [(None, "v", "insert", "a", "en", 3), (None, "v", "insert", "a", "en", 5), (None, "v", "insert", "b", "en", 1),
+            (7, "v", "insert", "a", "en", 3), (7, "v", "insert", "a", "en", 5), (7, "w", "insert", "a", "en", 2)]
+    assert roll.commit(1, spark.createDataFrame(rows, CHANGE))
+    assert totals() == [("a", "en", "v", 4, 16), ("a", "en", "w", 1, 2), ("b", "en", "v", 1, 1)]
+    assert roll.commit(2, spark.createDataFrame([(None, "v", "revise", "c", "en", 4)], CHANGE))
+    assert totals() == [("a", "en", "v", 2, 8), ("a", "en", "w", 1, 2), ("c", "en", "v", 1, 4)]
+    assert roll.commit(3, spark.createDataFrame([(7, "v", "delete", None, None, None)], CHANGE))
+    assert totals() == [("a", "en", "w", 1, 2), ("c", "en", "v", 1, 4)]
+    assert roll.commit(4, spark.createDataFrame([(9, "v", "insert", "a", "en", 6, 3)], CHANGE + ", docs long"))
+    assert totals() == [("a", "en", "v", 3, 6), ("a", "en", "w", 1, 2), ("c", "en", "v", 1, 4)]
+
+
+def test_op2_counts_rows_without_and_with_one_id(spark, tmp_path):
+    rows = [(None, "one two", "en", "s"), (None, "three", "en", "s"), (4, "four five six", "en", "s"),
+            (4, "", "en", "s"), (5, "three", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.lang, r.version): (r.docs, r.tokens)
+           for r in QUERIES["op2_token_rollup"](spark, str(tmp_path)).collect()}
+    n = sum(len(ids(t)) for _, t, _, _ in rows[:4])
+    v, w = "byte_bpe_50k", "byte_bpe_50k+end"
+    k = len(ids("three"))
+    assert got == {("s", "en", v): (4, n + 1), ("s", "en", w): (4, n + 4), (None, "en", v): (1, k),
+                   (None, "en", w): (1, k + 1)}
+
+
 def test_op2_totals(spark):
     sf = "/root/testdata/sf0.001"
     docs = {}
