@@ -4,8 +4,8 @@
   ``groupBy(feature, bin)``), score = -sum log(bin share).
 - pca: covariance from the Gram aggregate, eigen-decomposition on the driver
   (d x d), score = sum_j proj_j^2 / lambda_j (Mahalanobis in component space).
-- mcd: concentration steps - Mahalanobis filter at an exact distributed
-  quantile, covariance re-estimated on the kept rows, repeated.
+- mcd: random starts concentrated on a bounded sample (lowest hashes of the ids),
+  the best one concentrated on all rows until the determinant stops falling.
 - cluster: KMeans; large clusters hold ``alpha`` of the rows; points of small
   clusters are scored by their distance to the nearest large centre.
 - iforest: trees of 256-row samples drawn by hash (about 256 rows per tree are
@@ -29,6 +29,8 @@ from tabwright.functions.linalg import gram, mean_cov, quad_form
 from tabwright.functions.quantiles import quantile_dict
 
 ISO_SAMPLE = 256  # fixed value: rows per isolation tree
+MCD_SAMPLE = 5_000  # rows on which the starts of the minimum covariance determinant are tried
+MCD_STARTS = 100
 EULER = 0.5772156649  # fixed value: Euler-Mascheroni constant for the average path length
 
 
@@ -67,27 +69,75 @@ def pca_score(df: DataFrame, features: list[str], id_col: str = "id", standardiz
     return df.select(F.col(id_col), quad_form(features, mu, A).alias("score"))
 
 
-def mcd(df: DataFrame, features: list[str], id_col: str = "id", support: float | None = None,
-        steps: int = 5) -> DataFrame:
-    """Minimum covariance determinant by concentration steps; score = robust Mahalanobis distance^2."""
+def _concentrate(x: np.ndarray, mu: np.ndarray, cov: np.ndarray, support: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the rows nearest to (mu, cov), as many as ``support`` says."""
+    z = x - mu
+    m = np.einsum("ij,jk,ik->i", z, np.linalg.pinv(cov, hermitian=True), z)
+    own = x[m <= np.quantile(m, support)]
+    return own.mean(0), np.atleast_2d(np.cov(own, rowvar=False))
+
+
+def _mcd_start(x: np.ndarray, support: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best of ``MCD_STARTS`` draws of d + 1 rows, and of all rows: two steps each, the ten best to their end."""
+    n, d = x.shape
+    rng = np.random.default_rng(seed)
+    drawn = [x, *(x[rng.choice(n, min(n, d + 1), replace=False)] for _ in range(MCD_STARTS))]
+
+    def steps(fit, most):
+        size = np.inf
+        for _ in range(most):
+            new = _concentrate(x, *fit, support)
+            new_size = np.linalg.slogdet(new[1])[1]
+            if not new_size < size:
+                break
+            fit, size = new, new_size
+        return size, fit
+
+    tried = sorted((steps((y.mean(0), np.atleast_2d(np.cov(y, rowvar=False))), 2) for y in drawn), key=lambda t: t[0])
+    return min((steps(fit, 100) for _, fit in tried[:10]), key=lambda t: t[0])[1]
+
+
+def mcd_fit(df: DataFrame, features: list[str], id_col: str = "id", support: float | None = None, steps: int = 30,
+            seed: int = 42) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and covariance of the rows of least determinant; None without a complete row.
+
+    Plain concentration from the mean of all rows can be held by a far group of outliers, so the start is chosen on at
+    most ``MCD_SAMPLE`` rows. Every later step takes all rows: the exact quantile of their distances, then one
+    aggregate. Steps never raise the determinant and end when it stops falling, after few from a good start.
+    """
     d = len(features)
-    g = gram(df, features)
-    n = g["n"]
+    x = df.select(F.col(id_col), *[F.col(c).cast("double").alias(c) for c in features])
+    for c in features:
+        x = x.where(F.col(c).isNotNull() & ~F.isnan(c))
+    drawn = x.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col, *features).limit(MCD_SAMPLE).toPandas()
+    sample = drawn[features].to_numpy(float)
+    if not len(sample):
+        return None
+    n = len(sample) if len(sample) < MCD_SAMPLE else x.count()
     h = support if support is not None else min(1.0, (n + d + 1) / (2.0 * n))
-    mu, cov = mean_cov(g)
+    if len(sample) < 2:
+        return sample.mean(0), np.zeros((d, d))
+    mu, cov = _mcd_start(sample, h, seed)
+    size = np.inf
     for _ in range(steps):
-        A = np.linalg.pinv(cov)
-        dist = df.select(quad_form(features, mu, A).alias("__m"))
-        cut = quantile_dict(dist, ["__m"], [h]).get(("__m", h))
-        if cut is None:
+        m = quad_form(features, mu, np.linalg.pinv(cov, hermitian=True))
+        cut = quantile_dict(x.select(m.alias("__m")), ["__m"], [h])[("__m", h)]
+        new_mu, new_cov = mean_cov(gram(x, features, where=m <= F.lit(cut)))
+        new_size = np.linalg.slogdet(new_cov)[1]
+        if not new_size < size - 1e-9:
             break
-        g = gram(df, features, where=quad_form(features, mu, A) <= F.lit(cut))
-        new_mu, new_cov = mean_cov(g)
-        if np.allclose(new_mu, mu) and np.allclose(new_cov, cov):
-            break
-        mu, cov = new_mu, new_cov
-    A = np.linalg.pinv(cov)
-    return df.select(F.col(id_col), quad_form(features, mu, A).alias("score"))
+        mu, cov, size = new_mu, new_cov, new_size
+    return mu, cov
+
+
+def mcd(df: DataFrame, features: list[str], id_col: str = "id", support: float | None = None, steps: int = 30,
+        seed: int = 42) -> DataFrame:
+    """Minimum covariance determinant: score = robust Mahalanobis distance^2; null for rows with a gap."""
+    fit = mcd_fit(df, features, id_col, support, steps, seed)
+    if fit is None:
+        return df.select(F.col(id_col), F.lit(None).cast("double").alias("score"))
+    score = quad_form(features, fit[0], np.linalg.pinv(fit[1], hermitian=True))
+    return df.select(F.col(id_col), F.when(~F.isnan(score), score).alias("score"))
 
 
 def cluster_score(df: DataFrame, features: list[str], id_col: str = "id", k: int = 8, alpha: float = 0.9,
