@@ -38,7 +38,7 @@ MIN_LITERALS = 4       # literal words of a window with placeholders
 MIN_COVER = 0.7        # share of the item's words that an alignment must cover ...
 LONG_COVER = 13        # ... or this many words in all
 SIEVE_HASHES = 4_000_000  # benchmark window hashes that tasks may hold
-MEMO_LIMIT = 1_000_000  # different words a worker remembers; beyond it the memo starts anew
+MEMO_LIMIT = 700_000  # different words a worker remembers; beyond it only those of the texts at hand stay
 _CHUNK_WORDS = 500_000
 
 # Units of measure and currency.
@@ -86,11 +86,16 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """(template codes, slot values, letter cases (4: small, 8: capital), start of each text and the end) of all words
     of the texts, marks left out."""
     memo = _MEMO
+    lists = [(t or "").split() for t in texts]
+    words = set().union(*lists)
     if len(memo) > MEMO_LIMIT:
+        own = words.intersection(memo)
+        at = np.fromiter(map(memo.__getitem__, own), np.int64, len(own))
+        for kept in (_LITERAL, _CODE, _FLAGS):
+            kept[:] = array(kept.typecode, np.array(kept).take(at).tobytes())
         memo.clear()
-        del _LITERAL[:], _CODE[:], _FLAGS[:]
-    lists = [(t or "").split() for t in texts]
-    for w in set().union(*lists).difference(memo):
+        memo.update(zip(own, range(len(own)), strict=True))
+    for w in words.difference(memo):
         literal, code, flags = _word(w)
         memo[w] = len(_LITERAL)
         _LITERAL.append(literal)
