@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabwright.operators import knn
 from tabwright.operators.knn import knn_join, range_join
 from tabwright.operators.neighbors import smote
 
@@ -140,3 +141,28 @@ def test_blocks_stay_small_at_one_pivot_distance(spark, monkeypatch):
     want = np.sort(d, axis=1)[:, :3]
     assert len(got) == len(x) * 3
     assert all(abs(got[i, j + 1] - want[i, j]) < 1e-9 for i in range(len(x)) for j in range(3))
+
+
+def test_many_dimensions_meet_in_large_blocks(spark, monkeypatch):
+    """Random vectors of many dimensions: boxes leave nothing out, so all pairs of a few large blocks are compared."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    x[7] = x[11]
+    x[2999] = np.nan
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    taken = []
+    whole = knn._all_blocks
+    monkeypatch.setattr(knn, "_large_blocks", lambda n: 3)
+    monkeypatch.setattr(knn, "_all_blocks", lambda *a: taken.append(a) or whole(*a))
+    got = {(r["qid"], r["rank"]): (r["nid"], r["dist"])
+           for r in knn.knn_join(df, None, 4, bucket_rows=64, dedupe=False).collect()}
+    assert taken
+    sq = np.zeros((len(x), len(x)))
+    for j in range(x.shape[1]):
+        sq += (x[:, None, j] - x[None, :, j]) ** 2
+    dist = np.sqrt(sq)
+    np.fill_diagonal(dist, np.inf)
+    for i in range(len(x) - 1):
+        at = np.lexsort((np.arange(len(x)), dist[i]))[:4]
+        assert [got[i, t + 1] for t in range(4)] == [(int(n), dist[i, n]) for n in at]
+    assert len(got) == 4 * (len(x) - 1)
