@@ -166,3 +166,19 @@ def test_many_dimensions_meet_in_large_blocks(spark, monkeypatch):
         at = np.lexsort((np.arange(len(x)), dist[i]))[:4]
         assert [got[i, t + 1] for t in range(4)] == [(int(n), dist[i, n]) for n in at]
     assert len(got) == 4 * (len(x) - 1)
+
+
+def test_searches_of_other_blocks_are_dealt_by_number(spark, monkeypatch):
+    """Queries that look for other blocks go to tasks by their number, however few bytes they have."""
+    x = np.random.default_rng(6).normal(size=(900, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").coalesce(1)
+    monkeypatch.setattr(knn, "PROBE", 100)
+    stored = []
+    cut = knn.cut_lineage
+    monkeypatch.setattr(knn, "cut_lineage", lambda d: stored.append(cut(d)) or stored[-1])
+    got = {(r["qid"], r["rank"]): r["nid"] for r in knn.knn_join(df, None, 3, bucket_rows=50, dedupe=False).collect()}
+    asked = [d for d in stored if {"__rad", "__b"} <= set(d.columns)]
+    assert asked and asked[0].rdd.getNumPartitions() >= 9
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(dist, np.inf)
+    assert all([got[i, t + 1] for t in range(3)] == np.argsort(dist[i])[:3].tolist() for i in range(900))
