@@ -182,3 +182,21 @@ def test_searches_of_other_blocks_are_dealt_by_number(spark, monkeypatch):
     dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(dist, np.inf)
     assert all([got[i, t + 1] for t in range(3)] == np.argsort(dist[i])[:3].tolist() for i in range(900))
+
+
+def test_blocks_shuffle_every_vector_once(spark):
+    """Looking up a query's block and its chunks shuffles no vectors, and large blocks make few copies."""
+    rows = [(i, [float(i), 0.0], "a") for i in range(6)]
+    q = spark.createDataFrame(rows, "qid long, __v array<double>, __b string")
+    r = spark.createDataFrame(rows, "nid long, __rv array<double>, __b string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = knn._block_topk(q, r, 1, True, ("bigint", "bigint"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 0
+        assert sorted((x.qid, x.nid) for x in found.collect()) == [(0, 1), (1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert knn._large_blocks(100_000) == 4
+    assert knn._large_blocks(1_000_000) == 16
