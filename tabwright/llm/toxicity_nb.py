@@ -31,7 +31,7 @@ FIT_ROWS = 8_000           # bound of the sample that the regression is fitted o
 BROADCAST_LABELS = 2_000_000  # labelled rows that may be broadcast; more are joined by a shuffle
 ERRORS = 2.0               # standard errors taken off a log-count ratio
 L2 = 1e-4
-_CHUNK = 2_000_000         # characters worked on together (one text is never cut)
+_CHUNK = 1_000_000         # characters worked on together (one text is never cut)
 _FIT_ENTRIES = 200_000     # entries of the regression's matrix worked on together
 
 

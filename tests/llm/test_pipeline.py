@@ -67,3 +67,23 @@ def test_run_is_the_stages_in_order(spark):
     for _, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in whole.collect())
+
+
+def test_toxicity_works_on_bounded_text():
+    """Scores of many texts hold about a million characters' work at once and don't depend on how they are dealt."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tabwright.llm import toxicity_nb as t
+    texts = [f"word{i} and others " * 600 for i in range(400)]
+    dense = np.random.default_rng(5).normal(0, 0.01, 1 << t.BITS).astype(np.float32)
+    alone = [t._scores([x], dense, 0.1)[0] for x in texts[::50]]
+    tracemalloc.start()
+    try:
+        got = t._scores(texts, dense, 0.1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got[::50].tolist() == alone
+    assert peak < 60e6

@@ -178,3 +178,20 @@ def test_op2_totals(spark):
 def test_counts_of_odd_texts(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a b", 5)], "doc_id long, text string, n_tokens int")
     assert [r.n_tokens for r in count_tokens(df, bpe_path()).orderBy("doc_id").collect()] == [0, 0, 2]
+
+
+def test_ends_and_repeats_of_pieces_and_little_memory():
+    """First, repeated and last pieces, spaces at either end; a batch's pieces are not held one by one."""
+    import tracemalloc
+    enc = PieceEncoder(bpe_path())
+    texts = [" ", "a", " a", "a ", " a b a ", "é 日 a, a, b.", "\ta", "a\nb a", None, "", "a  b", "x a a a"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in enc.encode_many(texts)] == [ids(t) for t in texts]
+    texts = ["some words, and others. " * 400 + f"{i}" for i in range(400)]
+    tracemalloc.start()
+    try:
+        got = enc.encode_many(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.frombuffer(got[7], "<u4").tolist() == ids(texts[7])
+    assert peak < 35e6
