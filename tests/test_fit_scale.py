@@ -48,3 +48,45 @@ def test_discriminant_probabilities(spark):
     order = np.lexsort((x[:, 1], x[:, 0]))
     np.testing.assert_allclose([r.probability for r in rows], p[order], atol=1e-12)
     assert [r.prediction for r in rows] == s.argmax(1)[order].astype(float).tolist()
+
+
+def test_affinity_rounds_are_one_chain(spark, monkeypatch):
+    """Labels as by plain loops over the edges; rounds aren't checkpointed one by one."""
+    from collections import defaultdict
+    from tabwright.models import cluster as C
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, 12) for c in (0.0, 4.0, 9.0)])
+    rows = [(i, float(v)) for i, v in enumerate(x)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    cuts, real = [], C.cut_lineage
+
+    def counted(d):
+        cuts.append(1)
+        return real(d)
+    monkeypatch.setattr(C, "cut_lineage", counted)
+    got = {r["id"]: r["cluster"] for r in C.affinity_propagation(df, ["x"], "id", n_neighbors=5, rounds=20).collect()}
+    assert len(cuts) <= 5
+    s = {}
+    for i, v in enumerate(x):
+        for k in sorted(range(len(x)), key=lambda j: abs(x[j] - v))[1:6]:
+            s[i, k] = -(x[k] - v) ** 2
+    pref = sorted(s.values())
+    pref = (pref[(len(pref) - 1) // 2] + pref[len(pref) // 2]) / 2
+    s.update({(i, i): pref for i in range(len(x))})
+    a, r = dict.fromkeys(s, 0.0), dict.fromkeys(s, 0.0)
+    for _ in range(20):
+        for i, k in s:
+            best = max(a[e] + s[e] for e in s if e[0] == i and e[1] != k)
+            r[i, k] = 0.5 * r[i, k] + 0.5 * (s[i, k] - best)
+        pos = defaultdict(float)
+        for i, k in s:
+            if i != k:
+                pos[k] += max(0.0, r[i, k])
+        a = {(i, k): 0.5 * a[i, k] + 0.5 * (pos[k] if i == k else min(0.0, r[k, k] + pos[k] - max(0.0, r[i, k])))
+             for i, k in s}
+    ex = sorted(k for i, k in s if i == k and r[i, k] + a[i, k] > 0)
+    want = {}
+    for i in range(len(x)):
+        near = [(s[i, k], k) for k in ex if (i, k) in s]
+        want[i] = ex.index(max(near)[1]) if near else -1
+    assert ex and got.pop(99) is None and got == want
