@@ -134,6 +134,30 @@ def test_nmf_and_lsi_match_dense_algebra(spark):
     assert len(set(main[::2])) == len(set(main[1::2])) == 1 and main[0] != main[1] and (w >= 0).all()
 
 
+def test_topics_send_a_term_once_a_block(spark, monkeypatch):
+    from tabwright.models import text
+    rows = [(i, " ".join(f"word{(i * j) % 11}" for j in range(1, 30))) for i in range(1, 41)]
+    rows += [(1, "other word1"), (None, "word1 nowhere"), (None, "word2"), (50, None)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(1)
+    few = {"lda": {"max_iter": 1}, "lsi": {"rounds": 1}, "nmf": {"max_iter": 1}, "rp": {}}
+
+    def weights(name):
+        found = TOPIC_MODELS[name](df, "t", "id", k=2, **few[name]).where("id is not null")
+        return {(r.id, r.topic): r.weight for r in found.distinct().collect()}
+    whole = {name: weights(name) for name in few}
+    assert text.Counts(df, "t", "id").uses.where("key >= 0").count() < 40  # 13 terms in two blocks, 420 counts and more
+    monkeypatch.setattr(text, "BLOCK_WORDS", 100)  # many blocks on few rows
+    counts = text.Counts(df, "t", "id")
+    assert counts.rows.select("b").distinct().count() > 5
+    names = counts.uses.join(counts.terms, "key").select("b", "at", "term")
+    got = counts.rows.selectExpr("b", "doc", "explode(arrays_zip(cols, ns)) e").selectExpr(
+        "b", "doc", "e.cols at", "e.ns n").join(names, ["b", "at"])
+    assert ({(r.doc, r.term, r.n) for r in got.collect()}
+            == {(r.doc, r.term, r.n) for r in term_counts(df, "t", "id").collect()})
+    for name in few:
+        assert weights(name) == pytest.approx(whole[name], rel=1e-5, abs=1e-8), name
+
+
 def _plain_knn_fills(rows, k):
     """Brute force of ``knn_impute``: every row against every other, on the columns both have."""
     d = len(rows[0])
