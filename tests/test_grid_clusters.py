@@ -120,3 +120,36 @@ def test_meanshift_and_others_keep_rows_with_nulls(spark, table):
     assert found[rows[0][0]] == found[rows[30][0]] != found[rows[90][0]]
     sc = {r["id"]: r["cluster"] for r in C.spectral(df, ["a", "b"], "id", k=2, n_neighbors=5).collect()}
     assert len(sc) == len(rows) + 3 and sc[2001] is None
+
+
+@pytest.mark.parametrize("bw, tile, halo", [(0.7, 16, 8), (0.4, 2, 2), (2.5, 1, 2)])
+def test_seeds_of_a_tile_walk_as_step_by_step(spark, bw, tile, halo, monkeypatch):
+    """Small tiles: seeds leave them and are dealt anew. Some seeds have no point in reach."""
+    monkeypatch.setattr(C, "TILE", tile)
+    monkeypatch.setattr(C, "HALO", halo)
+    x = places(3, 200)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
+    _, pts, _ = C._distinct_points(df, ["a", "b"], "id")
+    seeds = spark.createDataFrame([(f"{i}{j}", [i * bw, j * bw]) for i in range(-4, 9, 3) for j in range(-3, 9, 2)],
+                                  "id string, vec array<double>").cache()
+    got = {r["id"]: r["vec"] for r in C._walked(pts, seeds, 2, bw, 300, 1e-3).collect()}
+    at, points = {r["id"]: np.array(r["vec"]) for r in seeds.collect()}, x
+    for _ in range(300):
+        new = {}
+        for i, c in at.items():
+            near = points[np.sqrt(((points - c) ** 2).sum(1)) <= bw]
+            if len(near):
+                new[i] = near.mean(0)
+        shift = max(np.sqrt(((new[i] - at[i]) ** 2).sum()) for i in new)
+        at = new
+        if shift <= 1e-3 * bw:
+            break
+    assert sorted(got) == sorted(at) and len(at) < seeds.count() or bw == 2.5
+    np.testing.assert_allclose([got[i] for i in sorted(got)], [at[i] for i in sorted(at)], atol=1e-9)
+
+
+def test_tiles_of_many_points_go_step_by_step(spark, table, monkeypatch):
+    _, df = table
+    walked = {tuple(r) for r in C.meanshift(df, ["a", "b"], "id", bandwidth=1.5).collect()}
+    monkeypatch.setattr(C, "TILE_POINTS", 10)
+    assert {tuple(r) for r in C.meanshift(df, ["a", "b"], "id", bandwidth=1.5).collect()} == walked
